@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, simhash, urls
+from barloom.llm import bpe, simhash, substrings, urls
 from barloom.llm.common import table
 
 QUERIES = {
+    "op1_substring_dedup": lambda spark, sf: substrings.document_digests(table(spark, sf, "documents")),
     "op2_byte_bpe": lambda spark, sf: bpe.digests(table(spark, sf, "documents")),
     "op6_simhash": lambda spark, sf: simhash.document_components(table(spark, sf, "documents")),
     "op8_url_filter": lambda spark, sf: urls.page_verdicts(table(spark, sf, "pages")),
