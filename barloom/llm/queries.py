@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, simhash, substrings, urls
+from barloom.llm import bpe, langid, simhash, substrings, urls
 from barloom.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_byte_bpe": lambda spark, sf: bpe.digests(table(spark, sf, "documents")),
     "op6_simhash": lambda spark, sf: simhash.document_components(table(spark, sf, "documents")),
     "op8_url_filter": lambda spark, sf: urls.page_verdicts(table(spark, sf, "pages")),
+    "op10_language_id": lambda spark, sf: langid.document_languages(table(spark, sf, "documents")),
 }
 ORACLES = {
     "op8_url_filter": urls.ORACLE,
