@@ -12,17 +12,22 @@ a null id list decodes to null; other columns pass through unless they clash wit
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import text_chunks
+
 #: Texts longer than this many characters are cut; no piece is cut where that is not safe.
 PIECE_CHARS = 50_000
+CHUNK_BYTES = 2 << 20
 _SAFE = re.compile(r"(?<=\S)[ \n]")
 
 
@@ -68,19 +73,53 @@ def encode_text(text: str, rank_file: str, pattern: str) -> list[int]:
     return [i for piece in pieces(text) for i in enc.encode_ordinary(piece)]
 
 
-def encode(text: Column, rank_file: str | None = None, pattern: str | None = None) -> Column:
-    """Token ids (array<int>) of a text column, without special tokens."""
+#: What a round trip can give for each text, with its Spark and Arrow types.
+OUTPUTS = {
+    "ids": ("array<int>", pa.list_(pa.int32())),
+    "decoded": ("binary", pa.binary()),
+    "n_tokens": ("long", pa.int64()),
+    "ids_sha256": ("string", pa.string()),
+    "decoded_sha256": ("string", pa.string()),
+}
+
+
+def _outputs(text: str, rank_file: str, pattern: str, wanted: tuple[str, ...]) -> list:
+    ids = np.asarray(encode_text(text, rank_file, pattern), "<u4")
+    decoded = encoding(rank_file, pattern).decode_bytes(ids.tolist())
+    make = {
+        "ids": lambda: ids.astype(np.int32),
+        "decoded": lambda: decoded,
+        "n_tokens": lambda: len(ids),
+        "ids_sha256": lambda: hashlib.sha256(ids.tobytes()).hexdigest(),
+        "decoded_sha256": lambda: hashlib.sha256(decoded).hexdigest(),
+    }
+    return [make[name]() for name in wanted]
+
+
+def round_trip(
+    df: DataFrame, text: str = "text", rank_file: str | None = None, pattern: str | None = None, wanted: tuple[str, ...] = ("ids", "decoded")
+) -> DataFrame:
+    """``df`` with token ids (``ids``), the bytes that they decode to (``decoded``), or any other of ``OUTPUTS``.
+
+    ``n_tokens``, ``ids_sha256`` (ids as little-endian unsigned 32-bit integers) and ``decoded_sha256`` are made beside
+    the texts, so that neither ids nor bytes need to leave the Python worker when only these are wanted.
+    """
     rank_file, pattern = rank_file or default_rank_file(), pattern or default_pattern()
+    kept = [c for c in df.columns if c not in wanted]
+    source, at = df.select(*kept), kept.index(text)
 
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(encode_text(t, rank_file, pattern), np.int32) if t else np.zeros(0, np.int32) for t in texts], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, text, CHUNK_BYTES):
+            made = [_outputs(t or "", rank_file, pattern, wanted) for t in batch.column(at).to_pylist()]
+            columns = [pa.array([row[i] for row in made], OUTPUTS[name][1]) for i, name in enumerate(wanted)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*kept, *wanted])
 
-    return run(text)
+    schema = source.withColumns({name: F.lit(None).cast(OUTPUTS[name][0]) for name in wanted}).schema
+    return source.mapInArrow(run, schema)
 
 
-def decode(ids: Column, rank_file: str | None = None, pattern: str | None = None) -> Column:
-    """The bytes (binary) of a column of token ids; bytes need not be valid UTF-8."""
+def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``df`` with the bytes (binary) of a column of token ids; bytes need not be valid UTF-8."""
     rank_file, pattern = rank_file or default_rank_file(), pattern or default_pattern()
 
     @F.pandas_udf("binary")
@@ -88,35 +127,10 @@ def decode(ids: Column, rank_file: str | None = None, pattern: str | None = None
         enc = encoding(rank_file, pattern)
         return pd.Series([None if x is None else enc.decode_bytes(x.tolist()) for x in lists], dtype=object)
 
-    return run(ids)
-
-
-def round_trip(df: DataFrame, text: str = "text", rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``df`` with ``ids`` (array<int>) and ``decoded`` (binary: the bytes that the ids stand for)."""
-    df = df.withColumn("ids", encode(F.coalesce(F.col(text), F.lit("")), rank_file, pattern))
-    return df.withColumn("decoded", decode(F.col("ids"), rank_file, pattern))
-
-
-def ids_digest(ids: Column) -> Column:
-    """SHA-256 (lowercase hex) of ids as little-endian unsigned 32-bit integers."""
-
-    @F.arrow_udf("string")
-    def run(lists: pa.Array) -> pa.Array:
-        import hashlib
-
-        lists = lists.cast(pa.list_(pa.int32()))
-        values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-        return pa.array([hashlib.sha256(values[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
-
-    return run(ids)
+    return df.withColumn(into, run(F.col(ids)))
 
 
 def digests(documents: DataFrame) -> DataFrame:
     """The query: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    out = round_trip(documents.select("doc_id", "text"))
-    return out.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    wanted = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return round_trip(documents.select("doc_id", "text"), wanted=wanted).select("doc_id", *wanted)
