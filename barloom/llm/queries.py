@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, decontaminate, fixity, langid, simhash, substrings, urls
+from barloom.llm import bpe, decontaminate, fixity, langid, neighbours, simhash, substrings, urls
 from barloom.llm.common import table
 
 QUERIES = {
     "op1_substring_dedup": lambda spark, sf: substrings.document_digests(table(spark, sf, "documents")),
     "op2_byte_bpe": lambda spark, sf: bpe.digests(table(spark, sf, "documents")),
+    "op3_ann_tree": lambda spark, sf: neighbours.embedding_neighbours(table(spark, sf, "embeddings")),
     "op6_simhash": lambda spark, sf: simhash.document_components(table(spark, sf, "documents")),
     "op7_warc_fixity": lambda spark, sf: fixity.page_audit(table(spark, sf, "pages")),
     "op8_url_filter": lambda spark, sf: urls.page_verdicts(table(spark, sf, "pages")),
