@@ -134,6 +134,74 @@ def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.nda
     return out
 
 
+def earliest(data: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether data[begin:end] is, of all equal ranges, the one with the least (doc, start); confirmed byte for byte."""
+    if not len(begin):
+        return np.zeros(0, bool)
+    key = range_hashes(data, begin, end)
+    order = np.lexsort((start, doc, key))
+    same = np.concatenate([[False], key[order][1:] == key[order][:-1]])
+    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    late = same & ((doc[order] != doc[head]) | (start[order] != start[head]))
+    i, j = order[late], head[late]
+    length = end[i] - begin[i]
+    equal = (length == end[j] - begin[j]) & equal_ranges(data, begin[i], begin[j], length)
+    keep = np.ones(len(begin), bool)
+    keep[i[equal]] = False
+    return keep
+
+
+#: Strings packed by bucket: compressed arrays of their documents, starts and lengths, and the strings end to end. A block
+#: without strings holds spans that the sending task has settled.
+BLOCK_SCHEMA = "bucket int, docs binary, starts binary, counts binary, packed binary"
+
+
+def pack_blocks(held: dict, settled: list, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of BLOCK_SCHEMA from {bucket: [(docs, starts, counts, bytes)]} and settled [(docs, starts, counts)]."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    rows = [(b, *[np.concatenate([x[i] for x in parts]) for i in range(3)], b"".join(x[3] for x in parts)) for b, parts in held.items()]
+    if settled:
+        doc, start, count = (np.concatenate([x[i] for x in settled]) for i in range(3))
+        bucket = mix(doc.astype(np.uint64)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            rows.append((int(bucket[part[0]]), doc[part], start[part], count[part], None))
+    for i in range(0, len(rows), 2000):
+        part = rows[i : i + 2000]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[0] for r in part], pa.int32()),
+                *[pa.array([squeeze(np.ascontiguousarray(r[i], t).tobytes()) for r in part], pa.binary()) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32))],
+                pa.array([None if r[4] is None else squeeze(r[4]) for r in part], pa.binary()),
+            ],
+            ["bucket", "docs", "starts", "counts", "packed"],
+        )
+
+
+def unpack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """From rows sorted by bucket: (settled spans or None, [(docs, starts, counts, bytes) of a whole bucket])."""
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    for group in sorted_groups(batches, "bucket"):
+        held: dict[int, list] = {}
+        settled = []
+        for row in group.to_pylist():
+            parts = [np.frombuffer(expand(row[c]), t) for c, t in (("docs", np.int64), ("starts", np.int32), ("counts", np.int32))]
+            if row["packed"] is None:
+                settled.append(parts)
+            else:
+                held.setdefault(row["bucket"], []).append((*parts, expand(row["packed"])))
+        join = lambda rows: [np.concatenate([x[i] for x in rows]) for i in range(3)]
+        yield join(settled) if settled else None, [(*join(x), b"".join(y[3] for y in x)) for x in held.values()]
+
+
+def span_batch(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, count)], ["doc", "start", "count"])
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Whole runs of rows with one key, of input sorted by it; several small runs come together."""
     held: list[pa.RecordBatch] = []

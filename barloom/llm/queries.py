@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, decontaminate, fixity, langid, lines, neighbours, simhash, substrings, urls
+from barloom.llm import bpe, decontaminate, fixity, langid, lines, neighbours, simhash, substrings, suffixes, urls
 from barloom.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_byte_bpe": lambda spark, sf: bpe.digests(table(spark, sf, "documents")),
     "op3_ann_tree": lambda spark, sf: neighbours.embedding_neighbours(table(spark, sf, "embeddings")),
     "op4_line_dedup": lambda spark, sf: lines.document_lines(table(spark, sf, "documents")),
+    "op5_suffix_dedup": lambda spark, sf: suffixes.document_digests(table(spark, sf, "documents")),
     "op6_simhash": lambda spark, sf: simhash.document_components(table(spark, sf, "documents")),
     "op7_warc_fixity": lambda spark, sf: fixity.page_audit(table(spark, sf, "pages")),
     "op8_url_filter": lambda spark, sf: urls.page_verdicts(table(spark, sf, "pages")),

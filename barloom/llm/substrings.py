@@ -24,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import NULL_ID, equal_ranges, flat_bytes, owners, partitions, range_hashes, sorted_groups, text_chunks, words
+from barloom.llm.common import BLOCK_SCHEMA, NULL_ID, earliest, equal_ranges, flat_bytes, owners, pack_blocks, partitions, range_hashes, span_batch, text_chunks, unpack_blocks, words
 
 K, M = 20, 8
 CHUNK_BYTES = 2 << 20
 FLUSH_BYTES = 48 << 20
-_BLOCK = "bucket int, docs binary, starts binary, counts binary, packed binary"
 
 
 def super_kmers(data: np.ndarray, offsets: np.ndarray, k: int, m: int):
@@ -53,51 +52,9 @@ def super_kmers(data: np.ndarray, offsets: np.ndarray, k: int, m: int):
     return joined, begins, ends, owner[first], first - text_first[owner[first]], first, last, grams[at[first]]
 
 
-def settle(joined, begins, ends, doc, start, first, last) -> np.ndarray:
-    """Which super-k-mers are the earliest (doc, start) of their equals; equals are confirmed byte for byte."""
-    if not len(first):
-        return np.zeros(0, bool)
-    key = range_hashes(joined, begins[first], ends[last])
-    order = np.lexsort((start, doc, key))
-    same = np.concatenate([[False], key[order][1:] == key[order][:-1]])
-    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-    late = same & ((doc[order] != doc[head]) | (start[order] != start[head]))
-    i, j = order[late], head[late]
-    length = ends[last[i]] - begins[first[i]]
-    equal = (length == ends[last[j]] - begins[first[j]]) & equal_ranges(joined, begins[first[i]], begins[first[j]], length)
-    keep = np.ones(len(first), bool)
-    keep[i[equal]] = False
-    return keep
-
-
-def _pack(rows: list[tuple]) -> pa.RecordBatch:
-    import zstandard
-
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([r[0] for r in rows], pa.int32()),
-            *[pa.array([squeeze(np.ascontiguousarray(r[i]).tobytes()) for r in rows], pa.binary()) for i in (1, 2, 3)],
-            pa.array([None if r[4] is None else squeeze(r[4]) for r in rows], pa.binary()),
-        ],
-        ["bucket", "docs", "starts", "counts", "packed"],
-    )
-
-
 def _route(k: int, m: int, buckets: int):
     """Documents (doc, text) to blocks of super-k-mers by bucket; blocks without strings carry settled spans."""
 
-    def flush(held: dict, settled: list) -> Iterator[pa.RecordBatch]:
-        rows = [(b, *[np.concatenate([x[i] for x in parts]) for i in range(3)], b"".join(x[3] for x in parts)) for b, parts in held.items()]
-        if settled:
-            doc, start, count = (np.concatenate([x[i] for x in settled]) for i in range(3))
-            bucket = doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                rows.append((int(bucket[part[0]]), doc[part], start[part], count[part], None))
-        for i in range(0, len(rows), 2000):
-            yield _pack(rows[i : i + 2000])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, settled, size = defaultdict(list), [], 0
         for batch in text_chunks(batches, "text", CHUNK_BYTES):
@@ -107,7 +64,7 @@ def _route(k: int, m: int, buckets: int):
             if not len(text):
                 continue
             doc, count = ids[text], last - first + 1
-            keep = settle(joined, begins, ends, doc, start, first, last)
+            keep = earliest(joined, begins[first], ends[last], doc, start)
             if not keep.all():
                 settled.append((doc[~keep], start[~keep].astype(np.int32), count[~keep].astype(np.int32)))
             sent = np.flatnonzero(keep)
@@ -122,9 +79,9 @@ def _route(k: int, m: int, buckets: int):
                 held[int(bucket[part[0]])].append((doc[at], start[at].astype(np.int32), count[at].astype(np.int32), strings))
                 size += len(strings)
             if size > FLUSH_BYTES:
-                yield from flush(held, settled)
+                yield from pack_blocks(held, settled, buckets)
                 held, settled, size = defaultdict(list), [], 0
-        yield from flush(held, settled)
+        yield from pack_blocks(held, settled, buckets)
 
     return run
 
@@ -166,30 +123,17 @@ def _judge(k: int):
     """Blocks sorted by bucket to spans (doc, start, count) of words to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        decompress = zstandard.ZstdDecompressor().decompress
-
-        def spans(doc, start, count):
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(count, pa.int64())], ["doc", "start", "count"])
-
-        for group in sorted_groups(batches, "bucket"):
-            blocks = defaultdict(list)
-            for row in group.to_pylist():
-                parts = (np.frombuffer(decompress(row["docs"]), np.int64), np.frombuffer(decompress(row["starts"]), np.int32), np.frombuffer(decompress(row["counts"]), np.int32))
-                if row["packed"] is None:
-                    yield spans(*parts)
-                else:
-                    blocks[row["bucket"]].append((*parts, decompress(row["packed"])))
-            for held in blocks.values():
-                doc, start, count = (np.concatenate([x[i] for x in held]) for i in range(3))
-                doc, at = repeated_windows(doc, start, count, np.frombuffer(b"".join(x[3] for x in held), np.uint8), k)
+        for settled, blocks in unpack_blocks(batches):
+            if settled is not None:
+                yield span_batch(*settled)
+            for doc, start, count, data in blocks:
+                doc, at = repeated_windows(doc, start, count, np.frombuffer(data, np.uint8), k)
                 if len(doc):
                     order = np.lexsort((at, doc))
                     doc, at = doc[order], at[order]
                     fresh = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(at) > 1)])
                     last = np.concatenate([np.flatnonzero(fresh)[1:], [len(doc)]]) - 1
-                    yield spans(doc[fresh], at[fresh], at[last] - at[fresh] + k)
+                    yield span_batch(doc[fresh], at[fresh], at[last] - at[fresh] + k)
 
     return run
 
@@ -199,7 +143,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", k: in
     spark = df.sparkSession
     n = partitions(spark)
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text).alias("text"))
-    blocks = docs.mapInArrow(_route(k, m, n * per_partition), _BLOCK)
+    blocks = docs.mapInArrow(_route(k, m, n * per_partition), BLOCK_SCHEMA)
     return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(k), "doc long, start long, count long")
 
 
