@@ -1,15 +1,22 @@
-"""Registry of the bar queries: name -> (Spark callable, DuckDB SQL or None)."""
+"""Registry of the bar queries: importing the plan modules registers them."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from barloom.plans import base, returns, windows
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base.QUERIES["G-08"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(base.ORACLES)
 
 
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["flagship", "oracle_sql", "queries", "returns", "windows"]
