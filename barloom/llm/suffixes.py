@@ -57,6 +57,7 @@ CHUNK_BYTES = 2 << 20
 FLUSH_BYTES = 32 << 20
 MOST_BLOCKS = 1 << 22
 HOT_SHARE = 4
+_CHUNK = 1 << 13
 #: Suffix arrays are built over about so many bytes at once (one anchor's stretches stay together).
 ARRAY_BYTES = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
@@ -232,10 +233,20 @@ def _bloom(repeated: DataFrame) -> np.ndarray:
             block, bits = _block_and_bits(batch.column("anchor").to_numpy().view(np.uint64), blocks)
             yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(bits.view(np.int64))], ["block", "bits"])
 
-    table = repeated.select("anchor").mapInArrow(run, "block long, bits long").groupBy("block").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(blocks, np.uint64)
-    out[table["block"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, "chunk"):
+            chunk, block, bits = (group.column(c).to_numpy() for c in ("chunk", "block", "bits"))
+            for part in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk)) + 1):
+                words = np.zeros(_CHUNK, np.uint64)
+                words[block[part] % _CHUNK] = bits[part].view(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([int(chunk[part[0]])], pa.int64()), pa.array([words.tobytes()], pa.binary())], ["chunk", "words"])
+
+    table = repeated.select("anchor").mapInArrow(run, "block long, bits long").groupBy("block").agg(F.bit_or("bits").alias("bits"))
+    table = table.withColumn("chunk", F.expr(f"block div {_CHUNK}")).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(pack, "chunk long, words binary")
+    out = np.zeros(max(blocks, _CHUNK), np.uint64)
+    for row in table.toLocalIterator():  # at most MOST_BLOCKS / _CHUNK rows
+        out[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["words"], np.uint64)
+    return out[:blocks]
 
 
 def _route(width: int, gram: int, buckets: int, shared):
