@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.plans import base, returns, tables, windows
+from barloom.plans import base, learning, returns, streams, tables, windows
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,4 +19,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(base.ORACLES)
 
 
-__all__ = ["flagship", "oracle_sql", "queries", "returns", "tables", "windows"]
+__all__ = ["flagship", "learning", "oracle_sql", "queries", "returns", "streams", "tables", "windows"]
