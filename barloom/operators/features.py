@@ -58,23 +58,20 @@ def shape(step: int) -> dict[str, Column]:
     return {"body": ts.ratio(c - o, o), "span": ts.ratio(h - low, o), "location": ts.ratio(c - low, h - low), "slot": F.floor(F.pmod("open_time", F.lit(DAY)) / step).cast("long")}
 
 
-_C = F.col
-
-
 def _register() -> None:
     for n in (1, 6, 24):
-        feature(f"return_{n}", n + 1)(lambda step, n=n: ts.log_return(_C("close"), n, step))
+        feature(f"return_{n}", n + 1)(lambda step, n=n: ts.log_return(F.col("close"), n, step))
     for n in (12, 48, 168):
-        feature(f"distance_{n}", n)(lambda step, n=n: ts.ratio(_C("close"), ts.mean(_C("close"), n, step)) - 1)
+        feature(f"distance_{n}", n)(lambda step, n=n: ts.ratio(F.col("close"), ts.mean(F.col("close"), n, step)) - 1)
     for n in (24, 168):
-        feature(f"volatility_{n}", n + 1)(lambda step, n=n: ts.std(_C("_return"), n))
+        feature(f"volatility_{n}", n + 1)(lambda step, n=n: ts.std(F.col("_return"), n))
     feature("parkinson_24", 24)(lambda step: ts.parkinson(24, step))
     feature("garman_klass_24", 24)(lambda step: ts.garman_klass(24, step))
     for name, column in (("volume", "volume"), ("dollar", "quote_volume"), ("taker", "_taker"), ("trades", "trades")):
-        feature(f"{name}_z_168", 168)(lambda step, column=column: ts.zscore(_C(column), 168, step))
-    for name in activity():
+        feature(f"{name}_z_168", 168)(lambda step, column=column: ts.zscore(F.col(column), 168, step))
+    for name in ("dollar_volume", "taker_ratio", "trade_size"):
         feature(name, 1)(lambda step, name=name: activity()[name])
-    for name in clock():
+    for name in ("hour_sin", "hour_cos", "day_sin", "day_cos"):
         feature(name, 1)(lambda step, name=name: clock()[name])
 
 
@@ -93,7 +90,7 @@ def longest() -> int:
 def build(bars: DataFrame, step: int, wanted: list[str] | None = None) -> DataFrame:
     """(symbol, open_time, one column a feature; NULL where unknown). All windows share one exchange and one sort."""
     wanted = wanted or names()
-    rows = bars.withColumns({"_return": ts.log_return(_C("close"), 1, step), "_taker": activity()["taker_ratio"]})
+    rows = bars.withColumns({"_return": ts.log_return(F.col("close"), 1, step), "_taker": activity()["taker_ratio"]})
     columns = []
     for name in wanted:
         f = REGISTRY[name]

@@ -27,33 +27,38 @@ def _feature(name: str, make, oracle_value: str, least: int, source: str = "h",
         return bars(spark, sf_dir, step).select("symbol", "open_time", r(make(), "value"))
 
 
-C = F.col("close")
-_feature("W-01", lambda: ts.lag(C, 3, HOUR), f"lag(close, 3) OVER {_W}", 4)
-_feature("W-03", lambda: ts.log_return(C, 6, HOUR), f"CASE WHEN close > 0 AND lag(close, 6) OVER {_W} > 0 THEN ln(close / lag(close, 6) OVER {_W}) END", 7)
-_feature("W-04", lambda: ts.mean(C, 12, HOUR), f"avg(close) OVER {_frame(12)}", 12)
-_feature("W-05", lambda: ts.std(C, 12, HOUR), f"stddev_samp(close) OVER {_frame(12)}", 12)
-_feature("W-06", lambda: ts.zscore(C, 12, HOUR), f"(close - avg(close) OVER {_frame(12)}) / nullif(stddev_samp(close) OVER {_frame(12)}, 0)", 12)
+
+
+def close():
+    return F.col("close")
+
+
+_feature("W-01", lambda: ts.lag(close(), 3, HOUR), f"lag(close, 3) OVER {_W}", 4)
+_feature("W-03", lambda: ts.log_return(close(), 6, HOUR), f"CASE WHEN close > 0 AND lag(close, 6) OVER {_W} > 0 THEN ln(close / lag(close, 6) OVER {_W}) END", 7)
+_feature("W-04", lambda: ts.mean(close(), 12, HOUR), f"avg(close) OVER {_frame(12)}", 12)
+_feature("W-05", lambda: ts.std(close(), 12, HOUR), f"stddev_samp(close) OVER {_frame(12)}", 12)
+_feature("W-06", lambda: ts.zscore(close(), 12, HOUR), f"(close - avg(close) OVER {_frame(12)}) / nullif(stddev_samp(close) OVER {_frame(12)}, 0)", 12)
 _feature(
     "W-07",
-    lambda: ts.rank(C, 12, HOUR),
+    lambda: ts.rank(close(), 12, HOUR),
     f"(len(list_filter(list(close) OVER {_frame(12)}, lambda x: x < close)) + (len(list_filter(list(close) OVER {_frame(12)}, lambda x: x = close)) + 1) / 2) / 12",
     12,
 )
-_feature("W-08", lambda: ts.ratio(C, ts.mean(C, 12, HOUR)) - 1, f"close / nullif(avg(close) OVER {_frame(12)}, 0) - 1", 12)
+_feature("W-08", lambda: ts.ratio(close(), ts.mean(close(), 12, HOUR)) - 1, f"close / nullif(avg(close) OVER {_frame(12)}, 0) - 1", 12)
 _feature("W-10", lambda: ts.parkinson(12, HOUR), f"sqrt(avg(pow(ln(high / low), 2)) OVER {_frame(12)} / (4 * ln(2)))", 12)
 _GK = "0.5 * pow(ln(high / low), 2) - (2 * ln(2) - 1) * pow(ln(close / open), 2)"
 _feature("W-11", lambda: ts.garman_klass(12, HOUR), f"CASE WHEN avg({_GK}) OVER {_frame(12)} >= 0 THEN sqrt(avg({_GK}) OVER {_frame(12)}) END", 12)
 _feature("W-12", lambda: ts.zscore(F.col("quote_volume"), 24, HOUR), f"(quote_volume - avg(quote_volume) OVER {_frame(24)}) / nullif(stddev_samp(quote_volume) OVER {_frame(24)}, 0)", 24)
-_feature("W-13", lambda: ts.warm(C, 24), f"CASE WHEN row_number() OVER {_W} > 24 THEN close END", 1)
-_feature("W-14", lambda: ts.forward_return(C, 4, HOUR), f"CASE WHEN lead(open_time, 4) OVER {_W} - open_time = 4 * {HOUR} THEN lead(close, 4) OVER {_W} / nullif(close, 0) - 1 END", 1)
-_feature("W-30", lambda: F.when(ts.full(C, 5), F.percentile(C, 0.5).over(ts.last_n(5))), f"CASE WHEN count(close) OVER {_frame(5)} = 5 THEN quantile_cont(close, 0.5) OVER {_frame(5)} END", 1)
+_feature("W-13", lambda: ts.warm(close(), 24), f"CASE WHEN row_number() OVER {_W} > 24 THEN close END", 1)
+_feature("W-14", lambda: ts.forward_return(close(), 4, HOUR), f"CASE WHEN lead(open_time, 4) OVER {_W} - open_time = 4 * {HOUR} THEN lead(close, 4) OVER {_W} / nullif(close, 0) - 1 END", 1)
+_feature("W-30", lambda: F.when(ts.full(close(), 5), F.percentile(close(), 0.5).over(ts.last_n(5))), f"CASE WHEN count(close) OVER {_frame(5)} = 5 THEN quantile_cont(close, 0.5) OVER {_frame(5)} END", 1)
 _feature("W-32", lambda: ts.steps_on_time(6, HOUR).cast("double"), f"sum(on_time) OVER {_frame(5)}", 1, f"(SELECT *, (open_time - lag(open_time) OVER {_W} = {HOUR})::INT AS on_time FROM h)")
-_feature("F-03", lambda: ts.clip(C / 10 - 1, -0.5, 0.5), "least(greatest(close / 10 - 1, -0.5), 0.5)", 1)
-_feature("F-02", lambda: ts.sign(C - F.col("open")), "sign(close - open)", 1)
-_feature("F-04", lambda: ts.choose(F.when(F.col("volume") > 1, F.signum(C - F.col("open"))), C, -C), "CASE WHEN volume > 1 THEN CASE WHEN sign(close - open) <> 0 THEN close ELSE -close END END", 1)
-_feature("F-01", lambda: ts.ratio(C - F.col("open"), F.col("high") - F.col("low")), "(close - open) / nullif(high - low, 0)", 1)
-_feature("F-05", lambda: ts.bound(F.ln(C) - 2), "least(greatest(ln(close) - 2, -1.0), 1.0)", 1)
-_feature("F-06", lambda: F.sqrt(F.abs(C - F.col("open"))) + F.sin(C) + F.floor(C), "sqrt(abs(close - open)) + sin(close) + floor(close)", 1)
+_feature("F-03", lambda: ts.clip(close() / 10 - 1, -0.5, 0.5), "least(greatest(close / 10 - 1, -0.5), 0.5)", 1)
+_feature("F-02", lambda: ts.sign(close() - F.col("open")), "sign(close - open)", 1)
+_feature("F-04", lambda: ts.choose(F.when(F.col("volume") > 1, F.signum(close() - F.col("open"))), close(), -close()), "CASE WHEN volume > 1 THEN CASE WHEN sign(close - open) <> 0 THEN close ELSE -close END END", 1)
+_feature("F-01", lambda: ts.ratio(close() - F.col("open"), F.col("high") - F.col("low")), "(close - open) / nullif(high - low, 0)", 1)
+_feature("F-05", lambda: ts.bound(F.ln(close()) - 2), "least(greatest(ln(close) - 2, -1.0), 1.0)", 1)
+_feature("F-06", lambda: F.sqrt(F.abs(close() - F.col("open"))) + F.sin(close()) + F.floor(close()), "sqrt(abs(close - open)) + sin(close) + floor(close)", 1)
 
 
 @query("W-02", sql(f"SELECT symbol, open_time, {_CONTIG.format(n=5)} AS ok FROM h"))
@@ -66,7 +71,7 @@ _RET = f"SELECT *, CASE WHEN {_CONTIG.format(n=1)} AND close > 0 AND lag(close)
 
 @query("W-09", sql(f"SELECT symbol, open_time, round(CASE WHEN count(lr) OVER {_frame(24)} = 24 THEN stddev_samp(lr) OVER {_frame(24)} END, 6) + 0.0 AS value FROM r", r=_RET))
 def realised_volatility(spark, sf_dir):
-    rows = bars(spark, sf_dir, HOUR).withColumn("lr", ts.log_return(C, 1, HOUR))
+    rows = bars(spark, sf_dir, HOUR).withColumn("lr", ts.log_return(close(), 1, HOUR))
     return rows.select("symbol", "open_time", r(ts.std(F.col("lr"), 24), "value"))
 
 
@@ -137,7 +142,7 @@ def patterns(spark, sf_dir):
 
 @query("F-18", sql("SELECT symbol, open_time, round(sign(g) * greatest(abs(g) - 0.05, 0), 6) + 0.0 AS edge FROM (SELECT symbol, open_time, close / nullif(open, 0) - 1 AS g FROM h)"))
 def edge(spark, sf_dir):
-    g = ts.ratio(C, F.col("open")) - 1
+    g = ts.ratio(close(), F.col("open")) - 1
     return bars(spark, sf_dir, HOUR).select("symbol", "open_time", r(pnl.edge_after_cost(g, 0.05), "edge"))
 
 
@@ -241,7 +246,7 @@ def top_volume(spark, sf_dir):
 
 @query("W-31", sql(f"SELECT symbol, open_time, CASE WHEN s = 1 AND coalesce(p, 0) = 0 THEN 'entry' WHEN s = 0 AND p = 1 THEN 'exit' WHEN s = 1 THEN 'hold' ELSE 'flat' END AS state FROM (SELECT *, lag(s) OVER {_W} AS p FROM (SELECT *, (close > open)::INT AS s FROM h))"))
 def state_changes(spark, sf_dir):
-    rows = bars(spark, sf_dir, HOUR).withColumn("s", (C > F.col("open")).cast("int"))
+    rows = bars(spark, sf_dir, HOUR).withColumn("s", (close() > F.col("open")).cast("int"))
     return sessions.state_changes(rows, "s").select("symbol", "open_time", "state")
 
 
@@ -252,7 +257,7 @@ def state_changes(spark, sf_dir):
     ),
 )
 def runs(spark, sf_dir):
-    rows = bars(spark, sf_dir, DAY).withColumn("up", C > F.col("open"))
+    rows = bars(spark, sf_dir, DAY).withColumn("up", close() > F.col("open"))
     return sessions.runs(rows, "up").select("symbol", "g", "up", "first", "last", "n")
 
 

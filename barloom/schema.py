@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-KLINE = T.StructType.fromDDL(
+_KINDS = {"long": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}
+
+
+def _struct(columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in columns.split(","))])
+
+
+KLINE = _struct(
     "open_time long, open double, high double, low double, close double, volume double, close_time long, quote_volume double, trades long, taker_buy_base double, taker_buy_quote double, ignore double"
 )
-BAR = T.StructType.fromDDL(
+BAR = _struct(
     "symbol string, open_time long, open double, high double, low double, close double, volume double, close_time long, quote_volume double, trades long, taker_buy_base double, taker_buy_quote double"
 )
 

@@ -32,7 +32,7 @@ def read_zipped_klines(spark: SparkSession, glob: str) -> DataFrame:
                     raise ValueError(f"{path} is empty")
                 yield rows.assign(file=path.rsplit("/", 1)[-1])
 
-    return files.mapInPandas(run, KLINE.simpleString()[7:-1].replace(":", " ") + ", file string")
+    return files.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in KLINE.fields) + ", file string")
 
 
 def parse_candles(docs: DataFrame, body: str) -> DataFrame:
