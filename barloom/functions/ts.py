@@ -95,11 +95,9 @@ def mean(x: Column, n: int, step: int | None = None, w: WindowSpec | None = None
 
 
 def std(x: Column, n: int, step: int | None = None, w: WindowSpec | None = None) -> Column:
-    """Sample deviation; exactly zero on a constant window."""
+    """Sample deviation. Every frame is summed anew around its own mean, so a constant window gives exactly zero."""
     _window(n, 2)
-    f = last_n(n, w)
-    flat = F.max(x).over(f) == F.min(x).over(f)
-    return gated(F.when(flat, F.lit(0.0)).otherwise(F.stddev_samp(x).over(f)), x, n, step, w)
+    return gated(F.stddev_samp(x).over(last_n(n, w)), x, n, step, w)
 
 
 def zscore(x: Column, n: int, step: int | None = None, w: WindowSpec | None = None) -> Column:
