@@ -58,7 +58,7 @@ def return_metrics(rows: DataFrame, value: str, per_year: float, *keys: str) ->
     x = F.col(value)
     biggest = rows.groupBy(*keys).agg(F.max(F.abs(x)).alias("_m"))
     scaled = rows.join(biggest, list(keys)).groupBy(*keys).agg(
-        F.count(x).alias("n"), F.sum(x).alias("total"), F.avg(x).alias("mean"), (F.stddev_samp(ratio(x, F.nullif(F.col("_m"), F.lit(0.0)))) * F.max("_m")).alias("vol")
+        F.count(x).alias("n"), F.sum(x).alias("total"), F.avg(x).alias("mean"), F.when((F.max("_m") == 0) & (F.count(x) > 1), 0.0).otherwise(F.stddev_samp(ratio(x, F.nullif(F.col("_m"), F.lit(0.0)))) * F.max("_m")).alias("vol")
     )
     vol = F.nullif(F.col("vol"), F.lit(0.0))
     return scaled.select(

@@ -271,9 +271,9 @@ _ORB = dict(
 )
 
 
-@query("O-02", sql('SELECT symbol, day, entry, "exit" FROM e LEFT JOIN x USING (symbol, day)', **_ORB))
+@query("O-02", sql('SELECT symbol, day, entry, coalesce("exit", -1) AS "exit" FROM e LEFT JOIN x USING (symbol, day)', **_ORB))
 def opening_breakout(spark, sf_dir):
-    return sessions.breakout(bars(spark, sf_dir, HOUR), HOUR, 3)
+    return sessions.breakout(bars(spark, sf_dir, HOUR), HOUR, 3).withColumn("exit", F.coalesce("exit", F.lit(-1)))
 
 
 @query("O-05", sql('SELECT symbol, open_time, (entry IS NOT NULL AND slot >= entry AND ("exit" IS NULL OR slot < "exit"))::INT AS target FROM s LEFT JOIN e USING (symbol, day) LEFT JOIN x USING (symbol, day)', **_ORB))

@@ -44,9 +44,9 @@ def watermarks(spark, sf_dir):
 
 @query("R-05", None)
 def stream_resampled(spark, sf_dir):
-    """Complete six-hour bars of the stream; windows that the final watermark has not passed stay open."""
+    """Complete two-hour bars of the stream; windows that the final watermark has not passed stay open."""
     root = _root(spark)
-    cb.drain(cb.resample(_stream(spark, sf_dir, root), HOUR, 6 * HOUR), f"{root}/out", f"{root}/state")
+    cb.drain(cb.resample(_stream(spark, sf_dir, root), HOUR, 2 * HOUR), f"{root}/out", f"{root}/state")
     return spark.read.schema("symbol string, open_time long, open double, high double, low double, close double, volume double").parquet(f"{root}/out")
 
 
