@@ -160,7 +160,7 @@ def pack_blocks(held: dict, settled: list, buckets: int) -> Iterator[pa.RecordBa
     """Rows of BLOCK_SCHEMA from {bucket: [(docs, starts, counts, bytes)]} and settled [(docs, starts, counts)]."""
     import zstandard
 
-    squeeze = zstandard.ZstdCompressor(level=1).compress
+    squeeze = zstandard.ZstdCompressor(level=3).compress
     rows = [(b, *[np.concatenate([x[i] for x in parts]) for i in range(3)], b"".join(x[3] for x in parts)) for b, parts in held.items()]
     if settled:
         doc, start, count = (np.concatenate([x[i] for x in settled]) for i in range(3))
