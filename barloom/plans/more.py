@@ -105,7 +105,7 @@ def search_effort(spark, sf_dir):
     return table(spark, sf_dir, "orders").rollup(F.col("o_orderpriority").alias("grp")).agg(F.count("*").alias("attempts"), F.count_if(done).alias("valid"), F.count_if(~done).alias("invalid"))
 
 
-@query("J-11", "SELECT c_custkey, o_orderkey, n_name FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
+@query("J-11", "SELECT c_custkey, coalesce(o_orderkey, -1) AS o_orderkey, n_name FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
 def registry_report(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey")
     c, n = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
