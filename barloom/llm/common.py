@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id wherever ids are ordered: nulls come before every id.
@@ -42,6 +42,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sample(rows: DataFrame, key: Column, most: int, seed: int = 11) -> DataFrame:
+    """About ``most`` rows (all, if no more), those with the least hashes of ``key``; never above twice as many, even
+    where many rows share a key. Each task decides alone, so nothing but the sample reaches the driver."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    edge = int(most / n * 2**64) - 2**63
+    return rows.where(F.xxhash64(key, F.lit(seed)) < edge).limit(2 * most)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of text each; a longer text is a slice of its own."""
     for batch in batches:

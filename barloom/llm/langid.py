@@ -6,7 +6,7 @@ words; all are hashed into a table of ``2**TABLE_BITS`` rows of one weight per l
 neighbouring words are learned with them. Prediction runs forward-backward exactly over the whole text and takes the
 language with the largest mean posterior; that mean is the score.
 
-The fit uses a documented, bounded sample: ``SAMPLE_DOCS`` labelled rows in the order of a hash of the id. Training
+The fit uses a documented, bounded sample: about ``SAMPLE_DOCS`` labelled rows chosen by a hash of the id. Training
 sequences splice passages of several sampled texts, so that changes of language inside a text are seen and transitions
 are learned from them. The model is small (a fixed table) and broadcast.
 
@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import flat_bytes, mix, owners, text_chunks, words
+from barloom.llm.common import flat_bytes, mix, owners, range_hashes, sample, text_chunks, words
 
 SAMPLE_DOCS = 1500
 TABLE_BITS = 16
 LEXICON = 2000
 EPOCHS = 3
 SEGMENT = 24
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 UNKNOWN = "und"
 
 
@@ -44,21 +44,27 @@ class Model:
 
 
 def _table_rows(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return (mix(h) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
 
 
-def features(joined: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Pairs (feature rows, word of each) and the whole words' hashes. ASCII capitals are lowered; the spaces around a
-    word are its edges."""
+def word_hashes(joined: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word with ASCII capitals lowered."""
+    return range_hashes(np.where((joined >= 65) & (joined <= 90), joined + 32, joined), begins, ends)
+
+
+def features(joined: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (feature rows, word of each), one kind of feature at a time: n-grams (words ascending), then affixes. ASCII
+    capitals are lowered; the spaces around a word are its edges."""
     low = np.where((joined >= 65) & (joined <= 90), joined + 32, joined).astype(np.uint64)
     padded = np.concatenate([[np.uint64(32)], low, np.full(4, 32, np.uint64)])  # padded[i + 1] is joined[i]
     n, count = len(joined), len(begins)
-    word_of = np.repeat(np.arange(count), ends - begins + 1)  # the space after a word belongs to it
-    grams, out = padded[: n + 1].copy(), []
+    word_of = np.repeat(np.arange(count, dtype=np.int32), ends - begins + 1)  # the space after a word belongs to it
+    left = np.repeat(ends.astype(np.int32), ends - begins + 1) - np.arange(n, dtype=np.int32)
+    grams = padded[: n + 1].copy()
     for size in (2, 3, 4):
         grams = (grams[: n + 1] << np.uint64(8)) | padded[size - 1 : size + n]
-        use = np.arange(n) + size - 2 <= ends[word_of]  # ends at the space after the word at most
-        out.append((_table_rows(grams[:n][use] * np.uint64(8) + np.uint64(size)), word_of[use]))
+        use = left >= size - 2  # ends at the space after the word at most
+        yield _table_rows(grams[:n][use] * np.uint64(8) + np.uint64(size)), word_of[use]
     length = ends - begins
     for size in (1, 2, 3, 4):
         has = np.flatnonzero(length >= size)
@@ -66,18 +72,7 @@ def features(joined: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[
             code = np.zeros(len(has), np.uint64)
             for i in range(size):
                 code = (code << np.uint64(8)) | padded[at + i]
-            out.append((_table_rows(code * np.uint64(64) + np.uint64(tag + size)), has))
-    powers = np.uint64(0x100000001B3)
-    sums = np.zeros(n + 1, np.uint64)
-    scale = np.full(n + 1, powers, np.uint64)
-    scale[0] = 1
-    scale = np.multiply.accumulate(scale)
-    np.cumsum(low * scale[:n], out=sums[1:])
-    inverse = np.full(n + 1, np.uint64(pow(0x100000001B3, -1, 2**64)), np.uint64)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
-    whole = mix((sums[ends] - sums[begins]) * inverse[begins] + length.astype(np.uint64))
-    return out, whole
+            yield _table_rows(code * np.uint64(64) + np.uint64(tag + size)), has
 
 
 def letter_words(joined: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -94,15 +89,15 @@ def letter_words(joined: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 def emissions(model: Model, joined: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(words, labels) sums of feature weights; zero for words without a letter."""
-    rows, whole = features(joined, begins, ends)
     n, labels = len(begins), len(model.labels)
     out = np.zeros((n, labels), np.float32)
-    for feature, word in rows[:3]:  # every word has n-grams, in order
-        if len(word):
+    for kind, (feature, word) in enumerate(features(joined, begins, ends)):
+        if kind >= 3:
+            out[word] += model.weights[feature]
+        elif len(word):
             first = np.flatnonzero(np.diff(word, prepend=-1))
             out[word[first]] += np.add.reduceat(model.weights[feature], first, axis=0)
-    for feature, word in rows[3:]:
-        out[word] += model.weights[feature]
+    whole = word_hashes(joined, begins, ends)
     at = np.minimum(np.searchsorted(model.lexicon, whole), max(0, len(model.lexicon) - 1))
     if len(model.lexicon):
         known = np.flatnonzero(model.lexicon[at] == whole)
@@ -111,43 +106,45 @@ def emissions(model: Model, joined: np.ndarray, begins: np.ndarray, ends: np.nda
     return out
 
 
-def forward_backward(scores: np.ndarray, counts: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors of every word and summed expected transitions, for texts of ``counts`` words laid end to end.
+def forward_backward(scores: np.ndarray, counts: np.ndarray, transitions: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Posteriors of every word and, if asked, summed expected transitions, for texts of ``counts`` words end to end.
 
     All texts advance together, the longest first, so step t works on those with more than t words; exact for any length.
+    Messages are scaled every few steps and normalised at the end.
     """
-    labels = scores.shape[1]
     order = np.argsort(-counts, kind="stable")
-    first = (np.concatenate([[0], np.cumsum(counts)[:-1]]))[order]
-    lengths = counts[order]
+    begin = np.cumsum(counts) - counts
+    first, lengths = begin[order], counts[order]
     most = int(lengths[0]) if len(lengths) else 0
-    alive = np.searchsorted(-lengths, -np.arange(most), side="left")  # texts with more than t words
+    alive = np.searchsorted(-lengths, -np.arange(most), side="left").tolist()  # texts with more than t words
     e = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64)
     a = np.exp(transitions - transitions.max())
-    forward = np.empty_like(e)
-    now = None
-    for t in range(most):
-        at = first[: alive[t]] + t
-        now = e[at] if t == 0 else (now[: alive[t]] @ a) * e[at]
-        now /= now.sum(axis=1, keepdims=True)
+    back_a = np.ascontiguousarray(a.T)
+    forward, backward = np.empty_like(e), np.empty_like(e)
+    now = np.ones((len(counts), scores.shape[1]))
+    for t, n in enumerate(alive):
+        at = first[:n] + t
+        now = e[at] if t == 0 else (now[:n] @ a) * e[at]
+        if t & 7 == 7:
+            now /= now.max(axis=1, keepdims=True)
         forward[at] = now
-    post = np.empty_like(e)
-    pairs = np.zeros((labels, labels))
-    back = np.ones((0, labels))
+    back = np.ones_like(e[: len(counts)])
     for t in range(most - 1, -1, -1):
-        at = first[: alive[t]] + t
-        if len(back) < alive[t]:
-            back = np.concatenate([back, np.ones((alive[t] - len(back), labels))])
-        p = forward[at] * back
-        p /= p.sum(axis=1, keepdims=True)
-        post[at] = p
-        back = back * e[at]
-        if t:
-            back /= back.sum(axis=1, keepdims=True)
-            joint = forward[at - 1][:, :, None] * a * back[:, None, :]
-            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            back = back @ a.T
-    return post, pairs
+        n = alive[t]
+        at = first[:n] + t
+        live = back[:n]  # texts that end here still hold ones
+        backward[at] = live
+        live = (live * e[at]) @ back_a
+        back[:n] = live if t & 7 else live / live.max(axis=1, keepdims=True)
+    post = forward * backward
+    post /= post.sum(axis=1, keepdims=True)
+    if not pairs:
+        return post, None
+    later = np.ones(len(e), bool)
+    later[begin] = False
+    at = np.flatnonzero(later)
+    joint = forward[at - 1][:, :, None] * a * (e[at] * backward[at])[:, None, :]
+    return post, (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
@@ -172,8 +169,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             starts = rng.choice(starts, 40, replace=False)
         segments += [(first[d] + s, min(SEGMENT, n - s), gold_of[d]) for s in starts.tolist()]
     segments = np.asarray(segments, np.int64)
-    _, whole = features(joined, begins, ends)
-    values, times = np.unique(whole, return_counts=True)
+    values, times = np.unique(word_hashes(joined, begins, ends), return_counts=True)
     model.lexicon = np.sort(values[np.argsort(-times, kind="stable")[:LEXICON]])
     squares, pair_squares = np.full_like(table, 1e-6), np.full_like(model.transitions, 1e-6)
     for _ in range(EPOCHS):
@@ -186,8 +182,8 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             stops = np.cumsum(lengths)
             text = joined[np.repeat(begins[w] - (stops - lengths), lengths) + np.arange(stops[-1])]
             b, e = stops - lengths, stops - 1
-            rows, hashes = features(text, b, e)
-            post, pairs = forward_backward(emissions(model, text, b, e), spliced, model.transitions)
+            rows, hashes = list(features(text, b, e)), word_hashes(text, b, e)
+            post, pairs = forward_backward(emissions(model, text, b, e), spliced, model.transitions, pairs=True)
             delta = (np.eye(len(labels))[gold] - post).astype(np.float32)
             delta[~letter_words(text, b)] = 0
             known = np.flatnonzero(np.isin(hashes, model.lexicon))
@@ -227,9 +223,10 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def fit_sample(rows: DataFrame, key: Column, text: str = "text", lang: str = "lang", most: int = SAMPLE_DOCS) -> Model:
-    """Fit on at most ``most`` labelled rows, those first in the order of a hash of ``key``."""
-    sample = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, lang, F.xxhash64(key.cast("string")).alias("o")).orderBy("o", text, lang).limit(most).collect()
-    return fit([r[0] for r in sample], [r[1] for r in sample])
+    """Fit on about ``most`` labelled rows (twice as many at the utmost), chosen by a hash of ``key``."""
+    labelled = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key.cast("string").alias("key"), text, lang)
+    drawn = sorted(sample(labelled, F.col("key"), most).collect(), key=lambda r: (r[0] or "", r[1], r[2]))
+    return fit([r[1] for r in drawn], [r[2] for r in drawn])
 
 
 def classify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

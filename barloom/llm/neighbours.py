@@ -1,6 +1,6 @@
 """Approximate nearest neighbours (operator 3): a hierarchical k-means tree with best-bin-first search.
 
-Nearness is the largest inner product. The tree is fitted on a documented, bounded sample of ``SAMPLE`` vectors, made
+Nearness is the largest inner product. The tree is fitted on a documented, bounded sample of about ``SAMPLE`` vectors, made
 Euclidean by one more coordinate that brings all to one norm; its size is bounded by the sample, so it is broadcast. Every
 row is assigned to a leaf. A query walks the tree with a priority queue ordered by the bound q.c + |q| r of each node
 (centre c, radius r); leaves come out best first. How many leaves are visited is calibrated: a fixed set of queries is
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import materialize, partitions
+from barloom.llm.common import sample as draw_rows
 
 K = 20
 SAMPLE = 20_000
@@ -200,7 +201,7 @@ def search(
     """(query_id, rank, vec_id, score): the k nearest rows of ``df`` found for each row of ``queries``."""
     spark = df.sparkSession
     rows, asked = clean(df, key, vector), clean(queries, key, vector)
-    draw = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    draw = draw_rows(rows, F.col("id"), sample).orderBy("id").toPandas()
     if not len(draw):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = fit_tree(np.stack(draw["v"].to_numpy()))
@@ -216,7 +217,7 @@ def search(
 
     indexed = materialize(rows.mapInArrow(index, "leaf int, id long, v array<double>"))
     # calibration: widen until a fixed set of queries reaches the target against brute force
-    some = asked.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATION).toPandas()
+    some = draw_rows(asked, F.col("id"), CALIBRATION, seed=12).orderBy("id").toPandas()
     if not len(some):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     held = (some["id"].to_numpy(), np.stack(some["v"].to_numpy()))
