@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import BLOCK_SCHEMA, NULL_ID, earliest, equal_ranges, flat_bytes, owners, pack_blocks, partitions, range_hashes, span_batch, text_chunks, unpack_blocks, words
 
-K, M = 20, 8
-CHUNK_BYTES = 2 << 20
-FLUSH_BYTES = 48 << 20
+K, M = 20, 6
+CHUNK_BYTES = 1 << 20
+FLUSH_BYTES = 16 << 20
 
 
 def super_kmers(data: np.ndarray, offsets: np.ndarray, k: int, m: int):
