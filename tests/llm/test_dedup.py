@@ -207,3 +207,27 @@ def test_line_blocks_compare_members_of_one_band(spark):
     members = spark.createDataFrame([(7, i, i) for i in (1, 2, 3, 4)], "band long, lid long, class long")
     for rows in (1, 64):
         assert sorted(map(tuple, lines.block_links(members, shingles, 0.8, rows).collect())) == [(1, 2), (3, 4)]
+
+
+@pytest.mark.parametrize("shared, left, right", [(4, 1, 0), (5, 1, 0), (8, 1, 1), (8, 2, 0), (12, 2, 1), (16, 2, 2), (18, 1, 1), (64, 8, 8), (80, 20, 0)])
+def test_line_bands_find_similar_sets_of_every_size(spark, shared, left, right):
+    rng = np.random.default_rng(shared)
+    rows = []
+    for _ in range(400):
+        h = rng.integers(-(2**63), 2**63 - 1, shared + left + right).tolist()
+        rows.append((sorted(h[: shared + left]), sorted(h[:shared] + h[shared + left :])))
+    table = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    met = table.select(lines.F.arrays_overlap(lines.band_keys(lines.F.col("a")), lines.band_keys(lines.F.col("b"))).alias("met"))
+    assert met.where("met").count() >= 0.97 * len(rows)
+
+
+def test_short_fuzzy_lines_are_found(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(0, 600, 2):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(12)) for _ in range(rng.randint(5, 20))]
+        rows += [(i, " ".join(words)), (i + 1, " ".join([*words, "something"]))]  # one more word: J of 5/6 to 20/21
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["n_removed"] for r in lines.document_lines(table).collect()}
+    assert all(got[i] == 0 for i in range(0, 600, 2))
+    assert sum(got[i] for i in range(1, 600, 2)) >= 0.97 * 300
