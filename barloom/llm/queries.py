@@ -9,7 +9,7 @@ QUERIES = {
     "op1_substring_dedup": lambda spark, sf: substrings.document_digests(table(spark, sf, "documents")),
     "op2_byte_bpe": lambda spark, sf: bpe.digests(table(spark, sf, "documents")),
     "op3_ann_tree": lambda spark, sf: neighbours.embedding_neighbours(table(spark, sf, "embeddings")),
-    "op4_line_dedup": lambda spark, sf: lines.document_lines(table(spark, sf, "documents")),
+    "op4_line_dedup": lambda spark, sf: lines.document_lines(table(spark, sf, "documents"), min_words=1),
     "op5_suffix_dedup": lambda spark, sf: suffixes.document_digests(table(spark, sf, "documents")),
     "op6_simhash": lambda spark, sf: simhash.document_components(table(spark, sf, "documents")),
     "op7_warc_fixity": lambda spark, sf: fixity.page_audit(table(spark, sf, "pages")),

@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated lines, exact and fuzzy; documents left without a word go; n_chars follows the text."""
-    out = lines.dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+    out = lines.dedup(docs.select(*COLUMNS), min_words=1).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
     return out.where((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(r"\S"))).select(*COLUMNS)
 
 

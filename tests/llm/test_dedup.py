@@ -231,3 +231,17 @@ def test_short_fuzzy_lines_are_found(spark):
     got = {r["doc_id"]: r["n_removed"] for r in lines.document_lines(table).collect()}
     assert all(got[i] == 0 for i in range(0, 600, 2))
     assert sum(got[i] for i in range(1, 600, 2)) >= 0.97 * 300
+
+
+def test_registered_query_takes_every_line_that_is_not_blank(spark, tmp_path):
+    from barloom.llm import queries
+
+    rng = random.Random(10)
+    long = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(200))
+    near = long[:150] + "\u4e00" + long[151:]
+    url = "https://example.com/" + "".join(rng.choice("abcdefghij") for _ in range(60))
+    texts = ["Share\nRead more\n\n" + long, "read MORE\n\n" + near, " \n" + url + "\nShare", url + "\nReader\n\u3000", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_lines"], r["removed"]) for r in queries.QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {0: (4, ""), 1: (3, "0,2"), 2: (3, "2"), 3: (3, "0"), 4: (0, "")}
