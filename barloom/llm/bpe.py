@@ -2,8 +2,9 @@
 
 Texts are encoded by the tiktoken library with a local rank file. Long texts are cut first at safe boundaries: places
 where a character that is not white space meets a space or newline. No match of the splitting pattern spans such a place
-and its look-ahead never looks past one, so pieces encode as the whole text does. Stretches without such a place are
-matched here and merged match by match.
+and its look-ahead never looks past one, so pieces encode as the whole text does. Runs of ``LONG_RUN`` white-space characters
+or more, on which the library's matcher fails from a million on, are matched here: all but the last character where another
+follows the run, else all of it; that match is merged without the matcher.
 
 Defined results: a null text encodes as the empty text (no ids, no bytes); repeated rows are encoded each on their own;
 a null id list decodes to null; other columns pass through unless they clash with an output column, which replaces them.
@@ -29,6 +30,9 @@ from barloom.llm.common import text_chunks
 PIECE_CHARS = 50_000
 CHUNK_BYTES = 2 << 20
 _SAFE = re.compile(r"(?<=\S)[ \n]")
+LONG_RUN = 10_000
+#: White space as the splitting pattern has it; Python's own class holds four control characters more.
+_LONG = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
 
 
 def default_rank_file() -> str:
@@ -70,7 +74,13 @@ def encode_text(text: str, rank_file: str, pattern: str) -> list[int]:
     enc = encoding(rank_file, pattern)
     if len(text) <= PIECE_CHARS:
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text) for i in enc.encode_ordinary(piece)]
+    out, at = [], 0
+    for run in _LONG.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        out += [i for piece in pieces(text[at : run.start()]) for i in enc.encode_ordinary(piece)]
+        out += enc._encode_single_piece(text[run.start() : stop])
+        at = stop
+    return out + [i for piece in pieces(text[at:]) for i in enc.encode_ordinary(piece)]
 
 
 #: What a round trip can give for each text, with its Spark and Arrow types.

@@ -37,6 +37,17 @@ def test_bpe_pieces_join_and_cut_safely():
         assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+def test_bpe_long_white_space():
+    rank_file, pattern = bpe.default_rank_file(), bpe.default_pattern()
+    enc = bpe.encoding(rank_file, pattern)
+    for space in [" ", "\n", "\t", " \n", "\u3000", "\r\n"]:
+        for end in ["", "b", "b c", "\x1cb", "!"]:
+            text = "a" + space * 40_000 + end + space * 30_000 + end
+            assert bpe.encode_text(text, rank_file, pattern) == enc.encode_ordinary(text)
+            text = "a" + space * 1_200_000 + end
+            assert enc.decode(bpe.encode_text(text, rank_file, pattern)) == text
+
+
 def test_neighbours_reach_recall_and_keep_ties(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 8))
