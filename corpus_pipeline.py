@@ -24,17 +24,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The columns and ``row``, a number of each row's own, written out so that it stays; ids may be null or repeated."""
+    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated lines, exact and fuzzy; documents left without a word go; n_chars follows the text."""
-    out = lines.dedup(docs.select(*COLUMNS), min_words=1).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+    """Cut repeated lines, exact and fuzzy; documents left without a word go; n_chars follows the text. Each row is a
+    document of its own; those with one doc_id are ordered by their numbers."""
+    rows = numbered(docs).select(*COLUMNS, F.struct("doc_id", "row").alias("place"))
+    out = lines.dedup(rows, key="place", min_words=1).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
     return out.where((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(r"\S"))).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest doc_id (of rows with that id, one)."""
-    docs = docs.select(*COLUMNS)
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each SimHash component stays: the one with the smallest doc_id, null before all."""
+    rows = numbered(docs)
+    found = simhash.near_duplicates(rows.select("row", "text"), key="row").join(rows.select("row", "doc_id"), "row")
+    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "row"))["row"].alias("row")).select("row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

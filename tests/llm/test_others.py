@@ -236,3 +236,20 @@ def test_pipeline_against_its_stages(spark):
     assert leaky and not leaky & ids and len(ids) >= docs.count() - len(leaky) - 2
     final = pipeline.run(spark, SF)
     assert 0 < final.count() <= docs.count() and "ids" in final.columns
+
+
+def test_pipeline_keeps_distinct_rows_with_one_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    lines = [" ".join("".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(30)) for _ in range(9)]
+    rows = [(None, lines[0]), (None, lines[1]), (None, lines[2]), (7, lines[3]), (7, lines[4]), (8, lines[3])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], schema).repartition(3)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in pipeline.near_dedup(spark, docs, SF).collect())
+    assert got == sorted([(0, lines[0]), (0, lines[1]), (0, lines[2]), (7, lines[3]), (7, lines[4])])
+    rows = [(None, f"{lines[0]}\n{lines[1]}"), (None, f"{lines[2]}\n{lines[1]}"), (None, f"{lines[3]}\n{lines[4]}"), (5, f"{lines[0]}\n{lines[5]}"), (5, f"{lines[6]}\n{lines[7]}")]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], schema).coalesce(1)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in pipeline.line_dedup(spark, docs, SF).collect())
+    left = [t for t in got if t[0] == 0]
+    assert [t for t in got if t[0] == 5] == sorted([(5, lines[5]), (5, f"{lines[6]}\n{lines[7]}")])
+    assert (0, f"{lines[3]}\n{lines[4]}") in left and sum(lines[1] in t for _, t in left) == 1 and len(left) == 3
