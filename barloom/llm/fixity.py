@@ -2,7 +2,8 @@
 
 Pages become WARC records with an id, a byte length and an offset in their archive; an archive holds the records of
 ``FANOUT ** LEVELS`` consecutive ids, so no archive grows with the corpus. The leaf of a record is the SHA-256 of its
-bytes; a node is the SHA-256 of its children's keys, offsets and digests in order and stands for their range of offsets. An audit
+bytes; a node is the SHA-256 of its children's keys and digests in order. Ranges of offsets are carried along and reported,
+not hashed, so the same records at other offsets are not found by the audit. An audit
 joins the roots of two replicas, then only the children of nodes that differ, level by level, down to records.
 
 Everything is DataFrame operations; leaves are written once per replica to the shared folder (a digest and three numbers a
