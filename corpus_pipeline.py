@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated lines, exact and fuzzy; documents left without a word go; n_chars follows the text. Each row is a
     document of its own; those with one doc_id are ordered by their numbers."""
     rows = numbered(docs).select(*COLUMNS, F.struct("doc_id", "row").alias("place"))
-    out = lines.dedup(rows, key="place", min_words=1).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+    out = lines.dedup(rows, key="place").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
     return out.where((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(r"\S"))).select(*COLUMNS)
 
 
