@@ -82,6 +82,11 @@ def names() -> list[str]:
     return list(REGISTRY)
 
 
+def listed() -> list[Feature]:
+    """All features by name."""
+    return [REGISTRY[name] for name in sorted(REGISTRY)]
+
+
 def longest() -> int:
     """The most bars that any feature looks back on."""
     return max(f.lookback + f.warmup for f in REGISTRY.values())

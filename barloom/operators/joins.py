@@ -50,3 +50,20 @@ def price_screen(detailed: DataFrame, daily: DataFrame, tolerance: float) -> Dat
     found = detailed.groupBy("symbol", (F.expr(f"open_time div {DAY}") * DAY).alias("open_time")).agg(F.max("high").alias("_h"), F.min("low").alias("_l"))
     off = (F.abs(F.col("_h") - F.col("high")) > tolerance * F.col("high")) | (F.abs(F.col("_l") - F.col("low")) > tolerance * F.abs("low"))
     return daily.join(found, KEYS).withColumn("status", F.when(off, "off scale").otherwise("ok"))
+
+
+def reference(rows: DataFrame, official: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` with the value of their one official row and ``matched``: the key that found it, ambiguous or none.
+
+    Keys are tried in order; a later one only where the earlier ones found nothing. The official side is combined by key
+    first, so a key held by many official rows doesn't multiply the rows that ask for it.
+    """
+    out, matched, found = rows, F.lit(None).cast("string"), F.lit(None)
+    for key in keys:
+        one = official.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(f"_n_{key}"), F.min(value).alias(f"_v_{key}"))
+        out = out.join(one, key, "left")
+    for key in reversed(keys):
+        n = F.col(f"_n_{key}")
+        matched = F.when(n == 1, key).when(n > 1, "ambiguous").otherwise(matched)
+        found = F.when(n == 1, F.col(f"_v_{key}")).when(n.isNull(), found)
+    return out.select(*rows.columns, F.coalesce(matched, F.lit("none")).alias("matched"), found.alias(value))

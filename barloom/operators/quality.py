@@ -27,9 +27,9 @@ RULES: list[tuple[str, str]] = [
 ]
 
 
-def problems() -> Column:
-    """Names of the broken rules in one string; empty for a good bar."""
-    return F.concat_ws(", ", *[F.when(F.coalesce(F.expr(rule), F.lit(True)), F.lit(name)) for name, rule in RULES])
+def problems(rules: list[tuple[str, str]] = RULES) -> Column:
+    """Names of the broken rules in one string; empty for a good row."""
+    return F.concat_ws(", ", *[F.when(F.coalesce(F.expr(rule), F.lit(True)), F.lit(name)) for name, rule in rules])
 
 
 def validate(bars: DataFrame) -> DataFrame:
@@ -70,7 +70,8 @@ def report(bars: DataFrame, step: int) -> DataFrame:
     """Broken rules and off-grid rows together, with a readable time."""
     bad = validate(bars).select("symbol", "open_time", "problem")
     off = off_grid(bars, step).select("symbol", "open_time", F.lit("off grid").alias("problem"))
-    return bad.unionByName(off).withColumn("utc", F.date_format(F.timestamp_micros("open_time"), "yyyy-MM-dd HH:mm:ss"))
+    utc = F.date_format(F.timestamp_micros("open_time"), "yyyy-MM-dd HH:mm:ss")
+    return bad.unionByName(off).withColumn("utc", utc).orderBy("symbol", "open_time", "problem")
 
 
 def summary(bars: DataFrame, step: int) -> DataFrame:
@@ -91,9 +92,20 @@ def summary(bars: DataFrame, step: int) -> DataFrame:
     )
 
 
-def content_id(rows: DataFrame, line: Column) -> DataFrame:
-    """SHA-256 of the sorted lines of a small manifest (file and digest), as one row."""
-    return rows.select(line.alias("line")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("id"))
+def content_id(rows: DataFrame, line: Column, groups: int = 4096) -> DataFrame:
+    """One SHA-256 of a manifest, whatever the order of its lines: digests of the sorted lines of ``groups`` groups by the
+    line's hash, then the digest of those in order, so no task holds the whole manifest."""
+    lines = rows.select(line.alias("line")).withColumn("g", F.conv(F.substring(F.sha2("line", 256), 1, 8), 16, 10).cast("long") % groups)
+    each = lines.groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("sha"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "sha"))), lambda x: x["sha"]), "\n")
+    return each.agg(F.sha2(joined, 256).alias("id"))
+
+
+def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: whether two tables hold the same rows equally often, and how many distinct rows differ. One exchange."""
+    both = left.withColumn("_s", F.lit(1)).unionByName(right.withColumn("_s", F.lit(-1)))
+    off = both.groupBy(*left.columns).agg(F.sum("_s").alias("_s")).agg(F.count_if(F.col("_s") != 0).alias("different"))
+    return off.select((F.col("different") == 0).alias("same"), "different")
 
 
 def order_free_digest(rows: DataFrame, *columns: str) -> DataFrame:

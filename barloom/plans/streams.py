@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from barloom.plans.base import DAY, HOUR, bars, query, r, sql, ticks
+from barloom.sources import stores
 from barloom.streaming import closed_bars as cb
 
 _W = "(PARTITION BY symbol ORDER BY open_time)"
 
 
 def _root(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base}/streams/{uuid.uuid4().hex}"
+    return stores.shared_root(spark, "streams")
 
 
 def _stream(spark, sf_dir, root):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,16 +55,61 @@ def load_features(spark: SparkSession, path: str, names: list[str]) -> DataFrame
     return spark.read.parquet(path).select("symbol", "open_time", *names, *[f"available__{n}" for n in names])
 
 
+def load_range(spark: SparkSession, path: str, names: list[str], symbols: list[str], start: int, end: int) -> DataFrame:
+    """Chosen features and masks of symbols in an inclusive time range, with whole years pruned."""
+    keep = ["symbol", "open_time", *names, *[f"available__{n}" for n in names]]
+    return load_bars(spark, path, symbols, start, end).select(*keep)
+
+
 def export_csv(rows: DataFrame, path: str) -> None:
-    rows.coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+    """CSV with a header in every part file; never over an existing folder."""
+    rows.write.mode("errorifexists").option("header", True).csv(path)
+
+
+def export_records(rows: DataFrame, path: str) -> None:
+    """One JSON object a row; never over an existing folder."""
+    rows.write.mode("errorifexists").json(path)
+
+
+def write_once(rows: DataFrame, path: str) -> bool:
+    """Write Parquet unless the folder exists; whether it was written."""
+    try:
+        rows.write.mode("errorifexists").parquet(path)
+    except AnalysisException as e:
+        if "PATH_ALREADY_EXISTS" not in str(e):
+            raise
+        return False
+    return True
+
+
+def write_reports(root: str, **reports: DataFrame) -> None:
+    """Every report as Parquet with its schema, also where it has no rows."""
+    for name, rows in reports.items():
+        rows.write.mode("errorifexists").parquet(f"{root}/{name}")
+
+
+def write_version(rows: DataFrame, root: str, version: int) -> None:
+    rows.write.mode("errorifexists").parquet(f"{root}/version={version}")
+
+
+def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """A version of a report as it was written; other versions are not read."""
+    return spark.read.parquet(root).where(F.col("version") == version).drop("version")
+
+
+def shared_root(spark: SparkSession, kind: str) -> str:
+    """A new folder below the one that driver and executors share; an error where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{root}/{kind}/{uuid.uuid4().hex}"
 
 
 def session_store(spark: SparkSession, name: str, make) -> str:
     """The path of a store written once per session and name to the folder that the cluster shares."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-store-")
     key = (spark.sparkContext.applicationId, name)
     if key not in _STORES:
-        path = f"{root}/stores/{uuid.uuid4().hex}"
+        path = shared_root(spark, "stores")
         write_bars(make(), path)
         _STORES[key] = path
     return _STORES[key]
