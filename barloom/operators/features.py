@@ -129,3 +129,10 @@ def window_arrays(rows: DataFrame, column: str, n: int, horizon: int) -> DataFra
     behind = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("open_time")))
     rows = rows.withColumns({"values": F.collect_list(column).over(ts.last_n(n)), "_left": behind})
     return rows.where((F.size("values") == n) & (F.col("_left") > horizon)).drop("_left")
+
+
+def normalised(rows: DataFrame, column: str, train: Column) -> DataFrame:
+    """``column`` scaled by the mean and deviation of each symbol's TRAIN rows alone; unknown where those are constant."""
+    stats = rows.where(train).groupBy("symbol").agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"))
+    scaled = ts.ratio(F.col(column) - F.col("_m"), F.nullif(F.col("_s"), F.lit(0.0)))
+    return rows.join(stats, "symbol", "left").withColumn(column, scaled).drop("_m", "_s")

@@ -67,9 +67,67 @@ def capped(rows: DataFrame, keys: list[str], order: list[str], fee: Column, cap:
     return rows.withColumn("brokerage", F.least("_c", F.lit(cap)) - F.least(F.col("_c") - F.col("_f"), F.lit(cap))).drop("_f", "_c")
 
 
-def charges(rows: DataFrame) -> DataFrame:
-    """Per day: brokerage capped per order, exchange fee on turnover, stamp duty on buys; rounded once a day."""
-    orders = rows.groupBy("day", "order_id").agg(
-        F.least(F.sum("value") * 0.0003, F.lit(20.0)).alias("b"), F.sum("value").alias("v"), F.sum(F.when(F.col("buy"), F.col("value")).otherwise(0.0)).alias("n")
+#: Shares of traded value. Exchange and investor-fund rates hold from a day on.
+RATES = [("1900-01-01", 297e-7, 10e-7), ("2026-03-01", 306.99e-7, 0.01e-7)]
+BROKERAGE, CAP, REGULATOR, STAMP, TAX, SERVICE = 0.0003, 20.0, 10e-7, 0.00003, 0.00025, 0.18
+
+
+def _dated(day: Column, rates: list[tuple[str, float, float]], at: int) -> Column:
+    out = F.lit(rates[0][at])
+    for rate in rates[1:]:
+        out = F.when(day >= rate[0], F.lit(rate[at])).otherwise(out)
+    return out
+
+
+def charges(trades: DataFrame, rates: list[tuple[str, float, float]] = RATES, *keys: str) -> DataFrame:
+    """Estimated charges of each day (and further keys) of trades: day (text), order_id, security, buy, quantity, price.
+
+    Brokerage is capped for each order. The transaction tax takes a security's rounded average price of the day, rounds to
+    the paisa by security and to the rupee by day. A day's quantity of a security must be flat; others have ``flat`` false.
+    """
+    by = [*keys, "day"]
+    value = F.col("quantity") * F.col("price")
+    rows = trades.withColumns({"_v": value, "_b": F.when(F.col("buy"), F.col("quantity")).otherwise(0.0), "_bv": F.when(F.col("buy"), value).otherwise(0.0)})
+    orders = rows.groupBy(*by, "order_id").agg(F.least(F.sum("_v") * BROKERAGE, F.lit(CAP)).alias("b"), F.sum("_v").alias("v"), F.sum("_bv").alias("bv"))
+    day = F.col("day")
+    sums = orders.groupBy(*by).agg(
+        F.sum("b").alias("brokerage"), F.sum("v").alias("turnover"), (F.sum("bv") * STAMP).alias("stamp"), (F.sum("v") * REGULATOR).alias("regulator"), F.count("*").alias("orders")
     )
-    return orders.groupBy("day").agg(F.round(F.sum("b"), 2).alias("brokerage"), F.round(F.sum("v") * 0.0000297, 2).alias("exchange"), F.round(F.sum("n") * 0.00003, 2).alias("stamp"))
+    sums = sums.withColumns({"exchange": F.col("turnover") * _dated(day, rates, 1), "fund": F.col("turnover") * _dated(day, rates, 2)})
+    held = rows.groupBy(*by, "security").agg(F.sum("_v").alias("v"), F.sum("quantity").alias("q"), F.sum("_b").alias("bq"))
+    sold = F.col("q") - F.col("bq")
+    tax = F.round(sold * F.round(F.col("v") / F.col("q"), 2) * TAX, 2)
+    taxed = held.groupBy(*by).agg(F.round(F.round(F.sum(tax), 2), 0).alias("tax"), F.bool_and(F.col("bq") == sold).alias("flat"))
+    service = (F.col("brokerage") + F.col("exchange") + F.col("fund") + F.col("regulator")) * SERVICE
+    return sums.join(taxed, by).withColumn("service", service)
+
+
+def round_trip_fees(quantity: Column, buy: Column, sell: Column, day: Column, rates: list[tuple[str, float, float]] = RATES) -> Column:
+    """The same charges for one buy and one sale of a security on a day."""
+    bought, sold = quantity * buy, quantity * sell
+    turnover = bought + sold
+    brokerage = F.least(bought * BROKERAGE, F.lit(CAP)) + F.least(sold * BROKERAGE, F.lit(CAP))
+    shares = turnover * (_dated(day, rates, 1) + _dated(day, rates, 2) + REGULATOR)
+    tax = F.round(F.round(quantity * F.round((buy + sell) / 2, 2) * TAX, 2), 0)
+    return (brokerage + shares) * (1 + SERVICE) + bought * STAMP + tax
+
+
+def attribution(fills: DataFrame, opens: DataFrame, account: str, fee: Column) -> DataFrame:
+    """Of fills (signed, price) with the open of their bar: gross at opens, slippage, fees, notional, drag in basis points."""
+    rows = fills.join(opens, ["symbol", "open_time"], "left").withColumn("fee", fee)
+    signed, price, opening = F.col("signed"), F.col("price"), F.col("opening")
+    out = rows.groupBy(account).agg(
+        (-F.sum(signed * opening)).alias("gross"), F.sum(signed * (price - opening)).alias("slippage"), F.sum("fee").alias("fees"),
+        F.sum(F.abs(signed) * price).alias("notional"), F.count_if(opening.isNull()).alias("unpriced"),
+    )
+    return out.withColumn("drag_bps", F.try_divide(F.col("fees") + F.col("slippage"), F.col("notional")) * 10_000)
+
+
+def reconcile(replayed: DataFrame, recorded: DataFrame, keys: list[str], fields: list[str], tolerance: float) -> DataFrame:
+    """Fields of recorded checkpoints that the replay doesn't give: (keys, field, expected, recorded); a checkpoint without a
+    replayed row has NULL expected values."""
+    a = replayed.select(*keys, F.array(*[F.col(f).cast("double") for f in fields]).alias("_e"))
+    b = recorded.select(*keys, F.array(*[F.col(f).cast("double") for f in fields]).alias("_r"))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.get("_e", i).alias("expected"), F.get("_r", i).alias("recorded")) for i, f in enumerate(fields)])).alias("x")
+    rows = b.join(a, keys, "left").select(*keys, each).select(*keys, "x.*")
+    return rows.where(~F.coalesce(F.abs(F.col("expected") - F.col("recorded")) <= tolerance, F.lit(False)))

@@ -124,3 +124,39 @@ def snapshot_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def not_unique(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).count().where("count > 1")
+
+
+def prediction_faults(rows: DataFrame, begin: Column, end: Column, step: int, horizon: int) -> DataFrame:
+    """One row of counts on a table of predictions (symbol, open_time, label_end, target, label, p): rows outside the window,
+    of another horizon, with a label that isn't target > 0, with p outside [0, 1], and rows whose key occurs again."""
+    outside = (F.col("open_time") < begin) | (F.col("label_end") >= end) | (F.pmod("open_time", F.lit(step)) != 0)
+    flags = {
+        "outside": outside,
+        "wrong_horizon": F.col("label_end") - F.col("open_time") != horizon * step,
+        "wrong_label": F.col("label") != (F.col("target") > 0).cast("int"),
+        "wrong_probability": ~F.coalesce(F.col("p").between(0, 1), F.lit(False)),
+    }
+    keys = rows.groupBy("symbol", "open_time").agg(F.count("*").alias("n"), *[F.count_if(x).alias(c) for c, x in flags.items()])
+    return keys.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in flags], F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("repeated"))
+
+
+def unbalanced_orders(orders: DataFrame, fills: DataFrame) -> DataFrame:
+    """Orders (order_id, quantity, filled, remaining) that break conservation, with the names of what they break; fills
+    without an order count as one of them."""
+    sums = fills.groupBy("order_id").agg(F.sum("quantity").alias("_s"))
+    both = orders.join(sums, "order_id", "full_outer")
+    lost = F.col("quantity").isNull()
+    split = ~lost & (F.col("quantity") != F.col("filled") + F.col("remaining"))
+    wrong = ~lost & (F.col("filled") != F.coalesce("_s", F.lit(0.0)))
+    problem = F.concat_ws(", ", F.when(lost, "no order"), F.when(split, "quantity"), F.when(wrong, "fills"))
+    return both.select("order_id", problem.alias("problem")).where("problem <> ''")
+
+
+def broken_constraints(rows: DataFrame, rules: list[tuple[str, str]], keys: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(rule, broken): how many rows break each rule (SQL text; an unknown outcome breaks it) and each foreign key."""
+    counts = rows.agg(*[F.count_if(~F.coalesce(F.expr(text), F.lit(False))).alias(name) for name, text in rules])
+    out = counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").alias("broken")) for n, _ in rules])).alias("r")).select("r.*")
+    for name, (parent, key) in keys.items():
+        lost = rows.join(parent.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("broken"))
+        out = out.unionByName(lost.select(F.lit(name).alias("rule"), "broken"))
+    return out

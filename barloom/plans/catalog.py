@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.plans import base, intake, learning, more, returns, streams, tables, windows
+from barloom.plans import base, intake, intraday, judging, learning, more, returns, streams, tables, windows
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,4 +19,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(base.ORACLES)
 
 
-__all__ = ["flagship", "intake", "learning", "more", "oracle_sql", "queries", "returns", "streams", "tables", "windows"]
+__all__ = ["flagship", "intake", "intraday", "judging", "learning", "more", "oracle_sql", "queries", "returns", "streams", "tables", "windows"]

@@ -68,13 +68,6 @@ def daily_gaps(spark, sf_dir):
     return quality.gaps(bars(spark, sf_dir, DAY).where((F.col("volume") >= 3) & (F.expr(f"open_time div {DAY}") % 4 != 0)), DAY)
 
 
-@query("Q-11", "SELECT count(*) AS n, count(*) FILTER (l_discount NOT BETWEEN 0 AND 1) AS bad_probability, count(*) FILTER (l_tax < 0) AS bad_target, (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1)) AS repeated FROM lineitem")
-def prediction_contract(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    rules = rows.agg(F.count("*").alias("n"), F.count_if(~F.col("l_discount").between(0, 1)).alias("bad_probability"), F.count_if(F.col("l_tax") < 0).alias("bad_target"))
-    return rules.join(quality.not_unique(rows, "l_orderkey", "l_linenumber").agg(F.count("*").alias("repeated")))
-
-
 @query("W-15", sql(f"SELECT symbol, open_time, round(CASE WHEN lead(open_time) OVER {_W} // {DAY} = open_time // {DAY} THEN lead(close) OVER {_W} / nullif(lead(open) OVER {_W}, 0) - 1 END, 6) + 0.0 AS label FROM h"))
 def next_bar(spark, sf_dir):
     w = ts.over()
@@ -93,18 +86,6 @@ def latest_bar(spark, sf_dir):
     return last.withColumnRenamed("last", "open_time")
 
 
-@query("A-18", sql("SELECT symbol, count(*) FILTER (volume >= 24) AS complete, 30::BIGINT AS expected, count(*) FILTER (volume >= 24) / 30 >= 0.8 AS passed FROM d GROUP BY symbol"))
-def coverage_gate(spark, sf_dir):
-    n = F.count_if(F.col("volume") >= 24)
-    return bars(spark, sf_dir, DAY).groupBy("symbol").agg(n.alias("complete"), F.lit(30).cast("long").alias("expected"), (n / 30 >= 0.8).alias("passed"))
-
-
-@query("A-31", "SELECT o_orderpriority AS grp, count(*) AS attempts, count(*) FILTER (o_orderstatus = 'F') AS valid, count(*) FILTER (o_orderstatus <> 'F') AS invalid FROM orders GROUP BY GROUPING SETS ((o_orderpriority), ())")
-def search_effort(spark, sf_dir):
-    done = F.col("o_orderstatus") == "F"
-    return table(spark, sf_dir, "orders").rollup(F.col("o_orderpriority").alias("grp")).agg(F.count("*").alias("attempts"), F.count_if(done).alias("valid"), F.count_if(~done).alias("invalid"))
-
-
 @query("J-11", "SELECT c_custkey, coalesce(o_orderkey, -1) AS o_orderkey, n_name FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
 def registry_report(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey")
@@ -126,11 +107,6 @@ def next_versions(spark, sf_dir):
     return registry.append_version(ids, ids.select("id").distinct())
 
 
-@query("G-04", "SELECT c_custkey, concat_ws(', ', CASE WHEN c_acctbal < 0 THEN 'negative' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'segment' END) AS reasons FROM customer")
-def eligibility(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(", ", F.when(F.col("c_acctbal") < 0, "negative"), F.when(F.col("c_mktsegment") == "BUILDING", "segment")).alias("reasons"))
-
-
 @query(
     "G-07",
     sql(
@@ -154,16 +130,3 @@ def inventory(spark, sf_dir):
     """Per-file counts of a store, added up; the per-file table is ``stores.inventory``."""
     path = stores.session_store(spark, sf_dir, lambda: bars(spark, sf_dir, HOUR))
     return stores.inventory(spark, path).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-
-
-@query("O-04", sql(f"SELECT symbol, open_time, (close > lag(close) OVER {_W})::INT AS target FROM d QUALIFY lag(close) OVER {_W} IS NOT NULL"))
-def closing_momentum(spark, sf_dir):
-    w = ts.over()
-    rows = bars(spark, sf_dir, DAY).withColumn("target", (F.col("close") > F.lag("close").over(w)).cast("int"))
-    return rows.where("target is not null").select("symbol", "open_time", "target")
-
-
-@query("O-07", sql(f"SELECT symbol, open_time, round(sum(ln(close / open)) OVER {_W}, 6) + 0.0 AS log_capital FROM d WHERE open > 0 AND close > 0"))
-def compounded(spark, sf_dir):
-    rows = bars(spark, sf_dir, DAY).where("open > 0 and close > 0")
-    return rows.select("symbol", "open_time", r(F.sum(F.ln(F.col("close") / F.col("open"))).over(ts.over()), "log_capital"))

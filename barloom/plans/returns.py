@@ -175,11 +175,6 @@ def rank_correlation(spark, sf_dir):
     return pnl.correlation(bars(spark, sf_dir, DAY), "volume", "close", ["symbol"], spearman=True).select("symbol", "n", r("corr", "corr"))
 
 
-@query("A-14", sql("SELECT symbol, count(*) AS n, round(corr(close, y), 6) + 0.0 AS corr FROM f WHERE close IS NOT NULL AND y IS NOT NULL GROUP BY symbol", **_IC))
-def time_series_ic(spark, sf_dir):
-    return pnl.correlation(_ic_rows(spark, sf_dir), "close", "y", ["symbol"]).select("symbol", "n", r("corr", "corr"))
-
-
 @query("A-15", sql("SELECT open_time, count(*) AS n, round(corr(close, y), 6) + 0.0 AS corr FROM f WHERE close IS NOT NULL AND y IS NOT NULL GROUP BY open_time HAVING count(*) >= 5", **_IC))
 def cross_section_ic(spark, sf_dir):
     return pnl.correlation(_ic_rows(spark, sf_dir), "close", "y", ["open_time"], least=5).where("n >= 5").select("open_time", "n", r("corr", "corr"))
@@ -199,30 +194,6 @@ def fitness(spark, sf_dir):
     return _measured(spark, sf_dir).select("symbol", (F.round(pnl.fitness(F.col("annual_sharpe"), F.col("annual"), F.col("turnover")), 4) + 0.0).alias("fitness"))
 
 
-@query(
-    "A-17",
-    sql(
-        "SELECT symbol, gate, coalesce(CASE sense WHEN 'least' THEN v >= threshold ELSE v <= threshold END, false) AS passed, round(v, 6) + 0.0 AS value, threshold FROM (SELECT symbol, unnest(['G1', 'G2', 'G3', 'G4']) AS gate, unnest(['least', 'least', 'most', 'least']) AS sense, unnest([n::DOUBLE, sharpe, turnover, total]) AS v, unnest([100.0, 0.0, 1.5, 0.0]::DOUBLE[]) AS threshold FROM m)",
-        **_M,
-    ),
-)
-def gate_table(spark, sf_dir):
-    return gates.decisions(_measured(spark, sf_dir), gates.GATES).select("symbol", "gate", "passed", r("value", "value"), "threshold")
-
-
-@query("A-19", sql("SELECT symbol, array_to_string(list_filter([CASE WHEN n < 500 THEN 'too few periods' END, CASE WHEN unknown > 0 THEN 'unavailable' END, CASE WHEN total = 0 THEN 'constant' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM m", **_M))
-def validity(spark, sf_dir):
-    return gates.validity(_measured(spark, sf_dir), 500).select("symbol", "reasons")
-
-
-@query("A-39", sql("SELECT a.symbol AS left_symbol, b.symbol AS right_symbol, count(*) AS n, round(corr(a.close, b.close), 6) + 0.0 AS corr FROM d a JOIN d b ON a.open_time = b.open_time AND a.symbol < b.symbol GROUP BY ALL HAVING count(*) >= 20"))
-def account_correlations(spark, sf_dir):
-    rows = bars(spark, sf_dir, DAY).select("symbol", "open_time", "close")
-    a, b = (rows.select("open_time", F.col("symbol").alias(f"{s}_symbol"), F.col("close").alias(s)) for s in ("left", "right"))
-    both = a.join(b, "open_time").where("left_symbol < right_symbol")
-    return pnl.correlation(both, "left", "right", ["left_symbol", "right_symbol"]).where("n >= 20").select("left_symbol", "right_symbol", "n", r("corr", "corr"))
-
-
 _BARS = ["open", "high", "low", "close", "volume", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote"]
 
 
@@ -258,11 +229,6 @@ def payoffs(spark, sf_dir):
     return _ic_rows(spark, sf_dir).groupBy("symbol").agg(r(F.avg(F.when(y > 0, y)), "up"), r(F.avg(F.when(y <= 0, y)), "down"), F.count_if(y > 0).alias("n_up"), F.count_if(y <= 0).alias("n_down"))
 
 
-@query("A-40", sql(f"SELECT symbol, open_time // {DAY} * {DAY} AS day, max(high) FILTER (s < 5) AS high, min(low) FILTER (s < 5) AS low, sum(volume) FILTER (s < 5) AS volume, round(sum(volume) FILTER (s < 5) / nullif(sum(volume), 0), 6) AS share FROM (SELECT *, open_time % {DAY} // {HOUR} AS s FROM h) GROUP BY ALL"))
-def opening_range(spark, sf_dir):
-    return sessions.opening(bars(spark, sf_dir, HOUR), HOUR, 5).select("symbol", "day", "high", "low", "volume", r("share", "share"))
-
-
 _ORB = dict(
     s=f"SELECT *, open_time // {DAY} * {DAY} AS day, open_time % {DAY} // {HOUR} AS slot FROM h",
     o="SELECT symbol, day, max(high) FILTER (slot < 3) AS rh, min(low) FILTER (slot < 3) AS rl FROM s GROUP BY ALL",

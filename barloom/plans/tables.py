@@ -47,19 +47,6 @@ def candle_arrays(spark, sf_dir):
     return readers.parse_candles(docs, "body").select("symbol", "open_time", r("close", "close"), F.when(F.col("volume") < 3, "thin").otherwise("kept").alias("status"))
 
 
-@query("S-13", "SELECT DISTINCT event_type AS symbol, '0.01' AS tick, '0.001' AS step FROM events")
-def exchange_info(spark, sf_dir):
-    names = ticks(spark, sf_dir).select("symbol").distinct()
-    one = F.to_json(F.struct(F.array(F.struct("symbol", F.array(F.struct(F.lit("PRICE_FILTER").alias("filterType"), F.lit("0.01").alias("tickSize"), F.lit(None).cast("string").alias("stepSize")), F.struct(F.lit("LOT_SIZE").alias("filterType"), F.lit(None).cast("string").alias("tickSize"), F.lit("0.001").alias("stepSize"))).alias("filters"))).alias("symbols")))
-    return readers.parse_exchange_info(names.select(one.alias("body")), "body")
-
-
-@query("S-15", "SELECT vec_id AS event, round(embedding[1]::DOUBLE, 6) + 0.0 AS first, round(embedding[64]::DOUBLE, 6) + 0.0 AS last, label FROM embeddings")
-def matrix_rows(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    return rows.select(F.col("vec_id").alias("event"), r(F.col("embedding")[0].cast("double"), "first"), r(F.element_at("embedding", -1).cast("double"), "last"), "label")
-
-
 @query("S-08", "SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1995-06-17'")
 def pushed_date(spark, sf_dir):
     return table(spark, sf_dir, "orders").where(F.col("o_orderdate") <= F.expr("timestamp_ntz'1995-06-17 00:00:00'")).select("o_orderkey")
@@ -84,11 +71,6 @@ def repeated_keys(spark, sf_dir):
     return quality.not_unique(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("A-02", sql("SELECT b.symbol, bars, first, last, coalesce(gap_runs, 0) AS gap_runs, coalesce(missing, 0)::BIGINT AS missing, worst_start FROM (SELECT symbol, count(*) AS bars, min(open_time) AS first, max(open_time) AS last FROM h GROUP BY symbol) b LEFT JOIN (SELECT symbol, count(*) AS gap_runs, sum(m)::BIGINT AS missing, arg_max(gs, (m, -gs)) AS worst_start FROM (SELECT symbol, open_time + 3600000000 AS gs, (nxt - open_time) // 3600000000 - 1 AS m FROM (SELECT symbol, open_time, lead(open_time) OVER " + _W + " AS nxt FROM h) WHERE nxt - open_time > 3600000000) GROUP BY symbol) g ON b.symbol = g.symbol"))
-def quality_summary(spark, sf_dir):
-    return quality.summary(bars(spark, sf_dir, HOUR), HOUR).drop("bad", "off_grid")
-
-
 @query("A-03", sql("SELECT count(*) AS n, min(open_time) AS first, max(open_time) AS last FROM h"))
 def snapshot_stats(spark, sf_dir):
     return bars(spark, sf_dir, HOUR).agg(F.count("*").alias("n"), F.min("open_time").alias("first"), F.max("open_time").alias("last"))
@@ -109,11 +91,6 @@ def manifest_totals(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("A-37", "SELECT sha256(string_agg(line, chr(10) ORDER BY line)) AS id FROM (SELECT n_nationkey || '  ' || sha256(n_name) AS line FROM nation)")
-def snapshot_id(spark, sf_dir):
-    return quality.content_id(table(spark, sf_dir, "nation"), F.concat(F.col("n_nationkey").cast("string"), F.lit("  "), F.sha2("n_name", 256)))
-
-
 @query("F-19", "SELECT page_id, sha256(html) AS sha FROM pages")
 def content_hashes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("sha"))
@@ -126,22 +103,6 @@ def snapshot_check(spark, sf_dir):
     return quality.snapshot_changes(old.drop("page_id"), new.drop("page_id"))
 
 
-@query("Q-10", "SELECT o_orderkey AS order_key, count(l_orderkey) AS fills, round(coalesce(sum(l_quantity), 0), 2) AS filled FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL HAVING coalesce(sum(l_quantity), 0) > 150")
-def conservation(spark, sf_dir):
-    fills = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("fills"), F.sum("l_quantity").alias("filled"))
-    both = table(spark, sf_dir, "orders").select("o_orderkey").join(fills, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    zero = F.lit(0).cast("long")
-    return both.where(F.coalesce("filled", F.lit(0.0)) > 150).select(F.col("o_orderkey").alias("order_key"), F.coalesce("fills", zero).alias("fills"), F.round(F.coalesce("filled", F.lit(0.0)), 2).alias("filled"))
-
-
-@query("Q-13", "SELECT count(*) FILTER (NOT l_quantity > 0) AS bad_quantity, count(*) FILTER (l_discount NOT BETWEEN 0 AND 0.1) AS bad_discount, count(*) FILTER (l_returnflag NOT IN ('A', 'N', 'R')) AS bad_flag, count(*) FILTER (l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS orphan FROM lineitem")
-def constraints(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")).distinct()
-    rules = rows.agg(F.count_if(~(F.col("l_quantity") > 0)).alias("bad_quantity"), F.count_if(~F.col("l_discount").between(0, 0.1)).alias("bad_discount"), F.count_if(~F.col("l_returnflag").isin("A", "N", "R")).alias("bad_flag"))
-    return rules.join(rows.join(keys, "l_orderkey", "left_anti").agg(F.count("*").alias("orphan")))
-
-
 @query("Q-12", sql(f"SELECT symbol, open_time, round(avg(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 6) AS cut, round(avg(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 6) AS whole FROM h QUALIFY count(*) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) = 12 AND open_time < 1705276800000000"))
 def causality(spark, sf_dir):
     """A feature on a prefix of the history next to the same feature on all of it."""
@@ -151,12 +112,6 @@ def causality(spark, sf_dir):
     return both.where("whole is not null")
 
 
-@query("P-01", "SELECT event_id, epoch_us(ts) AS us FROM events")
-def mixed_clocks(spark, sf_dir):
-    raw = F.when(F.col("event_id") % 2 == 0, F.col("t")).otherwise(F.col("t"))
-    return ticks(spark, sf_dir).select("event_id", quality.clock_micros(raw).alias("us"))
-
-
 @query("P-02", "SELECT o_orderkey, TRY_CAST(nullif(substr(o_orderpriority, 1, 1), '5') AS DOUBLE) AS number, TRY_CAST(o_orderstatus AS DOUBLE) AS status FROM orders")
 def coerced(spark, sf_dir):
     first = F.nullif(F.substring("o_orderpriority", 1, 1), F.lit("5"))
@@ -267,14 +222,6 @@ def union_all(spark, sf_dir):
     return each[0].unionByName(each[1]).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("U-04", "SELECT true AS same, count(*) AS n FROM nation")
-def same_sets(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    again = n.repartition(3)
-    extra = n.exceptAll(again).unionByName(again.exceptAll(n)).agg((F.count("*") == 0).alias("same"))
-    return extra.join(n.agg(F.count("*").alias("n")))
-
-
 @query("U-05", "SELECT DISTINCT o_orderpriority FROM orders")
 def distinct_values(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderpriority").distinct()
@@ -290,11 +237,6 @@ def best(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1).select("o_orderkey", "o_totalprice")
 
 
-@query("T-03", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
-def short_list(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_totalprice")
-
-
 @query("T-05", "SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
 def newest(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderpriority = '2-HIGH'").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50).select("o_orderkey")
@@ -336,28 +278,6 @@ def reliability(spark, sf_dir):
     return registry.reliability(rows).select("bin", "n", r("mean", "mean"), r("rate", "rate"), r("brier", "brier"))
 
 
-@query("A-27", "SELECT l_returnflag AS label, l_linestatus AS predicted, count(*) AS n FROM lineitem GROUP BY ALL")
-def confusion(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("label"), F.col("l_linestatus").alias("predicted")).agg(F.count("*").alias("n"))
-
-
-@query("A-28", "SELECT round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse, round(1 - sum(e * e) / sum((y - m) * (y - m)), 6) AS r2 FROM (SELECT l_extendedprice AS y, l_extendedprice - l_quantity * 1500 AS e, avg(l_extendedprice) OVER () AS m FROM lineitem)")
-def regression(spark, sf_dir):
-    y, e = F.col("l_extendedprice"), F.col("l_extendedprice") - F.col("l_quantity") * 1500
-    return table(spark, sf_dir, "lineitem").agg(F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(1 - F.sum(e * e) / (F.var_pop(y) * F.count("*")), 6).alias("r2"))
-
-
-@query("A-29", "SELECT o_orderpriority AS model, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(coalesce(stddev_samp(o_totalprice), 0), 4) AS spread FROM orders GROUP BY ALL")
-def seeds(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("model")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp("o_totalprice"), F.lit(0.0)), 4).alias("spread"))
-
-
-@query("A-32", sql(f"SELECT d.symbol, d.open_time, CASE WHEN abs(max(h.high) - d.high) > 0.002 * d.high OR abs(min(h.low) - d.low) > 0.002 * abs(d.low) THEN 'off scale' ELSE 'ok' END AS status FROM (SELECT * REPLACE (CASE WHEN open_time // {DAY} % 9 = 0 THEN high * 1.1 ELSE high END AS high) FROM d) d JOIN h ON h.symbol = d.symbol AND h.open_time // {DAY} * {DAY} = d.open_time GROUP BY d.symbol, d.open_time, d.high, d.low"))
-def price_screen(spark, sf_dir):
-    daily = bars(spark, sf_dir, DAY).withColumn("high", F.when(F.expr(f"open_time div {DAY}") % 9 == 0, F.col("high") * 1.1).otherwise(F.col("high")))
-    return joins.price_screen(bars(spark, sf_dir, HOUR), daily, 0.002).select("symbol", "open_time", "status")
-
-
 @query("A-34", sql("SELECT open_time, array_to_string(list(symbol ORDER BY symbol) FILTER (volume >= 50), ',') AS tradable, array_to_string(list(symbol ORDER BY symbol), ',') AS members FROM d GROUP BY open_time"))
 def universe_days(spark, sf_dir):
     on = F.array_join(F.array_sort(F.collect_list(F.when(F.col("volume") >= 50, F.col("symbol")))), ",")
@@ -389,9 +309,3 @@ def average_cost(spark, sf_dir):
 def capped_brokerage(spark, sf_dir):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_shipdate", "l_tax"]
     return ledger.capped(table(spark, sf_dir, "lineitem"), ["l_orderkey"], order, F.col("l_extendedprice") * 0.0003, 20.0).select("l_orderkey", "l_linenumber", "l_partkey", r("brokerage", "brokerage"))
-
-
-@query("A-23", "SELECT day, round(sum(brokerage), 2) AS brokerage, round(sum(turnover) * 0.0000297, 2) AS exchange, round(sum(buys) * 0.00003, 2) AS stamp FROM (SELECT l_shipdate::DATE::VARCHAR AS day, l_orderkey, least(sum(l_extendedprice) * 0.0003, 20) AS brokerage, sum(l_extendedprice) AS turnover, coalesce(sum(l_extendedprice) FILTER (l_returnflag = 'N'), 0) AS buys FROM lineitem GROUP BY ALL) GROUP BY day")
-def charges(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").cast("string").alias("day"), F.col("l_orderkey").alias("order_id"), F.col("l_extendedprice").alias("value"), (F.col("l_returnflag") == "N").alias("buy"))
-    return ledger.charges(rows)

@@ -48,7 +48,6 @@ _feature("W-08", lambda: ts.ratio(close(), ts.mean(close(), 12, HOUR)) - 1, f"cl
 _feature("W-10", lambda: ts.parkinson(12, HOUR), f"sqrt(avg(pow(ln(high / low), 2)) OVER {_frame(12)} / (4 * ln(2)))", 12)
 _GK = "0.5 * pow(ln(high / low), 2) - (2 * ln(2) - 1) * pow(ln(close / open), 2)"
 _feature("W-11", lambda: ts.garman_klass(12, HOUR), f"CASE WHEN avg({_GK}) OVER {_frame(12)} >= 0 THEN sqrt(avg({_GK}) OVER {_frame(12)}) END", 12)
-_feature("W-12", lambda: ts.zscore(F.col("quote_volume"), 24, HOUR), f"(quote_volume - avg(quote_volume) OVER {_frame(24)}) / nullif(stddev_samp(quote_volume) OVER {_frame(24)}, 0)", 24)
 _feature("W-13", lambda: ts.warm(close(), 24), f"CASE WHEN row_number() OVER {_W} > 24 THEN close END", 1)
 _feature("W-14", lambda: ts.forward_return(close(), 4, HOUR), f"CASE WHEN lead(open_time, 4) OVER {_W} - open_time = 4 * {HOUR} THEN lead(close, 4) OVER {_W} / nullif(close, 0) - 1 END", 1)
 _feature("W-30", lambda: F.when(ts.full(close(), 5), F.percentile(close(), 0.5).over(ts.last_n(5))), f"CASE WHEN count(close) OVER {_frame(5)} = 5 THEN quantile_cont(close, 0.5) OVER {_frame(5)} END", 1)
@@ -227,17 +226,6 @@ def vwap(spark, sf_dir):
     return sessions.vwap(bars(spark, sf_dir, HOUR)).select("symbol", "open_time", r("vwap", "vwap"))
 
 
-@query(
-    "W-28",
-    sql(
-        "SELECT symbol, open_time, round(prev_close, 6) + 0.0 AS prev_close, round(CASE WHEN count(tr) OVER w = 5 THEN avg(tr) OVER w END, 6) + 0.0 AS atr FROM t WINDOW w AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)",
-        t=f"SELECT *, lag(close) OVER {_W} AS prev_close, greatest(high - low, abs(high - lag(close) OVER {_W}), abs(low - lag(close) OVER {_W})) AS tr FROM d",
-    ),
-)
-def session_setup(spark, sf_dir):
-    return sessions.setups(bars(spark, sf_dir, DAY), 5).select("symbol", "open_time", r("prev_close", "prev_close"), r("atr", "atr"))
-
-
 @query("W-29", sql("SELECT open_time, symbol, rk FROM (SELECT open_time, symbol, row_number() OVER (PARTITION BY open_time ORDER BY volume DESC, symbol) AS rk FROM h) WHERE rk <= 2"))
 def top_volume(spark, sf_dir):
     w = Window.partitionBy("open_time").orderBy(F.desc("volume"), "symbol")
@@ -267,12 +255,6 @@ def sequence(spark, sf_dir):
     return bars(spark, sf_dir, HOUR).select("symbol", "open_time", F.row_number().over(w).cast("long").alias("seq"), F.coalesce(F.col("open_time") - F.lag("open_time").over(w) > HOUR, F.lit(False)).alias("after_gap"))
 
 
-@query("W-35", sql(f"SELECT symbol, open_time, n, round(first, 6) AS first, round(last, 6) AS last FROM (SELECT symbol, open_time, count(*) OVER {_frame(8)} AS n, first(close) OVER {_frame(8)} AS first, close AS last, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS l FROM h) WHERE n = 8 AND l > 4"))
-def window_arrays(spark, sf_dir):
-    rows = features.window_arrays(bars(spark, sf_dir, HOUR), "close", 8, 4)
-    return rows.select("symbol", "open_time", F.size("values").cast("long").alias("n"), F.round(F.col("values")[0], 6).alias("first"), F.round(F.element_at("values", -1), 6).alias("last"))
-
-
 @query("X-01", None)
 def all_features(spark, sf_dir):
     """All registered features of every hourly bar in one pass of windows by symbol."""

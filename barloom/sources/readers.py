@@ -157,3 +157,19 @@ def parse_chart(docs: DataFrame, body: str) -> DataFrame:
     rows = j.select(*[c for c in docs.columns if c != body], F.explode(F.arrays_zip(*[F.col(f"_j.{x}").alias(x) for x in "tohlcv"])).alias("b")).select("*", "b.*").drop("b")
     missing = F.greatest(*[F.col(x).isNull().cast("int") for x in "tohlcv"]) == 1
     return rows.withColumn("reject_reason", F.when(missing, "missing value").when(F.col("v") < 0, "negative volume").when((F.col("l") > F.least("o", "c")) | (F.col("h") < F.greatest("o", "c")), "inconsistent prices"))
+
+
+def text_matrix(rows: DataFrame, block: str, event: str, values) -> DataFrame:
+    """A text matrix for each block of events: (block, row, line), a line being one value of every event, the first line
+    the events' numbers."""
+    cells = rows.select(block, F.col(event).alias("_e"), F.posexplode(F.concat(F.array(F.col(event).cast("double")), values)).alias("row", "x"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_e", "x"))), lambda c: c["x"].cast("string"))
+    return cells.groupBy(block, "row").agg(F.array_join(ordered, " ").alias("line"))
+
+
+def matrix_events(lines: DataFrame, block: str) -> DataFrame:
+    """One row an event of text matrices (block, row, line): the event's number and its values in row order."""
+    cells = lines.select(block, "row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("column", "text"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("row", F.col("text").try_cast("double").alias("x")))), lambda c: c["x"])
+    each = cells.groupBy(block, "column").agg(values.alias("v"))
+    return each.select(F.col("v")[0].cast("long").alias("event"), F.expr("slice(v, 2, size(v) - 1)").alias("values"))
