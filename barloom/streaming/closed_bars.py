@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from barloom.operators import features
 
 MINUTE = 60_000_000
 
 
-def encode(bars: DataFrame, interval: str, closed: Column | None = None) -> DataFrame:
-    """Bars as stream messages (key, body); times in milliseconds, numbers as text."""
+def encode(bars: DataFrame, interval: str, closed: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Bars as stream messages (body, and the columns to keep); times in milliseconds, numbers as text."""
     text = lambda c: F.col(c).cast("string")
     k = F.struct(
         F.col("symbol").alias("s"), F.lit(interval).alias("i"), F.expr("open_time div 1000").alias("t"), F.expr("close_time div 1000").alias("T"),
@@ -21,7 +19,7 @@ def encode(bars: DataFrame, interval: str, closed: Column | None = None) -> Data
         F.col("trades").alias("n"), text("taker_buy_base").alias("V"), text("taker_buy_quote").alias("Q"), (F.lit(True) if closed is None else closed).alias("x"),
     )
     data = F.struct(F.lit("kline").alias("e"), F.col("symbol").alias("s"), F.expr("close_time div 1000 + 1").alias("E"), k.alias("k"))
-    return bars.select(F.to_json(F.struct(data.alias("data"))).alias("body"))
+    return bars.select(F.to_json(F.struct(data.alias("data"))).alias("body"), *(keep or []))
 
 
 def decode(messages: DataFrame, body: str = "body") -> DataFrame:
@@ -54,34 +52,100 @@ def contract(step: int) -> Column:
     )
 
 
-def accept(mark: tuple[int, float] | None, open_time: int, close: float, step: int) -> tuple[tuple[int, float], str, int]:
-    """The next high-water mark, the event and how many bars are missing before this one."""
-    if mark is None or open_time - mark[0] == step:
-        return (open_time, close), "ACCEPTED", 0
-    if open_time > mark[0]:
-        return (open_time, close), "GAP", (open_time - mark[0]) // step - 1
-    if open_time == mark[0]:
-        return mark, "DUPLICATE" if close == mark[1] else "CONFLICT", 0
-    return mark, "OUT_OF_ORDER", 0
+def accept(bars: DataFrame, marks: DataFrame, step: int) -> DataFrame:
+    """Events of arriving bars (symbol, seq, open_time, close, ...) against each symbol's high-water mark.
+
+    ``marks`` holds one row a symbol: mark (its last accepted time) and mark_close. A bar one step past the highest time seen
+    so far is ACCEPTED, a later one is accepted after a GAP of ``missing`` bars, the highest one again is a DUPLICATE or, with
+    another close, a CONFLICT, and an earlier one is OUT_OF_ORDER: it never moves the mark. The highest time before a bar is a
+    running maximum in order of arrival, so no row is folded one by one.
+    """
+    w = Window.partitionBy("symbol").orderBy("seq")
+    rows = bars.join(F.broadcast(marks), "symbol", "left")
+    seen = F.max("open_time").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first("close").over(Window.partitionBy("symbol", "open_time").orderBy("seq"))
+    rows = rows.withColumns({"_seen": F.greatest(seen, "mark"), "_first": F.when(F.col("open_time") == F.col("mark"), F.col("mark_close")).otherwise(first)})
+    t, top = F.col("open_time"), F.col("_seen")
+    event = (
+        F.when(top.isNull() | (t - top == step), "ACCEPTED").when(t > top, "GAP").when(t < top, "OUT_OF_ORDER").when(F.col("close") == F.col("_first"), "DUPLICATE").otherwise("CONFLICT")
+    )
+    rows = rows.withColumn("event", event)
+    missing = F.when(F.col("event") == "GAP", F.expr(f"(open_time - _seen) div {step}") - 1).otherwise(F.lit(0))
+    return rows.withColumn("missing", missing.cast("long")).drop("mark", "mark_close", "_seen", "_first")
+
+
+MARKS = "symbol string, mark long, mark_close double"
+
+
+def moved(events: DataFrame, marks: DataFrame) -> DataFrame:
+    """The marks after a batch of events."""
+    new = events.where("event in ('ACCEPTED', 'GAP')").select("symbol", F.col("open_time").alias("mark"), F.col("close").alias("mark_close"))
+    return marks.unionByName(new).groupBy("symbol").agg(F.max("mark").alias("mark"), F.max_by("mark_close", "mark").alias("mark_close"))
 
 
-def marks(bars: DataFrame, step: int) -> DataFrame:
-    """(symbol, open_time, event, missing) of each arriving bar, from a per-symbol mark kept in streaming state.
+def follow(messages: DataFrame, root: str, step: int) -> None:
+    """Run a stream of messages (body, seq) over what is there now: decode, check the contract, apply the marks.
 
-    Late rows never move the mark but are always put out. Rows of a symbol are applied in order of arrival (event time).
+    Every micro-batch writes three tables below ``root``, each in a folder of its number: accepted ``bars``, ``events`` of all
+    other messages (open, malformed, refused, duplicate, conflict, late, gap) and ``marks``, the state that the next one
+    reads. A batch that is repeated after a failure reads the same state and replaces its own folders.
     """
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(["event_time", "open_time"], kind="stable")
-        out = []
-        for t, c in zip(rows["open_time"].tolist(), rows["close"].tolist(), strict=True):
-            mark, event, missing = accept(mark, t, c, step)
-            out.append((key[0], t, event, missing))
-        state.update(mark)
-        yield pd.DataFrame(out, columns=["symbol", "open_time", "event", "missing"])
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = decode(batch)
+        old = spark.read.schema(MARKS).parquet(f"{root}/marks/batch={number - 1}") if number else spark.createDataFrame([], MARKS)
+        good = F.coalesce(contract(step), F.lit(False))
+        judged = accept(rows.where((F.col("status") == "closed") & good), old, step)
+        side = rows.where((F.col("status") != "closed") | ~good).select("symbol", "open_time", "seq", F.when(F.col("status") == "closed", "refused").otherwise(F.col("status")).alias("event"), F.lit(0).cast("long").alias("missing"))
+        told = judged.where("event <> 'ACCEPTED'").select("symbol", "open_time", "seq", "event", "missing")
+        judged.where("event in ('ACCEPTED', 'GAP')").drop("status", "event", "missing").write.mode("overwrite").parquet(f"{root}/bars/batch={number}")
+        side.unionByName(told).write.mode("overwrite").parquet(f"{root}/events/batch={number}")
+        moved(judged, old).write.mode("overwrite").parquet(f"{root}/marks/batch={number}")
+
+    run = messages.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/checkpoint")
+    run.trigger(availableNow=True).start().awaitTermination()
+
+
+def summary(bars: DataFrame, events: DataFrame) -> DataFrame:
+    """By symbol: bars accepted, updates in progress, gaps and bars missing in them, other events, and the time covered."""
+    accepted = bars.groupBy("symbol").agg(F.count("*").alias("accepted"), (F.max("close_time") - F.min("open_time") + 1).alias("elapsed"))
+    one = lambda *names: F.count_if(F.col("event").isin(*names))
+    told = events.where("symbol is not null").groupBy("symbol").agg(
+        one("open").alias("updates"), one("GAP").alias("gaps"), F.sum("missing").alias("missing"), one("DUPLICATE", "CONFLICT", "OUT_OF_ORDER", "refused").alias("rejected")
+    )
+    zero = F.lit(0).cast("long")
+    out = accepted.join(told, "symbol", "full_outer")
+    return out.select("symbol", *[F.coalesce(c, zero).alias(c) for c in ("accepted", "elapsed", "updates", "gaps", "missing", "rejected")])
+
+
+def halts(marks: DataFrame, now: int, step: int, limit: int) -> DataFrame:
+    """A HALT event for each symbol whose last accepted bar ended more than ``limit`` before ``now``."""
+    late = F.lit(now) - (F.col("mark") + step)
+    return marks.where(late > limit).select("symbol", F.lit("HALT").alias("event"), late.alias("late"))
 
-    return bars.groupBy("symbol").applyInPandasWithState(run, "symbol string, open_time long, event string, missing long", "open_time long, close double", "append", GroupStateTimeout.NoTimeout)
+
+def live_features(new: DataFrame, stored: DataFrame, step: int, names: list[str]) -> DataFrame:
+    """Features of newly arrived bars by the batch functions, over them and each symbol's last stored bars that any of the
+    features looks back on."""
+    history = max(features.REGISTRY[n].lookback + features.REGISTRY[n].warmup for n in names)
+    newest = new.groupBy("symbol").agg(F.min("open_time").alias("_from"))
+    recent = stored.join(F.broadcast(newest), "symbol").where((F.col("open_time") < F.col("_from")) & (F.col("open_time") >= F.col("_from") - history * step)).drop("_from")
+    keys = new.select("symbol", "open_time")
+    return features.build(recent.unionByName(new.select(*recent.columns)), step, names).join(keys, ["symbol", "open_time"], "left_semi")
+
+
+def observed_prices(rows: DataFrame) -> DataFrame:
+    """Decoded messages to the last positive price of each symbol and minute of the event clock, from updates in progress
+    only, never from a closed bar."""
+    live = rows.where((F.col("status") == "open") & (F.col("close") > 0))
+    minute = (F.expr(f"event_time div {MINUTE}") * MINUTE).alias("minute")
+    return live.groupBy("symbol", minute).agg(F.max_by("close", "event_time").alias("price"))
+
+
+def once(bars: DataFrame, late: str) -> DataFrame:
+    """A stream of bars with each symbol and time once, for repeats that come within ``late``."""
+    return bars.withColumn("_at", F.timestamp_micros("open_time")).withWatermark("_at", late).dropDuplicatesWithinWatermark(["symbol", "open_time"])
 
 
 def resample(bars: DataFrame, step: int, longer: int, late: str = "2 hours") -> DataFrame:
@@ -96,17 +160,3 @@ def resample(bars: DataFrame, step: int, longer: int, late: str = "2 hours") ->
 def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Run a stream over what is there now and append it as Parquet; a rerun goes on from its checkpoint."""
     stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def drain_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """The same through foreachBatch, for stateful operators whose output mode the file sink refuses."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a repeated batch replaces itself
-
-    stream.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def stale(last_seen: DataFrame, now: int, limit: int) -> DataFrame:
-    """Symbols without a fresh close within the limit."""
-    return last_seen.groupBy("symbol").agg(F.max("close_time").alias("last")).where(F.lit(now) - F.col("last") > limit)
