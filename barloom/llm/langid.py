@@ -6,12 +6,14 @@ words; all are hashed into a table of ``2**TABLE_BITS`` rows of one weight per l
 neighbouring words are learned with them. Prediction runs forward-backward exactly over the whole text and takes the
 language with the largest mean posterior; that mean is the score.
 
-The fit uses a documented, bounded sample: about ``SAMPLE_DOCS`` labelled rows chosen by a hash of the id. Training
-sequences splice passages of several sampled texts, so that changes of language inside a text are seen and transitions
+The fit uses a documented, bounded sample: about ``SAMPLE_DOCS`` labelled rows chosen by a hash of the id, with their whole
+texts. Training sequences splice passages of several sampled texts, so that changes of language inside a text are seen and transitions
 are learned from them. The model is small (a fixed table) and broadcast.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; words without a letter emit nothing and
-take their language from their neighbours; if no row is labelled, every text is ``und``; repeated rows are predicted alike.
+take their language from their neighbours; if no row is labelled, every text is ``und``; repeated rows are predicted alike;
+a text of any length is read whole; an empty table gives an empty one; columns lang_pred and score of the input are
+replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -106,6 +108,15 @@ def emissions(model: Model, joined: np.ndarray, begins: np.ndarray, ends: np.nda
     return out
 
 
+def text_emissions(model: Model, joined: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same, worked out once for each distinct word (case of ASCII letters aside)."""
+    _, first, word = np.unique(word_hashes(joined, begins, ends), return_index=True, return_inverse=True)
+    lengths = ends[first] - begins[first] + 1
+    stops = np.cumsum(lengths)
+    text = joined[np.repeat(begins[first] - (stops - lengths), lengths) + np.arange(stops[-1])]
+    return emissions(model, text, stops - lengths, stops - 1)[word]
+
+
 def forward_backward(scores: np.ndarray, counts: np.ndarray, transitions: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """Posteriors of every word and, if asked, summed expected transitions, for texts of ``counts`` words end to end.
 
@@ -159,15 +170,12 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     joined, begins, ends = words(data)
     owner = owners(data, offsets)
     gold_of = np.searchsorted(labels, langs)
-    # segments of SEGMENT words; each text gives at most 40, spread over its whole length
+    # segments of SEGMENT words; every word of the sampled texts is in one
     counts = np.bincount(owner, minlength=len(texts))
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
     segments = []
     for d, n in enumerate(counts.tolist()):
-        starts = np.arange(0, n, SEGMENT)
-        if len(starts) > 40:
-            starts = rng.choice(starts, 40, replace=False)
-        segments += [(first[d] + s, min(SEGMENT, n - s), gold_of[d]) for s in starts.tolist()]
+        segments += [(first[d] + s, min(SEGMENT, n - s), gold_of[d]) for s in range(0, n, SEGMENT)]
     segments = np.asarray(segments, np.int64)
     values, times = np.unique(word_hashes(joined, begins, ends), return_counts=True)
     model.lexicon = np.sort(values[np.argsort(-times, kind="stable")[:LEXICON]])
@@ -214,7 +222,7 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
         return names, scores
     spoken = np.bincount(owner, letter_words(joined, begins), n) > 0
     counts = np.bincount(owner, minlength=n)
-    post, _ = forward_backward(emissions(model, joined, begins, ends), counts[counts > 0], model.transitions)
+    post, _ = forward_backward(text_emissions(model, joined, begins, ends), counts[counts > 0], model.transitions)
     mean = np.stack([np.bincount(owner, post[:, i], n) for i in range(post.shape[1])], axis=1) / np.maximum(counts, 1)[:, None]
     best = mean.argmax(axis=1)
     for i in np.flatnonzero(spoken).tolist():
