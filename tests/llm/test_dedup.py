@@ -294,3 +294,29 @@ def test_registered_query_takes_every_line_that_is_not_blank(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: (r["n_lines"], r["removed"]) for r in queries.QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == {0: (4, ""), 1: (3, "0,2"), 2: (3, "2"), 3: (3, "0"), 4: (0, "")}
+
+
+def test_fingerprints_match_brute_force(spark):
+    """Each fingerprint bit by the definition, over words, shingles and XXH64 of the plain library."""
+    import xxhash
+
+    def brute(text):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        if not w:
+            return 0
+        shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+        hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    texts = [None, "", " \t", "One", "one TWO", "a b c", "a b c a b c a b c", "É é ß x", "x y z w", "w " * 5000] + [t for _, t in corpus(3)]
+    table = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, fp string")
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash.document_components(table).collect()}
+    assert got == {i: f"{brute(t):016x}" for i, t in enumerate(texts)}
+
+
+def test_components_of_repeated_ids_and_long_texts(spark):
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, long), (1, "entirely different words here"), (2, long), (3, long + " end")]
+    out = simhash.document_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 4 and len({r["component_id"] for r in out if r["doc_id"] != 1}) == 1

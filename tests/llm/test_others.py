@@ -253,3 +253,75 @@ def test_pipeline_keeps_distinct_rows_with_one_id(spark):
     left = [t for t in got if t[0] == 0]
     assert [t for t in got if t[0] == 5] == sorted([(5, lines[5]), (5, f"{lines[6]}\n{lines[7]}")])
     assert (0, f"{lines[3]}\n{lines[4]}") in left and sum(lines[1] in t for _, t in left) == 1 and len(left) == 3
+
+
+def test_fixity_audits_offsets_hot_ids_and_empty_replicas(spark):
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>", 0) for i in range(200)] + [(3, "http://x/3", f"copy {j}", 0) for j in range(40)]
+    kind = "page_id long, url string, html string, padding int"
+    left = common.materialize(fixity.leaves(fixity.records(spark.createDataFrame(rows, kind))))
+    moved = [(i, u, h, 5000 if i == 77 else 0) for i, u, h, _ in rows if (i, h) != (3, "copy 9") and i != 120]
+    right = fixity.leaves(fixity.records(spark.createDataFrame(moved, kind)))
+    got = {r["id"]: r["status"] for r in fixity.audit(left, right).collect()}
+    assert got == {77: "moved", 3: "changed", 120: "missing"}
+    assert fixity.audit(left.limit(0), left.limit(0)).count() == 0
+    pages = spark.createDataFrame([(1, "u", "x" * 300_000, "clash", 1)], "page_id long, url string, html string, id string, record int")
+    assert fixity.page_audit(pages).count() == 0
+
+
+def test_leaks_of_null_and_repeated_rows_and_items(spark):
+    kind = "doc_id long, text string, leaks string, item_id long, copies int"
+    item = "the quick brown fox jumps over the lazy dog again"
+    text = "some words before " + item + " and after " * 3000
+    rows = [(None, text, "", 1, 1), (None, "nothing here", "", 1, 1), (4, text, "", 1, 1), (4, "clean", "", 1, 1), (4, None, "", 1, 1)]
+    table = spark.createDataFrame(rows, kind)
+    benchmark = spark.createDataFrame([(1, item), (1, item), (2, item), (None, item), (3, "unrelated words of another item")], "item_id long, text string")
+    for size in (8 << 20, 40):
+        out = decontaminate.scan(table, benchmark, group_bytes=size)
+        assert out.columns == ["doc_id", "text", "item_id", "copies", "leaks"]
+        got = sorted((r["doc_id"] or 0, r["text"] or "", [x["item_id"] for x in r["leaks"]]) for r in out.collect())
+        want = sorted((i or 0, t or "", [None, 1, 1, 2] if t == text else []) for i, t, *_ in rows)
+        assert got == want
+    assert decontaminate.scan(table, benchmark.limit(0)).where("size(leaks) > 0").count() == 0
+
+
+def test_language_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "the one and the other", "en", 9, "q"), (1, "the one and the other", "en", 9, "q"), (2, "uno y otro", "es", 9, "q"), (3, "the same", None, 9, "q")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, lang_pred string")
+    model = langid.fit(["the one and the other " * 30, "uno y otro de los " * 30], ["en", "es"])
+    out = langid.classify(table, model)
+    assert sorted(out.columns) == ["doc_id", "lang", "lang_pred", "score", "text"]
+    got = sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in out.collect())
+    assert got[0] == got[1] and [g[1] for g in got] == ["en", "en", "es", "en"]
+
+
+def test_neighbours_of_repeated_ids_and_clashing_columns(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 90, rng.normal(size=8).tolist(), "x", 1.0) for i in range(120)] + [(None, [1.0] * 8, "x", 1.0), (20, None, "x", 1.0), (40, [0.0] * 8, "x", 1.0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf string, score double")
+    found = neighbours.embedding_neighbours(table).toPandas()
+    assert (found.query_id != found.vec_id).all() and set(found.query_id) == {0, 20, 40, 60, 80}
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in every column, an empty table, ties, repeated rows and ids, and further columns with clashing names."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clash = docs.limit(40).withColumns({"leaks": docs.text, "row": docs.doc_id, "removed": docs.text, "component": docs.doc_id, "lang_pred": docs.lang})
+    text = docs.where("length(text) > 400").select("text").first()[0]
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, text, None, None, None), (None, text, None, None, None), (7, "", "en", "x", 0), (7, text + " end", "en", "x", 1), (8, "12 34", "en", "x", 5)], docs.schema)
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        out = stage(spark, clash, SF)
+        assert out.columns == docs.columns and out.count() > 0, name
+    held = docs.unionByName(odd)
+    kept = pipeline.language_id(spark, held, SF)
+    assert kept.where("text is null or text in ('', '12 34')").count() == 0 and kept.where("doc_id is null").count() == 2
+    one = pipeline.near_dedup(spark, odd, SF).collect()
+    # null, empty and letterless texts and the text's own group: one row of each different fingerprint
+    assert sum(r["text"] == text or r["text"] == text + " end" for r in one) == 1 and sum((r["text"] or "") == "" for r in one) == 1
+    cut = pipeline.line_dedup(spark, odd.where("doc_id is null"), SF).collect()
+    assert sum(r["text"] == text for r in cut) == 1
+    ids = {r["doc_id"]: r for r in pipeline.encode(spark, docs.limit(20), SF).collect()}
+    whole = {r["doc_id"]: r["text"] for r in docs.limit(20).collect()}
+    for i, r in ids.items():
+        assert r["n_tokens"] == len(r["ids"]) and r["decoded_sha256"] == hashlib.sha256((whole[i] or "").encode()).hexdigest()
