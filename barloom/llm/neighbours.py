@@ -2,7 +2,7 @@
 
 Nearness is the largest inner product. The tree is fitted on a documented, bounded sample of about ``SAMPLE`` vectors, made
 Euclidean by one more coordinate that brings all to one norm; its size is bounded by the sample, so it is broadcast. Every
-row is assigned to a leaf. A query walks the tree with a priority queue ordered by the bound q.c + |q| r of each node
+row is assigned to a leaf. A query walks the tree with a priority queue ordered by q.c + |q| r / 2 of each node
 (centre c, radius r); leaves come out best first. How many leaves are visited is calibrated: a fixed set of queries is
 searched exactly against all rows, block by block, and visits widen until those queries reach ``target`` recall. Queries
 and candidates meet by leaf; large leaves are cut into blocks, so no task holds a whole leaf.
@@ -10,9 +10,13 @@ and candidates meet by leaf; large leaves are cut into blocks, so no task holds
 Of copies of one vector only the k + 1 smallest ids can be among a query's k nearest (ties go to smaller ids); the others
 are dropped from a block before the exchange, which keeps a vector held by a third of all rows cheap and changes nothing.
 
-Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite values take no
-part, as query or candidate; a query with fewer than k candidates gets them all; rows that share an id count as one
-candidate each, and a query never returns rows with its own id.
+The order of the walk takes half the radius, not the whole one of the bound q.c + |q| r that no vector of a node exceeds: with
+the whole one, wide nodes come before near ones. How far to walk is settled by the calibration in either case.
+
+Defined results: vectors that are null, zero, or that hold null or non-finite values take no part, as query or candidate, nor
+do rows without an id; vectors of different lengths are searched apart, each among those of its length; a query with fewer
+than k candidates gets them all; rows that share an id count as one candidate each, and a query never returns rows with its
+own id; the operator reads id and vector alone, so names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -126,13 +130,11 @@ def best_leaves(tree: Tree, query: np.ndarray, visits: int) -> list[int]:
 
 
 def clean(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id long, v array<double>) of the vectors that take part; all of the commonest length."""
+    """(id long, v array<double>) of the vectors that take part."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    out = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(
+    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", finite) & F.exists("v", lambda x: x != 0)
     )
-    size = out.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return out.where(F.size("v") == (size[0] if size else 0))
 
 
 def _matrix(column) -> np.ndarray:
@@ -199,8 +201,17 @@ def search(
     df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, sample: int = SAMPLE, target: float = TARGET
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of ``df`` found for each row of ``queries``."""
-    spark = df.sparkSession
     rows, asked = clean(df, key, vector), clean(queries, key, vector)
+    out = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for (size,) in sorted(map(tuple, asked.select(F.size("v")).distinct().collect())):  # nearly always one
+        of_size = F.size("v") == size
+        out = out.unionByName(_search(rows.where(of_size), asked.where(of_size), k, sample, target))
+    return out
+
+
+def _search(rows: DataFrame, asked: DataFrame, k: int, sample: int, target: float) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = rows.sparkSession
     draw = draw_rows(rows, F.col("id"), sample).orderBy("id").toPandas()
     if not len(draw):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -6,12 +6,15 @@ hash. Consecutive windows with the same minimiser occurrence form a super-k-mer:
 sorted by content hash; runs of equal hashes are confirmed byte for byte, and every window but the earliest of its run is
 reported. Before the exchange a task settles identical super-k-mers of its batch: only the earliest travels, for the
 windows of the others surely start earlier elsewhere; so a passage in a third of all documents reaches its bucket about
-once a batch. Buckets (``per_partition`` for each shuffle partition) travel as compressed blocks.
+once a batch. A phrase that stands in many different contexts would draw all of these into one bucket: grams that are the
+minimisers of more than ``HOT`` buckets' share of the words, by a sample of ``SAMPLE`` documents, come last in the order of
+grams, so such windows go by another gram of theirs. The sample only decides where windows travel, the same for equal ones. Buckets (``per_partition`` for each shuffle partition) travel as compressed blocks.
 
 Defined results: words are runs of bytes other than space and tab to carriage return; a null or empty text has none;
 windows are judged on the input; a window is removed if an equal one has a smaller (doc_id, start), a null doc_id being
 the smallest; rows that share a doc_id count as one document, so equal windows at one start do not remove each other, and
-what is removed under the id is removed from each of its rows.
+what is removed under the id is removed from each of its rows; a text of any length is one document; an empty table gives
+an empty one; the operator reads the key and the text alone, so names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -24,16 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BLOCK_SCHEMA, NULL_ID, earliest, equal_ranges, flat_bytes, owners, pack_blocks, partitions, range_hashes, span_batch, text_chunks, unpack_blocks, words
+from barloom.llm.common import BLOCK_SCHEMA, NULL_ID, earliest, equal_ranges, flat_bytes, materialize, owners, pack_blocks, partitions, range_hashes, sample, span_batch, text_chunks, unpack_blocks, words
 
 K, M = 20, 6
 CHUNK_BYTES = 1 << 20
 FLUSH_BYTES = 16 << 20
+HOT, SAMPLE = 4, 4000
 
 
-def super_kmers(data: np.ndarray, offsets: np.ndarray, k: int, m: int):
+def super_kmers(data: np.ndarray, offsets: np.ndarray, k: int, m: int, hot: np.ndarray | None = None):
     """Of all texts in ``data``: joined words, their begins and ends, and per super-k-mer its text, first word (in the
-    text), first and last word (in the array) and minimiser hash."""
+    text), first and last word (in the array) and minimiser hash. Grams in ``hot`` come after all others."""
     joined, begins, ends = words(data)
     owner = owners(data, offsets)
     n = len(begins)
@@ -41,7 +45,10 @@ def super_kmers(data: np.ndarray, offsets: np.ndarray, k: int, m: int):
         return joined, begins, ends, *[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64)
     grams = range_hashes(joined, begins[: n - m + 1], ends[m - 1 :])
     span = k - m + 1
-    at = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(n - k + 1)
+    order = grams >> np.uint64(1)
+    if hot is not None and len(hot):
+        order |= np.isin(grams, hot).astype(np.uint64) << np.uint64(63)
+    at = np.lib.stride_tricks.sliding_window_view(order, span).argmin(axis=1) + np.arange(n - k + 1)
     whole = np.flatnonzero(owner[: n - k + 1] == owner[k - 1 :])
     if not len(whole):
         return joined, begins, ends, *[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64)
@@ -52,7 +59,25 @@ def super_kmers(data: np.ndarray, offsets: np.ndarray, k: int, m: int):
     return joined, begins, ends, owner[first], first - text_first[owner[first]], first, last, grams[at[first]]
 
 
-def _route(k: int, m: int, buckets: int):
+def hot_minimisers(docs: DataFrame, k: int, m: int, buckets: int) -> np.ndarray:
+    """Minimisers of more than HOT buckets' share of a sample's words; no more than buckets / HOT of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "text", CHUNK_BYTES):
+            *_, first, last, minimiser = super_kmers(*flat_bytes(batch.column("text")), k, m)
+            if len(first):
+                kinds, at = np.unique(minimiser, return_inverse=True)
+                words_of = np.bincount(at, last - first + 1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(words_of)], ["minimiser", "n"])
+
+    counts = sample(docs, F.col("doc"), SAMPLE).mapInArrow(run, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
+    counts = materialize(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = sorted(r[0] for r in counts.where(F.col("n") > max(20 * k, total * HOT / buckets)).select("minimiser").collect())
+    return np.array(found, np.int64).view(np.uint64)
+
+
+def _route(k: int, m: int, buckets: int, hot: np.ndarray):
     """Documents (doc, text) to blocks of super-k-mers by bucket; blocks without strings carry settled spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +85,7 @@ def _route(k: int, m: int, buckets: int):
         for batch in text_chunks(batches, "text", CHUNK_BYTES):
             ids = batch.column("doc").to_numpy()
             data, offsets = flat_bytes(batch.column("text"))
-            joined, begins, ends, text, start, first, last, minimiser = super_kmers(data, offsets, k, m)
+            joined, begins, ends, text, start, first, last, minimiser = super_kmers(data, offsets, k, m, hot)
             if not len(text):
                 continue
             doc, count = ids[text], last - first + 1
@@ -143,7 +168,8 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", k: in
     spark = df.sparkSession
     n = partitions(spark)
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text).alias("text"))
-    blocks = docs.mapInArrow(_route(k, m, n * per_partition), BLOCK_SCHEMA)
+    hot = hot_minimisers(docs, k, m, n * per_partition)
+    blocks = docs.mapInArrow(_route(k, m, n * per_partition, hot), BLOCK_SCHEMA)
     return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(k), "doc long, start long, count long")
 
 

@@ -320,3 +320,18 @@ def test_components_of_repeated_ids_and_long_texts(spark):
     rows = [(1, long), (1, "entirely different words here"), (2, long), (3, long + " end")]
     out = simhash.document_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == 4 and len({r["component_id"] for r in out if r["doc_id"] != 1}) == 1
+
+
+def test_hot_minimisers_take_another_way_to_the_same_result(spark, monkeypatch):
+    """One phrase in many contexts: with every frequent gram hot, windows travel elsewhere and nothing else changes."""
+    rng = random.Random(21)
+    phrase = " ".join(f"p{i}" for i in range(8))
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(20)) + " " + phrase + " " + " ".join(rng.choice(WORDS) for _ in range(20))) for i in range(60)]
+    rows += [(i + 100, t) for i, t in rows[:10]]
+    table = frame(spark, rows)
+    plain = sorted(map(tuple, substrings.document_digests(table).collect()))
+    monkeypatch.setattr(substrings, "HOT", 0.01)
+    docs = table.select(substrings.F.col("doc_id").alias("doc"), "text")
+    assert len(substrings.hot_minimisers(docs, 20, 6, 32)) > 0
+    assert sorted(map(tuple, substrings.document_digests(table).collect())) == plain
+    assert substrings.document_digests(table.limit(0)).count() == 0

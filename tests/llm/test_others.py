@@ -298,8 +298,12 @@ def test_neighbours_of_repeated_ids_and_clashing_columns(spark):
     rng = np.random.default_rng(4)
     rows = [(i % 90, rng.normal(size=8).tolist(), "x", 1.0) for i in range(120)] + [(None, [1.0] * 8, "x", 1.0), (20, None, "x", 1.0), (40, [0.0] * 8, "x", 1.0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf string, score double")
-    found = neighbours.embedding_neighbours(table).toPandas()
-    assert (found.query_id != found.vec_id).all() and set(found.query_id) == {0, 20, 40, 60, 80}
+    other = spark.createDataFrame([(1000 + i, rng.normal(size=3).tolist(), "x", 1.0) for i in range(30)], table.schema)
+    found = neighbours.embedding_neighbours(table.unionByName(other)).toPandas()
+    far = found[found.query_id >= 1000]
+    assert set(far.query_id) == {1000, 1020} and (far.vec_id >= 1000).all() and len(far) == 40
+    found = found[found.query_id < 1000]
+    assert (found.vec_id < 1000).all() and (found.query_id != found.vec_id).all() and set(found.query_id) == {0, 20, 40, 60, 80}
 
 
 def test_pipeline_stages_on_odd_tables(spark):
