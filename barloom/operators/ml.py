@@ -61,3 +61,55 @@ def shuffled(rows: DataFrame, seed: int) -> DataFrame:
     a = rows.withColumn("_n", by([F.xxhash64("open_time", F.lit(seed)), "open_time"]))
     b = rows.select("symbol", "target", by([F.xxhash64("open_time", F.lit(seed + 1)), "open_time"]).alias("_n"))
     return a.drop("target").join(b, ["symbol", "_n"]).drop("_n")
+
+
+def classes(rows: DataFrame, seeds: list[int], layers: list[int]) -> DataFrame:
+    """(model, seed, n, accuracy, macro_f1) on TEST rows of a multinomial logistic fit and a small network, fitted on TRAIN;
+    rows has x, label (0, 1, ...) and split."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    from barloom.operators import reports
+
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    out = None
+    for seed in seeds:
+        fits = {
+            "logistic": LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", maxIter=20),
+            "network": MultilayerPerceptronClassifier(featuresCol="x", labelCol="label", layers=layers, seed=seed, maxIter=20),
+        }
+        for name, fit in fits.items():
+            said = fit.fit(train).transform(test).select("label", F.col("prediction").alias("predicted"))
+            row = reports.classification(said).select(F.lit(name).alias("model"), F.lit(seed).alias("seed"), "n", "accuracy", "macro_f1")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def isotonic_return(valid: DataFrame, rows: DataFrame) -> DataFrame:
+    """``expected``: the isotonic return for a probability ``p``, fitted on VALID rows alone."""
+    fitted = IsotonicRegression(featuresCol="p", labelCol="target").fit(valid.select("p", "target"))
+    return fitted.transform(rows.drop("prediction")).withColumnRenamed("prediction", "expected")
+
+
+def hurdle(expected, cost: float, full: float):
+    """An expected return above its cost as a signal in [0, 1], whole at ``full`` above it."""
+    return ts.clip((expected - cost) / full, 0.0, 1.0)
+
+
+def boosted_return(rows: DataFrame, rounds: int = 5, depth: int = 2, seed: int = 7):
+    from pyspark.ml.regression import GBTRegressor
+
+    return GBTRegressor(featuresCol="x", labelCol="target", maxIter=rounds, maxDepth=depth, seed=seed).fit(rows.where("split = 'train'"))
+
+
+def horizon_screen(rows: DataFrame, cost: float) -> DataFrame:
+    """By exit (horizon): a return regression on TRAIN, made monotone on VALID; TEST rows whose expected return beats the cost
+    trade, and are judged at once and twice the cost."""
+    out = None
+    for (h,) in sorted(map(tuple, rows.select("horizon").distinct().collect())):  # the few exits that are asked for
+        part = rows.where(F.col("horizon") == h)
+        score = boosted_return(part).transform(part).withColumnRenamed("prediction", "p")
+        test = isotonic_return(score.where("split = 'valid'"), score.where("split = 'test'"))
+        active = F.col("expected") > cost
+        one = test.groupBy("horizon").agg(F.count("*").alias("n"), F.count_if(active).alias("active"), *[F.avg(F.when(active, F.col("target") - m * cost)).alias(f"net_{m}x") for m in (1, 2)])
+        out = one if out is None else out.unionByName(one)
+    return out

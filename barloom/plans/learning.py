@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions import ts
-from barloom.operators import features, ml
-from barloom.plans.base import HOUR, bars, query, r, sql
+from barloom.operators import calibrate, features, ml
+from barloom.plans.base import HOUR, bars, query, r, sql, table
+from barloom.plans.returns import BPS, bps
 
 SPLITS = [("train", 1704067200000000, 1705276800000000), ("valid", 1705276800000000, 1706140800000000), ("test", 1706140800000000, 1706659200000000)]
 NAMES = ["return_1", "taker_ratio", "hour_sin", "hour_cos", "trade_size"]
@@ -62,12 +63,101 @@ def dataset_counts(spark, sf_dir):
     return rows.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(none("y")).alias("no_label"), F.count_if(none("f")).alias("no_feature"), F.count_if(~none("y") & ~none("f")).alias("kept"))
 
 
-@query("M-09", None)
+_SPLITS = "CASE WHEN open_time >= 1704067200000000 AND open_time < 1705276800000000 THEN 'train' WHEN open_time >= 1705276800000000 AND open_time < 1706140800000000 THEN 'valid' WHEN open_time >= 1706140800000000 AND open_time < 1706659200000000 THEN 'test' END"
+_ENDS = "CASE split WHEN 'train' THEN 1705276800000000 WHEN 'valid' THEN 1706140800000000 WHEN 'test' THEN 1706659200000000 END"
+
+
+@query(
+    "M-09",
+    sql(
+        f"""SELECT symbol, split, count(*) AS n, round(avg((y > 0)::INT), 6) AS positive FROM (SELECT symbol, open_time, {_SPLITS} AS split, CASE WHEN lead(open_time) OVER {_W} - open_time = {HOUR} THEN lead(close) OVER {_W} / close - 1 END AS y,
+          CASE WHEN open_time - lag(open_time) OVER {_W} = {HOUR} THEN 1 END AS f FROM h) WHERE split IS NOT NULL AND y IS NOT NULL AND f IS NOT NULL AND open_time + {HOUR} < {_ENDS} GROUP BY ALL"""
+    ),
+)
 def coverage(spark, sf_dir):
     rows = _samples(spark, sf_dir)
     return rows.groupBy("symbol", "split").agg(F.count("*").alias("n"), r(F.avg((F.col("target") > 0).cast("int")), "positive"))
 
 
+@query(
+    "F-17",
+    """WITH b AS (SELECT l_discount AS d, avg(l_discount * 10) AS x, avg((l_returnflag = 'R')::INT) AS y FROM lineitem GROUP BY ALL),
+      k AS (SELECT x AS x0, y0, lead(x) OVER (ORDER BY x) AS x1, lead(y0) OVER (ORDER BY x) AS y1 FROM (SELECT x, max(y) OVER (ORDER BY x) AS y0 FROM b)),
+      q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_tax * 15 - 0.1 AS p FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN x0 IS NULL THEN (SELECT min(y0) FROM k) WHEN x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * (p - x0) / (x1 - x0) END, 6) AS value FROM q ASOF LEFT JOIN k ON q.p >= k.x0""",
+)
+def calibrated_values(spark, sf_dir):
+    """A rising map of return rates by discount, read at other points, below and above its ends too."""
+    rows = table(spark, sf_dir, "lineitem")
+    points = calibrate.monotone_points(rows.select("l_discount", (F.col("l_discount") * 10).alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("y")), F.col("l_discount"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", r(calibrate.interpolate(F.col("l_tax") * 15 - 0.1, points), "value"))
+
+
+#: The policy of the edge signal: its calibration map, rows of the score and when it was fitted.
+POINTS, WINDOW, READY = [(0.1, 0.3), (0.5, 0.5), (0.9, 0.7)], 12, 1705276800000000
+
+
+@query(
+    "M-06",
+    sql(
+        f"""SELECT symbol, open_time, round(net, 4) + 0.0 AS net, round(CASE WHEN usable AND open_time + {HOUR} >= {READY} THEN CASE WHEN net = 0 OR sign(v) <> sign(net) THEN 0 ELSE v END END, 5) + 0.0 AS alpha FROM
+        (SELECT *, least(greatest(score, -1), 1) AS v, score IS NOT NULL AND coalesce(open_time - lag(open_time, {WINDOW - 1}) OVER {_W} = {(WINDOW - 1) * HOUR}, false) AS usable FROM
+          (SELECT *, CASE WHEN count(net) OVER z = {WINDOW} AND stddev_samp(net) OVER z > 0 THEN (net - avg(net) OVER z) / stddev_samp(net) OVER z END AS score FROM n WINDOW z AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW)))""",
+        f0=f"SELECT symbol, open_time, taker_buy_base / volume AS p, CASE WHEN lead(open_time) OVER {_W} - open_time = {HOUR} THEN lead(close) OVER {_W} / close - 1 END AS y FROM h",
+        pay=f"SELECT symbol, avg(y) FILTER (y > 0) * 10000 AS up, avg(y) FILTER (y <= 0) * 10000 AS down FROM f0 WHERE open_time < {READY} GROUP BY symbol",
+        c=f"SELECT *, CASE WHEN p <= 0.1 THEN 0.3 WHEN p >= 0.9 THEN 0.7 ELSE 0.3 + (p - 0.1) * 0.5 END AS q, 2 * CASE symbol {' '.join(f"WHEN '{k}' THEN {v}" for k, v in BPS.items())} END AS cost FROM f0 JOIN pay USING (symbol)",
+        n="SELECT symbol, open_time, sign(q * up + (1 - q) * down) * greatest(abs(q * up + (1 - q) * down) - cost, 0) AS net FROM c",
+    ),
+)
+def edge_signal(spark, sf_dir):
+    """Taker shares as probabilities: calibrated, turned into an edge by TRAIN payoffs, less costs, scored and bounded."""
+    rows = bars(spark, sf_dir, HOUR)
+    rows = rows.select("symbol", "open_time", ts.ratio(F.col("taker_buy_base"), F.col("volume")).alias("p"), ts.forward_return(F.col("close"), 1, HOUR).alias("y"))
+    paid = calibrate.payoffs(rows.where(F.col("open_time") < READY), "y")
+    out = calibrate.edge_signal(rows, paid, POINTS, 2 * bps(), HOUR, WINDOW, READY)
+    return out.select("symbol", "open_time", (F.round("net", 4) + 0.0).alias("net"), (F.round("alpha", 5) + 0.0).alias("alpha"))
+
+
+@query("M-04", None)
+def book_classes(spark, sf_dir):
+    """Classes of labelled vectors by a multinomial logistic fit and a small network, over two seeds."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
+
+    rows = table(spark, sf_dir, "embeddings").where("label is not null")
+    first = F.slice(F.col("embedding").cast("array<double>"), 1, 16)
+    kinds = [x[0] for x in rows.select("label").distinct().orderBy("label").collect()]  # the label domain
+    index = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("label")).cast("double") - 1
+    split = F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train")
+    ready = rows.select(array_to_vector(first).alias("v"), index.alias("label"), split.alias("split"))
+    ready = VectorAssembler(inputCols=["v"], outputCol="x").transform(ready)
+    out = ml.classes(ready, [1, 2], [16, 8, len(kinds)])
+    return out.select("model", "seed", "n", r("accuracy", "accuracy"), r("macro_f1", "macro_f1"))
+
+
+@query("M-07", None)
+def expected_return(spark, sf_dir):
+    """Boosted direction, isotonic return on VALID, hurdle: the signal of TEST rows, by symbol."""
+    rows = ml.standardised(_samples(spark, sf_dir), NAMES)
+    scored = ml.probabilities(ml.boosted(rows, 5, 2), rows.where("split <> 'train'"))
+    out = ml.isotonic_return(scored.where("split = 'valid'"), scored.where("split = 'test'"))
+    alpha = ml.hurdle(F.col("expected"), 0.001, 0.05)
+    return out.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(alpha > 0).alias("active"), r(F.avg(alpha), "mean"), r(F.max(alpha), "most"))
+
+
+@query("M-08", None)
+def horizon_screen(spark, sf_dir):
+    """Returns over three exits, each with a regression, a monotone map and a cost screen."""
+    b = bars(spark, sf_dir, HOUR)
+    made = features.build(b, HOUR, NAMES)
+    rows = None
+    for h in (1, 2, 4):
+        part = ml.samples(made, b, NAMES, h, HOUR, SPLITS).withColumn("horizon", F.lit(h))
+        rows = part if rows is None else rows.unionByName(part)
+    out = ml.horizon_screen(ml.standardised(rows, NAMES), 0.001)
+    return out.select("horizon", "n", "active", r("net_1x", "net_1x"), r("net_2x", "net_2x"))
+
+
 @query("M-10", None)
 def shuffled_control(spark, sf_dir):
     rows = _samples(spark, sf_dir)
