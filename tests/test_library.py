@@ -133,9 +133,18 @@ def test_features_are_causal_and_masked(spark):
 
 
 def test_gate_status(spark):
-    m = spark.createDataFrame([("a", 200, 1.0, 0.5, 1.0), ("b", 10, None, 9.0, -1.0)], "symbol string, n long, sharpe double, turnover double, total double")
-    got = {r["symbol"]: (r["passed"], r["failed"]) for r in gates.status(gates.decisions(m, gates.GATES)).collect()}
-    assert got == {"a": (True, []), "b": (False, ["G1", "G2", "G3", "G4"])}
+    kind = "id string, split string, sharpe double, fitness double, turnover double, positive double, stress double"
+    rows = [
+        ("good", "valid", 2.0, 1.5, 0.2, 0.6, 0.1),
+        ("edges", "test", 1.0, 1.0, 0.7, 0.5, 0.0),  # every comparison is strict
+        ("train", "train", 2.0, 1.5, 0.2, 0.6, 0.1),
+        ("unknown", "valid", None, None, None, None, None),
+    ]
+    decided = gates.decisions(spark.createDataFrame(rows, kind))
+    got = {r["id"]: (r["status"], r["failed"]) for r in gates.status(decided, ["id"]).collect()}
+    assert got == {"good": ("EVALUATED", ""), "edges": ("REJECTED", "G1,G2,G3,G5,G6"), "train": ("REJECTED", "G4"), "unknown": ("REJECTED", "G1,G2,G3,G5,G6")}
+    reasons = {(r["id"], r["gate"]): r["reason"] for r in decided.collect()}
+    assert reasons["edges", "G3"] == "threshold_not_met" and reasons["unknown", "G1"] == "unavailable" and reasons["train", "G4"] == "in_sample" and reasons["good", "G1"] is None
 
 
 def test_average_cost_through_zero(spark):
@@ -207,20 +216,66 @@ def test_charts(spark):
     assert [r["reject_reason"] for r in readers.parse_chart(docs, "body").orderBy("t").collect()] == [None, "missing value", "inconsistent prices"]
 
 
-def test_stream_marks_and_resample(spark, tmp_path):
-    assert cb.accept((10, 1.0), 10, 1.0, 5) == ((10, 1.0), "DUPLICATE", 0) and cb.accept((10, 1.0), 10, 2.0, 5)[1] == "CONFLICT"
-    assert cb.accept((10, 1.0), 5, 1.0, 5)[1] == "OUT_OF_ORDER" and cb.accept((10, 1.0), 25, 1.0, 5) == ((25, 1.0), "GAP", 2)
-    base = 473_000 * H
-    b = bars(spark, 30, skip=(7,)).withColumns({"open_time": F.col("open_time") + base, "close_time": F.col("close_time") + base})
-    cb.encode(b, "1h").unionByName(spark.createDataFrame([("{broken",)], "body string")).write.parquet(str(tmp_path / "in"))
-    stream = cb.decode(spark.readStream.schema("body string").parquet(str(tmp_path / "in")))
-    cb.drain_batches(cb.marks(stream.where("status = 'closed'"), H), str(tmp_path / "m"), str(tmp_path / "mc"))
-    events = {r["event"]: r["missing"] for r in spark.read.parquet(str(tmp_path / "m")).collect()}
-    assert events == {"ACCEPTED": 0, "GAP": 1}
-    cb.drain(cb.resample(stream.where("status = 'closed'"), H, 6 * H), str(tmp_path / "r"), str(tmp_path / "rc"))
-    got = sorted((r["open_time"] - base) // H for r in spark.read.parquet(str(tmp_path / "r")).collect())
-    assert 6 not in [t % 24 for t in got] and all(t % 6 == (-base // H) % 6 for t in got)
-    assert cb.decode(spark.read.parquet(str(tmp_path / "in"))).where("status = 'malformed'").count() == 1
+def test_marks_over_batches_and_a_restart(spark, tmp_path):
+    """Accepted, gap, duplicate, conflict and late bars; the mark goes on in the next run, and a repeated batch changes nothing."""
+    kind = "symbol string, seq long, open_time long, close double"
+    rows = [("a", 1, 10, 1.0), ("a", 2, 15, 2.0), ("a", 3, 15, 2.0), ("a", 4, 15, 3.0), ("a", 5, 10, 1.0), ("a", 6, 30, 4.0), ("b", 1, 5, 9.0)]
+    none = spark.createDataFrame([], cb.MARKS)
+    first = cb.accept(spark.createDataFrame(rows, kind), none, 5)
+    got = {(r["symbol"], r["seq"]): (r["event"], r["missing"]) for r in first.collect()}
+    assert got == {("a", 1): ("ACCEPTED", 0), ("a", 2): ("ACCEPTED", 0), ("a", 3): ("DUPLICATE", 0), ("a", 4): ("CONFLICT", 0), ("a", 5): ("OUT_OF_ORDER", 0), ("a", 6): ("GAP", 2), ("b", 1): ("ACCEPTED", 0)}
+    marks = cb.moved(first, none)
+    assert {tuple(r) for r in marks.collect()} == {("a", 30, 4.0), ("b", 5, 9.0)}
+    later = spark.createDataFrame([("a", 7, 30, 4.0), ("a", 8, 30, 5.0), ("a", 9, 25, 1.0), ("a", 10, 35, 1.0), ("c", 1, 5, 1.0)], kind)
+    events = [r["event"] for r in cb.accept(later, marks, 5).orderBy("symbol", "seq").collect()]
+    assert events == ["DUPLICATE", "CONFLICT", "OUT_OF_ORDER", "ACCEPTED", "ACCEPTED"]
+
+
+def test_interpolation_is_flat_beyond_its_ends(spark):
+    from barloom.operators import calibrate
+
+    rows = spark.createDataFrame([(-1.0,), (0.0,), (0.25,), (1.0,), (3.0,), (float("nan"),), (None,)], "p double")
+    got = [r[0] for r in rows.select(calibrate.interpolate(rows.p, [(0.0, 1.0), (0.5, 3.0), (1.0, 3.5)])).collect()]
+    assert got == [1.0, 1.0, 2.0, 3.5, 3.5, None, None]
+    for points in ([], [(0.0, 1.0), (0.0, 2.0)], [(0.0, float("nan"))]):
+        with pytest.raises(ValueError):
+            calibrate.interpolate(rows.p, points)
+
+
+def test_auc_matches_pairs(spark):
+    import random
+
+    from barloom.operators import reports
+
+    rng = random.Random(3)
+    rows = [(round(rng.random(), 2), int(rng.random() < 0.4)) for _ in range(200)]
+    got = reports.auc(spark.createDataFrame(rows, "p double, y int"), parts=7).first()[0]
+    up, down = [p for p, y in rows if y], [p for p, y in rows if not y]
+    want = sum((a > b) + (a == b) / 2 for a in up for b in down) / (len(up) * len(down))
+    assert abs(got - want) < 1e-12
+
+
+def test_files_that_are_refused(spark, tmp_path):
+    from barloom.sources import stores
+
+    rows = spark.createDataFrame([("C1", "IN0000000017"), ("C1", "bad")], "symbol string, isin string")
+    assert tuple(readers.check_roster(rows, 2).first()) == (2, 0, 1, 1, 0, False)
+    assert stores.write_once(rows, str(tmp_path / "x")) and not stores.write_once(rows, str(tmp_path / "x"))
+    eod = spark.createDataFrame([("2024-01-01", "A", "I", "EQ", 1.0, 1.0, 1.0, 5.0), ("2024-01-01", "B", "J", "BE", 1.0, 1.0, 1.0, 5.0)], "day string, symbol string, isin string, series string, high double, low double, close double, volume double")
+    assert [r["symbol"] for r in readers.parse_eod(readers.pack_eod(eod)).collect()] == ["A"]
+
+
+def test_exact_charges_of_one_round_trip(spark):
+    from barloom.operators import ledger
+
+    day = "2025-05-05"
+    trades = spark.createDataFrame([(day, "b", "S", True, 100.0, 500.0), (day, "s", "S", False, 100.0, 510.0)], "day string, order_id string, security string, buy boolean, quantity double, price double")
+    got = ledger.charges(trades).first()
+    brokerage, turnover = 15.0 + 15.3, 101_000.0
+    assert abs(got["brokerage"] - brokerage) < 1e-9 and got["tax"] == 13.0 and got["flat"]
+    total = got["brokerage"] + got["exchange"] + got["fund"] + got["regulator"] + got["service"] + got["stamp"] + got["tax"]
+    one = spark.range(1).select(ledger.round_trip_fees(*[ledger.F.lit(x) for x in (100.0, 500.0, 510.0)], ledger.F.lit(day))).first()[0]
+    assert abs(total - one) < 1e-9 and abs(got["exchange"] - turnover * 297e-7) < 1e-9
 
 
 def test_ridge_is_the_closed_form(spark):
