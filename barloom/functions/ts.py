@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
+#: Bars of one piece of a series where windows run over pieces.
+CHUNK = 8_760
 
 
 def over(*keys: str, by: str = "open_time") -> WindowSpec:
@@ -13,6 +15,23 @@ def over(*keys: str, by: str = "open_time") -> WindowSpec:
     return Window.partitionBy(*(keys or ("symbol",))).orderBy(by)
 
 
+def chunked(rows: DataFrame, step: int, lookback: int, *stages: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
+    """``rows`` with the columns of each stage, whose windows run over pieces of ``chunk`` bars of a series, not over it whole.
+
+    A piece begins with the last ``lookback`` bars' time of the one before, so every value that is known only on a full,
+    contiguous frame of at most ``lookback`` bars comes out as it would over the whole series, and a long series is spread over
+    as many tasks as it has pieces. Windows keep to the default keys: ``symbol`` stands for symbol and piece inside.
+    """
+    size, halo = max(chunk, lookback) * step, lookback * step
+    at = F.pmod("open_time", F.lit(size))
+    own = F.expr(f"(open_time - pmod(open_time, {size})) div {size}")
+    pieces = F.when(at >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))
+    cut = rows.withColumn("_own", own).withColumn("_piece", F.explode(pieces)).withColumn("symbol", F.struct("symbol", "_piece"))
+    for columns in stages:
+        cut = cut.withColumns(columns)
+    return cut.where("_own = _piece").withColumn("symbol", F.col("symbol.symbol")).drop("_own", "_piece")
+
+
 def last_n(n: int, w: WindowSpec | None = None) -> WindowSpec:
     _window(n)
     return (w or over()).rowsBetween(-(n - 1), 0)

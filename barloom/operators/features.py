@@ -92,15 +92,19 @@ def longest() -> int:
     return max(f.lookback + f.warmup for f in REGISTRY.values())
 
 
-def build(bars: DataFrame, step: int, wanted: list[str] | None = None) -> DataFrame:
-    """(symbol, open_time, one column a feature; NULL where unknown). All windows share one exchange and one sort."""
-    wanted = wanted or names()
-    rows = bars.withColumns({"_return": ts.log_return(F.col("close"), 1, step), "_taker": activity()["taker_ratio"]})
-    columns = []
-    for name in wanted:
-        f = REGISTRY[name]
+def build(bars: DataFrame, step: int, wanted: list[str] | None = None, chunk: int = ts.CHUNK) -> DataFrame:
+    """(symbol, open_time, one column a feature; NULL where unknown). All windows share one exchange and one sort, over pieces
+    of ``chunk`` bars; a feature that counts its warm-up from the first bar needs whole series."""
+    chosen = [REGISTRY[name] for name in wanted or names()]
+    before = {"_return": ts.log_return(F.col("close"), 1, step), "_taker": activity()["taker_ratio"]}
+    columns = {}
+    for f in chosen:
         value = ts.finite(f.make(step).cast("double"))
-        columns.append((ts.warm(value, f.warmup) if f.warmup else value).alias(name))
+        columns[f.name] = ts.warm(value, f.warmup) if f.warmup else value
+    if any(f.warmup for f in chosen):
+        rows = bars.withColumns(before).withColumns(columns)
+    else:
+        rows = ts.chunked(bars, step, max(f.lookback for f in chosen) + 1, before, columns, chunk=chunk)
     return rows.select("symbol", "open_time", *columns)
 
 

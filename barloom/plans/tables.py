@@ -299,10 +299,29 @@ def replay(spark, sf_dir):
     return rows.select("user_id", "event_id", r("quantity", "quantity"), (F.round("cash", 4) + 0.0).alias("cash"), r("fees", "fees"))
 
 
-@query("O-01", None)
+@query(
+    "O-01",
+    sql(
+        """SELECT account, round(q, 6) + 0.0 AS quantity, round(a, 4) + 0.0 AS average, round(g, 3) + 0.0 AS realised, round(fees, 5) + 0.0 AS fees FROM
+        (SELECT *, row_number() OVER (PARTITION BY account ORDER BY rn DESC) AS back FROM z) JOIN (SELECT user_id AS account, sum(abs(signed * price)) * 0.001 AS fees FROM f GROUP BY ALL) USING (account) WHERE back = 1""",
+        f=_FILLS,
+        n="SELECT user_id AS account, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn, signed AS s, price AS p FROM f",
+    ).replace("WITH ticks", "WITH RECURSIVE ticks", 1).replace(
+        "SELECT account, round(q, 6)",
+        """, z AS (SELECT account, rn, s AS q, p AS a, 0.0::DOUBLE AS g FROM n WHERE rn = 1
+          UNION ALL SELECT n.account, n.rn, q + s,
+            CASE WHEN q = 0 OR sign(q) = sign(s) THEN (a * abs(q) + p * abs(s)) / (abs(q) + abs(s)) WHEN q + s = 0 THEN 0 WHEN sign(q + s) = sign(q) THEN a ELSE p END,
+            g + CASE WHEN q = 0 OR sign(q) = sign(s) THEN 0 ELSE least(abs(s), abs(q)) * (p - a) * sign(q) END
+          FROM z JOIN n ON n.account = z.account AND n.rn = z.rn + 1)
+        SELECT account, round(q, 6)""",
+        1,
+    ),
+)
 def average_cost(spark, sf_dir):
     """Final quantity, average cost, realised P&L and fees of each account by an exact decimal fold."""
-    return ledger.book(_fills(spark, sf_dir), "user_id", 10.0)
+    out = ledger.book(_fills(spark, sf_dir), "user_id", 10.0)
+    places = (("quantity", 6), ("average", 4), ("realised", 3), ("fees", 5))
+    return out.select("account", *[(F.round(c, n) + 0.0).alias(c) for c, n in places])
 
 
 @query("A-24", "SELECT l_orderkey, l_linenumber, l_partkey, round(least(c, 20) - least(c - f, 20), 6) + 0.0 AS brokerage FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * 0.0003 AS f, sum(l_extendedprice * 0.0003) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_shipdate, l_tax ROWS UNBOUNDED PRECEDING) AS c FROM lineitem)")

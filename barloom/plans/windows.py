@@ -24,9 +24,11 @@ def _feature(name: str, make, oracle_value: str, least: int, source: str = "h",
 
     @query(name, oracle)
     def run(spark, sf_dir):
-        return bars(spark, sf_dir, step).select("symbol", "open_time", r(make(), "value"))
-
-
+        rows = bars(spark, sf_dir, step)
+        if least <= 1:
+            return rows.select("symbol", "open_time", r(make(), "value"))
+        # pieces of ten days: each series is cut into several here too
+        return ts.chunked(rows, step, least, {"value": make()}, chunk=240).select("symbol", "open_time", r("value", "value"))
 
 
 def close():

@@ -298,3 +298,16 @@ def test_entry_works_without_the_optional_package(monkeypatch):
     names = entry.queries()
     assert "G-08" in names and "pipeline" not in names and not any(n.startswith("op") for n in names)
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_windows_over_pieces_equal_windows_over_whole_series(spark):
+    """A long series is spread over several tasks, with gaps at and around the edges of pieces, and no value changes."""
+    b = bars(spark, 900, skip=(49, 50, 99, 133, 300, 301, 450))
+    names = ["return_1", "return_24", "distance_48", "volatility_24", "parkinson_24", "volume_z_168", "hour_sin"]
+    whole = {tuple(r)[:2]: tuple(r)[2:] for r in features.build(b, H, names, chunk=10_000).collect()}
+    pieces = features.build(b, H, names, chunk=169)
+    cut = {tuple(r)[:2]: tuple(r)[2:] for r in pieces.collect()}
+    assert set(whole) == set(cut) and len(cut) == b.count()
+    for key, values in whole.items():
+        assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(values, cut[key], strict=True)), key
+    assert sum(v[1] is not None for v in cut.values()) > 300
