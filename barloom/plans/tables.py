@@ -302,7 +302,7 @@ def replay(spark, sf_dir):
 @query(
     "O-01",
     sql(
-        """SELECT account, round(q, 6) + 0.0 AS quantity, round(a, 4) + 0.0 AS average, round(g, 3) + 0.0 AS realised, round(fees, 5) + 0.0 AS fees FROM
+        """SELECT account, round(q, 6) + 0.0 AS quantity, round(a, 6) + 0.0 AS average, round(g, 3) + 0.0 AS realised, round(fees, 5) + 0.0 AS fees FROM
         (SELECT *, row_number() OVER (PARTITION BY account ORDER BY rn DESC) AS back FROM z) JOIN (SELECT user_id AS account, sum(abs(signed * price)) * 0.001 AS fees FROM f GROUP BY ALL) USING (account) WHERE back = 1""",
         f=_FILLS,
         n="SELECT user_id AS account, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn, signed AS s, price AS p FROM f",
@@ -320,7 +320,7 @@ def replay(spark, sf_dir):
 def average_cost(spark, sf_dir):
     """Final quantity, average cost, realised P&L and fees of each account by an exact decimal fold."""
     out = ledger.book(_fills(spark, sf_dir), "user_id", 10.0)
-    places = (("quantity", 6), ("average", 4), ("realised", 3), ("fees", 5))
+    places = (("quantity", 6), ("average", 6), ("realised", 3), ("fees", 5))
     return out.select("account", *[(F.round(c, n) + 0.0).alias(c) for c, n in places])
 
 
