@@ -162,3 +162,16 @@ def garman_klass(n: int, step: int | None = None, w: WindowSpec | None = None) -
 def warm(x: Column, bars: int, w: WindowSpec | None = None) -> Column:
     """Unknown in the first ``bars`` rows of the supplied history."""
     return F.when(F.row_number().over(w or over()) > bars, x)
+
+
+#: The least whole number that each helper takes as its window or lag.
+LEAST = {"lag": 0, "contiguous": 1, "mean": 1, "rank": 1, "std": 2, "zscore": 2}
+
+
+def argument_fault(name: Column, n: Column, low: Column, high: Column) -> Column:
+    """Why a helper call held as data can't be made, by the rules that the helpers apply to their arguments; NULL if it can."""
+    least = F.lit(None).cast("double")
+    for helper, smallest in LEAST.items():
+        least = F.when(name == helper, F.lit(float(smallest))).otherwise(least)
+    window = F.when(n.isNull() | (n != F.floor(n)), "no whole number").when(n < least, "window too small")
+    return F.when(name == "clip", F.when(~F.coalesce(low <= high, F.lit(False)), "bounds out of order")).when(least.isNull(), "unknown helper").otherwise(window)

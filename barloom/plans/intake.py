@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.functions import clock
+from barloom.functions import clock, ts
 from barloom.operators import build, features, joins, labels, quality, registry
 from barloom.plans.base import DAY, HOUR, bars, query, r, sql, table
 from barloom.schema import KLINE
@@ -337,3 +337,16 @@ def feature_list(spark, sf_dir):
     each = F.array(*[F.struct(F.lit(x.name).alias("name"), F.lit(x.warmup).cast("long").alias("warmup")) for x in features.listed()])
     sizes = bars(spark, sf_dir, HOUR).groupBy("symbol").agg(F.count("*").alias("n")).select("symbol", "n", F.explode(each).alias("f"))
     return sizes.select("symbol", "f.name", "f.warmup", F.greatest(F.col("n") - F.col("f.warmup"), F.lit(0)).alias("usable"))
+
+
+@query(
+    "X-04",
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber WHEN 3 THEN CASE WHEN NOT l_discount <= l_tax THEN 'bounds out of order' END WHEN 7 THEN 'unknown helper'
+      ELSE CASE WHEN l_partkey % 10 = 0 THEN 'no whole number' WHEN l_quantity - 3 < CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 2 ELSE 1 END THEN 'window too small' END END AS fault FROM lineitem""",
+)
+def argument_rules(spark, sf_dir):
+    """Calls of the helpers as data, judged by the helpers' own rules."""
+    names = F.array(*[F.lit(x) for x in ("lag", "mean", "clip", "std", "zscore", "rank", "median")])
+    rows = table(spark, sf_dir, "lineitem").withColumn("name", F.coalesce(F.get(names, F.col("l_linenumber") - 1), F.lit("none")))
+    n = F.col("l_quantity") - 3 + F.when(F.col("l_partkey") % 10 == 0, 0.5).otherwise(0.0)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", ts.argument_fault(F.col("name"), n, F.col("l_discount"), F.col("l_tax")).alias("fault"))

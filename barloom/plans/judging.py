@@ -290,7 +290,11 @@ def constraints(spark, sf_dir):
     return quality.broken_constraints(rows, rules, {"part exists": (parts, "l_partkey")})
 
 
-@query("A-37", None)
+@query(
+    "A-37",
+    """WITH l AS (SELECT url || '  ' || sha256(html) AS line FROM pages WHERE url IS NOT NULL AND html IS NOT NULL), g AS (SELECT ('0x' || substr(sha256(line), 1, 8))::BIGINT % 4096 AS g, sha256(string_agg(line, chr(10) ORDER BY line)) AS sha FROM l GROUP BY 1)
+    SELECT sha256(string_agg(sha, chr(10) ORDER BY g)) AS id FROM g""",
+)
 def snapshot_id(spark, sf_dir):
     """One id of a snapshot of all pages, from groups of its manifest's lines."""
     return quality.content_id(table(spark, sf_dir, "pages"), F.concat(F.col("url"), F.lit("  "), F.sha2("html", 256)))
