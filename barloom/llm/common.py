@@ -191,21 +191,27 @@ def pack_blocks(held: dict, settled: list, buckets: int) -> Iterator[pa.RecordBa
 
 
 def unpack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """From rows sorted by bucket: (settled spans or None, [(docs, starts, counts, bytes) of a whole bucket])."""
+    """From rows sorted by bucket: (settled spans or None, [(docs, starts, counts, bytes) of a whole bucket]), one bucket
+    expanded at a time."""
     import zstandard
 
     expand = zstandard.ZstdDecompressor().decompress
+
+    def arrays(row: dict) -> list[np.ndarray]:
+        return [np.frombuffer(expand(row[c]), t) for c, t in (("docs", np.int64), ("starts", np.int32), ("counts", np.int32))]
+
+    def join(parts: list) -> list[np.ndarray]:
+        return [np.concatenate([x[i] for x in parts]) for i in range(3)]
+
     for group in sorted_groups(batches, "bucket"):
-        held: dict[int, list] = {}
-        settled = []
-        for row in group.to_pylist():
-            parts = [np.frombuffer(expand(row[c]), t) for c, t in (("docs", np.int64), ("starts", np.int32), ("counts", np.int32))]
-            if row["packed"] is None:
-                settled.append(parts)
-            else:
-                held.setdefault(row["bucket"], []).append((*parts, expand(row["packed"])))
-        join = lambda rows: [np.concatenate([x[i] for x in rows]) for i in range(3)]
-        yield join(settled) if settled else None, [(*join(x), b"".join(y[3] for y in x)) for x in held.values()]
+        bucket = group.column("bucket").to_numpy()
+        for at in np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket)) + 1):
+            rows = group.slice(int(at[0]), len(at)).to_pylist()
+            settled = [arrays(row) for row in rows if row["packed"] is None]
+            held = [(arrays(row), row["packed"]) for row in rows if row["packed"] is not None]
+            blocks = [(*join([x for x, _ in held]), b"".join([expand(packed) for _, packed in held]))] if held else []
+            del rows, held
+            yield join(settled) if settled else None, blocks
 
 
 def span_batch(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
