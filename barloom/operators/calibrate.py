@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import ts
+from barloom.operators import joins
 
 #: A map travels in the plan; one of more points is refused.
 MOST_POINTS = 1000
@@ -47,7 +48,7 @@ def edge_signal(rows: DataFrame, paid: DataFrame, points: list[tuple[float, floa
     The score is known where the last ``window`` rows are one step apart. Scaling never makes a trade out of an edge inside
     costs nor turns one round: there the signal is 0. It is available once the decision comes at or after ``ready``.
     """
-    rows = rows.join(F.broadcast(paid), "symbol")
+    rows = rows.join(joins.small(paid), "symbol")
     calibrated = interpolate(ts.finite(F.col("p")), points)
     rows = rows.withColumn("calibrated", calibrated).withColumn("gross", F.col("calibrated") * F.col("up") + (1 - F.col("calibrated")) * F.col("down"))
     rows = rows.withColumn("net", F.signum("gross") * F.greatest(F.abs("gross") - cost, F.lit(0.0)))

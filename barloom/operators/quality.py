@@ -108,10 +108,10 @@ def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     return off.select((F.col("different") == 0).alias("same"), "different")
 
 
-def order_free_digest(rows: DataFrame, *columns: str) -> DataFrame:
-    """A digest of a table that does not depend on row order and is combined before the exchange."""
+def order_free_digest(rows: DataFrame, *columns: str, also: list[Column] | None = None) -> DataFrame:
+    """A digest of a table that does not depend on row order and is combined before the exchange, with further aggregates."""
     h = F.xxhash64(*columns)
-    return rows.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1_000_003))).alias("s"))
+    return rows.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1_000_003))).alias("s"), *(also or []))
 
 
 def snapshot_changes(old: DataFrame, new: DataFrame) -> DataFrame:

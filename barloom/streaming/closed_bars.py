@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators import features
+from barloom.operators import features, joins
 
 MINUTE = 60_000_000
 
@@ -61,7 +61,7 @@ def accept(bars: DataFrame, marks: DataFrame, step: int) -> DataFrame:
     running maximum in order of arrival, so no row is folded one by one.
     """
     w = Window.partitionBy("symbol").orderBy("seq")
-    rows = bars.join(F.broadcast(marks), "symbol", "left")
+    rows = bars.join(joins.small(marks), "symbol", "left")
     seen = F.max("open_time").over(w.rowsBetween(Window.unboundedPreceding, -1))
     first = F.first("close").over(Window.partitionBy("symbol", "open_time").orderBy("seq"))
     rows = rows.withColumns({"_seen": F.greatest(seen, "mark"), "_first": F.when(F.col("open_time") == F.col("mark"), F.col("mark_close")).otherwise(first)})
@@ -130,7 +130,7 @@ def live_features(new: DataFrame, stored: DataFrame, step: int, names: list[str]
     features looks back on."""
     history = max(features.REGISTRY[n].lookback + features.REGISTRY[n].warmup for n in names)
     newest = new.groupBy("symbol").agg(F.min("open_time").alias("_from"))
-    recent = stored.join(F.broadcast(newest), "symbol").where((F.col("open_time") < F.col("_from")) & (F.col("open_time") >= F.col("_from") - history * step)).drop("_from")
+    recent = stored.join(joins.small(newest), "symbol").where((F.col("open_time") < F.col("_from")) & (F.col("open_time") >= F.col("_from") - history * step)).drop("_from")
     keys = new.select("symbol", "open_time")
     return features.build(recent.unionByName(new.select(*recent.columns)), step, names).join(keys, ["symbol", "open_time"], "left_semi")
 
