@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, decontaminate, fixity, langid, lines, neighbours, simhash, substrings, suffixes, urls
+from barloom.llm import bpe, collocations, decontaminate, fixity, langid, lines, neighbours, packing, simhash, substrings, suffixes, urls, whitening
 from barloom.llm.common import table
 
 QUERIES = {
@@ -16,8 +16,12 @@ QUERIES = {
     "op8_url_filter": lambda spark, sf: urls.page_verdicts(table(spark, sf, "pages")),
     "op9_decontamination": lambda spark, sf: decontaminate.document_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op10_language_id": lambda spark, sf: langid.document_languages(table(spark, sf, "documents")),
+    "op11_whitening": lambda spark, sf: whitening.whiten(table(spark, sf, "embeddings")),
+    "op12_collocations": lambda spark, sf: collocations.collocations(table(spark, sf, "documents")),
+    "op13_packing": lambda spark, sf: packing.pack(table(spark, sf, "documents")),
 }
 ORACLES = {
     "op7_warc_fixity": fixity.ORACLE,
     "op8_url_filter": urls.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
