@@ -9,7 +9,7 @@ it, and the one left over is cut at powers of two, so nothing is padded.
 
 Ids come from the ``tokenizers`` library without added tokens (text that spells one of the tokenizer's special tokens gives
 that token, as the library does by default), then one end id. The vocabulary lower-cases and drops white space, so texts are
-cut at spaces and line feeds, and ids of strings between them are kept in a bounded table.
+cut at spaces and line feeds, and ids of strings between them are kept in tables of bounded size.
 
 Defined results: null, empty and blank texts are one end id; texts of any length are tokenised whole; rows with a null or
 repeated doc_id are documents of their own, packed each (their pieces share that doc_id and differ in sequence or offset); of
@@ -36,7 +36,9 @@ GROUP_DOCS = 1024
 LEAST_GROUP = 64
 CHUNK_BYTES = 1 << 20
 SLICE_CHARS = 1 << 20
-MOST_KEPT = 300_000
+MOST_KEPT = 500_000
+#: Marks that are put apart behind a letter.
+ENDS = ".,;:!?"
 PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: ``row``: number of the document's row; ``sent``: where it goes; ``ids``: of a rest, null for a full sequence.
 SENT = "sent int, row long, ids binary, " + PIECES
@@ -49,34 +51,85 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids of texts, as little-endian unsigned 32-bit integers."""
+    """Token ids of texts, as little-endian unsigned 32-bit integers.
+
+    Strings between spaces keep their ids in two tables: when the newer one is full it becomes the older one, and what is met
+    again moves up, so frequent strings stay. Strings that are new are encoded together, set apart by one of the tokenizer's
+    special tokens, whose id shows where each one's ids end; one that holds that token's text is encoded by itself. As the
+    vocabulary lower-cases and splits letters from marks, one mark behind a letter is put apart and letters from A to Z are
+    made small first, so that fewer strings are new.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.kept, self.older = Tokenizer.from_file(path), {"": b""}, {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.mark, self.mark_id = next(((t.content, i) for i, t in sorted(added.items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), (None, None))
 
-    def slices(self, text: str) -> Iterator[str]:
+    def strings(self, text: str) -> Iterator[list[str]]:
+        """The strings of a text between spaces and line feeds, of about ``SLICE_CHARS`` characters at a time."""
         at = 0
         while at < len(text):
             to = text.find(" ", at + SLICE_CHARS)
             to = len(text) if to < 0 else to
-            yield text[at:to]
+            yield text[at:to].replace("\n", " ").split(" ")
             at = to
 
-    def encode(self, text: str | None) -> bytes:
-        out = []
-        for part in self.slices(text or ""):
-            strings = part.replace("\n", " ").split(" ")
-            new = [s for s in set(strings) if s not in self.kept]
-            if new:
-                if len(self.kept) > MOST_KEPT:
-                    self.kept = {"": b""}
-                    new = [s for s in set(strings) if s]
-                for s, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.kept[s] = np.asarray(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(self.kept.__getitem__, strings)))
-        return b"".join(out)
+    def learn(self, strings: set[str]) -> None:
+        """Put the ids of all these strings in the table."""
+        if len(self.kept) > MOST_KEPT:
+            self.kept, self.older = {"": b""}, self.kept
+        kept, older = self.kept, self.older
+        new, made = [], []
+        for s in strings.difference(kept):
+            if (ids := older.get(s)) is not None:
+                kept[s] = ids
+                continue
+            stem, end = (s[:-1], s[-1]) if s[-1] in ENDS and s[-2:-1].isalpha() else (s, "")
+            if stem.isascii() and stem.isalpha():
+                stem = stem.lower()
+            if stem != s:
+                made.append((s, stem, end))
+                for part in (stem, end):
+                    if part not in kept:
+                        if (ids := older.get(part)) is not None:
+                            kept[part] = ids
+                        else:
+                            new.append(part)
+            else:
+                new.append(s)
+        new = set(new)
+        apart = [s for s in new if self.mark is None or self.mark in s]
+        for s, e in zip(apart, self.tokenizer.encode_batch(apart, add_special_tokens=False), strict=True):
+            kept[s] = np.asarray(e.ids, "<u4").tobytes()
+        together = [s for s in new if s not in kept]
+        if together:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([self.mark.join(together)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
+            data, at = ids.tobytes(), 0
+            for s, to in zip(together, ends, strict=True):
+                kept[s] = data[4 * at : 4 * to]
+                at = to + 1
+        for s, stem, end in made:
+            kept[s] = kept[stem] + kept[end]
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text. Texts that fit in one slice learn their strings together."""
+        short = [next(self.strings(t), []) if t and len(t) <= SLICE_CHARS else None for t in texts]
+        self.learn(set().union(*(s for s in short if s is not None)))
+        for text, strings in zip(texts, short, strict=True):
+            if strings is not None:
+                yield b"".join(map(self.kept.__getitem__, strings))
+            else:
+                out = []
+                for part in self.strings(text or ""):
+                    known = set(part)
+                    self.learn(known)
+                    out.append(b"".join(map(self.kept.__getitem__, part)))
+                if out:
+                    self.learn(set().union(*(s for s in short if s is not None)))
+                yield b"".join(out)
 
 
 @cache
@@ -172,8 +225,8 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
         enc, row, full = encoder(path), TaskContext.get().partitionId() << 33, TaskContext.get().partitionId() << 33
         for batch in text_chunks(batches, "text", CHUNK_BYTES):
             of, out = [], []
-            for at, text in enumerate(batch.column("text")):
-                ids = enc.encode(text.as_py()) + end
+            for at, ids in enumerate(enc.encode(batch.column("text").to_pylist())):
+                ids += end
                 whole, tokens = len(ids) // (4 * length), len(ids) // 4
                 for k in range(whole):
                     crc = zlib.crc32(memoryview(ids)[4 * length * k : 4 * length * (k + 1)])

@@ -181,12 +181,14 @@ def test_packing_holds_every_id_once(spark):
     assert packing.pack(table.limit(0)).count() == 0
 
 
-def test_packing_in_slices_and_with_little_kept(spark, monkeypatch):
+def test_packing_in_slices_and_with_little_kept(monkeypatch):
     enc = packing.Encoder(packing.default_tokenizer())
-    text = " ".join(f"Word{i % 97}, ́　é" for i in range(3000))
-    monkeypatch.setattr(packing, "SLICE_CHARS", 100)
+    texts = [" ".join(f"Word{(i * k) % 97}, \u0301 <|startoftext|>x {i} é\n" for i in range(60 * k)) for k in range(1, 20)] + [None, "", "J\u030cx Σ", "<|endoftext|>"]
+    monkeypatch.setattr(packing, "SLICE_CHARS", 3000)
     monkeypatch.setattr(packing, "MOST_KEPT", 10)
-    assert enc.encode(text) == np.asarray(enc.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    for _ in range(2):
+        for text, ids in zip(texts, enc.encode(texts), strict=True):
+            assert ids == np.asarray(enc.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_first_fit_decreasing_takes_the_first_room():
