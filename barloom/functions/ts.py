@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -32,14 +34,78 @@ def chunked(rows: DataFrame, step: int, lookback: int, *stages: dict[str, Column
     return cut.where("_own = _piece").withColumn("symbol", F.col("symbol.symbol")).drop("_own", "_piece")
 
 
+def ranked(rows: DataFrame, value: str, n: int, step: int, name: str = "value", chunk: int = CHUNK) -> DataFrame:
+    """``rows`` with the trailing percentile rank of ``value`` (average ties) over ``n`` bars, for windows of any length.
+
+    Runs over pieces like ``chunked``. Within a piece, the values that all windows of a block of rows share are sorted once and
+    searched for each row; only what enters and leaves within the block is compared one by one. A piece needs memory for its
+    rows and the window before it, whatever ``n`` is. Unknown where the window is not full and contiguous.
+    """
+    _window(n)
+    kept = rows.select("symbol", "open_time", F.col(value).cast("double").alias("_x"))
+    size, halo = max(chunk, n) * step, n * step
+    at = F.pmod("open_time", F.lit(size))
+    own = F.expr(f"(open_time - pmod(open_time, {size})) div {size}")
+    cut = kept.withColumn("_own", own).withColumn("_piece", F.explode(F.when(at >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))))
+
+    def rank_piece(piece):
+        piece = piece.sort_values("open_time", kind="stable", ignore_index=True)
+        piece[name] = window_ranks(piece["_x"].to_numpy(), piece["open_time"].to_numpy(), n, step)
+        return piece.loc[piece["_own"] == piece["_piece"], ["symbol", "open_time", name]]
+
+    out = cut.groupBy("symbol", "_piece").applyInPandas(rank_piece, f"symbol {rows.schema['symbol'].dataType.simpleString()}, open_time long, {name} double")
+    return rows.join(out, ["symbol", "open_time"])
+
+
+def window_ranks(x, t, n: int, step: int, block: int = 256):
+    """Ranks of each value among the ``n`` up to it, in order of the times ``t``; NaN where the window isn't whole."""
+    import numpy as np
+
+    out = np.full(len(x), np.nan)
+    if len(x) < n:
+        return out
+    whole = np.zeros(len(x), bool)
+    whole[n - 1 :] = (t[n - 1 :] - t[: len(t) - n + 1] == (n - 1) * step) & (t[n - 1 :] % step == 0)
+    known = np.concatenate([[0], np.cumsum(~np.isnan(x))])
+    whole[n - 1 :] &= known[n:] - known[: len(x) - n + 1] == n
+    for first in range(n - 1, len(x), block):
+        rows = np.arange(first, min(first + block, len(x)))
+        rows = rows[whole[rows]]
+        if not len(rows):
+            continue
+        low, high = rows[-1] - n + 1, rows[0] + 1  # in the windows of all rows, if low < high
+        shared = np.sort(x[low:high])
+        mine = x[rows]
+        less, upto = np.searchsorted(shared, mine, "left"), np.searchsorted(shared, mine, "right")
+        edges = [np.arange(rows[0] - n + 1, min(low, rows[0] + 1)), np.arange(max(high, low), rows[-1] + 1)] if low < high else [np.arange(rows[0] - n + 1, rows[-1] + 1)]
+        if low >= high:
+            less, upto = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        near = np.concatenate(edges)
+        inside = (near >= rows[:, None] - n + 1) & (near <= rows[:, None])
+        less = less + (inside & (x[near] < mine[:, None])).sum(axis=1)
+        upto = upto + (inside & (x[near] <= mine[:, None])).sum(axis=1)
+        out[rows] = (less + (upto - less + 1) / 2) / n
+    return out
+
+
 def last_n(n: int, w: WindowSpec | None = None) -> WindowSpec:
     _window(n)
     return (w or over()).rowsBetween(-(n - 1), 0)
 
 
-def _window(n: int, least: int = 1) -> None:
-    if not isinstance(n, int) or isinstance(n, bool) or n < least:
-        raise ValueError(f"a window is a whole number of at least {least}, not {n!r}")
+#: The least whole number that each helper takes as its window or lag.
+LEAST = {"lag": 0, "contiguous": 1, "mean": 1, "rank": 1, "std": 2, "zscore": 2}
+
+
+def _window(n: int, helper: str = "contiguous") -> None:
+    """Refuse a window or lag that the rules of a helper don't allow."""
+    if not isinstance(n, int) or isinstance(n, bool) or n < LEAST[helper]:
+        raise ValueError(f"{helper} takes a whole number of bars, at least {LEAST[helper]}, not {n!r}")
+
+
+def _bounds(low, high):
+    """Whether bounds are in order: for numbers as for columns."""
+    return low <= high
 
 
 def finite(x: Column) -> Column:
@@ -61,7 +127,7 @@ def sign(x: Column) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    if low > high:
+    if not _bounds(low, high):
         raise ValueError("clip bounds are out of order")
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
 
@@ -102,29 +168,31 @@ def gated(value: Column, x: Column, n: int, step: int | None, w: WindowSpec | No
 
 
 def lag(x: Column, k: int, step: int | None = None, w: WindowSpec | None = None) -> Column:
-    if not isinstance(k, int) or k < 0:
-        raise ValueError("a lag is a whole number of bars, never negative")
+    _window(k, "lag")
     w = w or over()
     out = F.lag(x, k).over(w) if k else x
     return out if step is None else F.when(contiguous(k + 1, step, w), out)
 
 
 def mean(x: Column, n: int, step: int | None = None, w: WindowSpec | None = None) -> Column:
+    _window(n, "mean")
     return gated(F.avg(x).over(last_n(n, w)), x, n, step, w)
 
 
 def std(x: Column, n: int, step: int | None = None, w: WindowSpec | None = None) -> Column:
     """Sample deviation. Every frame is summed anew around its own mean, so a constant window gives exactly zero."""
-    _window(n, 2)
+    _window(n, "std")
     return gated(F.stddev_samp(x).over(last_n(n, w)), x, n, step, w)
 
 
 def zscore(x: Column, n: int, step: int | None = None, w: WindowSpec | None = None) -> Column:
+    _window(n, "zscore")
     return ratio(x - mean(x, n, step, w), F.nullif(std(x, n, step, w), F.lit(0.0)))
 
 
 def rank(x: Column, n: int, step: int | None = None, w: WindowSpec | None = None) -> Column:
-    """Trailing percentile rank with average ties. The frame is collected per row: for windows of hundreds, not more."""
+    """Trailing percentile rank with average ties. The frame is collected per row: for short windows; ``ranked`` takes any."""
+    _window(n, "rank")
     values = F.collect_list(x).over(last_n(n, w))
     less = F.size(F.filter(values, lambda v: v < x))
     same = F.size(F.filter(values, lambda v: v == x))
@@ -143,19 +211,23 @@ def forward_return(close: Column, h: int, step: int, w: WindowSpec | None = None
     return F.when(F.lead(t, h).over(w) - t == h * step, ratio(F.lead(close, h).over(w), close) - 1)
 
 
-def parkinson(n: int, step: int | None = None, w: WindowSpec | None = None) -> Column:
-    x = F.when((F.col("high") > 0) & (F.col("low") > 0), F.pow(F.ln(ratio(F.col("high"), F.col("low"))), 2))
-    import math
+def log_range() -> Column:
+    """The squared log range of a bar, whose mean Parkinson's volatility takes; unknown for prices not above zero."""
+    return F.when((F.col("high") > 0) & (F.col("low") > 0), F.pow(F.ln(ratio(F.col("high"), F.col("low"))), 2))
 
-    return F.sqrt(mean(x, n, step, w) / (4 * math.log(2)))
 
+def log_spread() -> Column:
+    """What Garman and Klass's volatility takes the mean of; unknown for prices not above zero."""
+    positive = (F.col("open") > 0) & (F.col("high") > 0) & (F.col("low") > 0) & (F.col("close") > 0)
+    return F.when(positive, 0.5 * F.pow(F.ln(ratio(F.col("high"), F.col("low"))), 2) - (2 * math.log(2) - 1) * F.pow(F.ln(ratio(F.col("close"), F.col("open"))), 2))
 
-def garman_klass(n: int, step: int | None = None, w: WindowSpec | None = None) -> Column:
-    import math
 
-    positive = (F.col("open") > 0) & (F.col("high") > 0) & (F.col("low") > 0) & (F.col("close") > 0)
-    x = F.when(positive, 0.5 * F.pow(F.ln(ratio(F.col("high"), F.col("low"))), 2) - (2 * math.log(2) - 1) * F.pow(F.ln(ratio(F.col("close"), F.col("open"))), 2))
-    m = mean(x, n, step, w)
+def parkinson(n: int, step: int | None = None, w: WindowSpec | None = None) -> Column:
+    return F.sqrt(mean(log_range(), n, step, w) / (4 * math.log(2)))
+
+
+def garman_klass(n: int, step: int | None = None, w: WindowSpec | None = None) -> Column:
+    m = mean(log_spread(), n, step, w)
     return F.when(m >= 0, F.sqrt(m))
 
 
@@ -164,14 +236,10 @@ def warm(x: Column, bars: int, w: WindowSpec | None = None) -> Column:
     return F.when(F.row_number().over(w or over()) > bars, x)
 
 
-#: The least whole number that each helper takes as its window or lag.
-LEAST = {"lag": 0, "contiguous": 1, "mean": 1, "rank": 1, "std": 2, "zscore": 2}
-
-
 def argument_fault(name: Column, n: Column, low: Column, high: Column) -> Column:
     """Why a helper call held as data can't be made, by the rules that the helpers apply to their arguments; NULL if it can."""
     least = F.lit(None).cast("double")
     for helper, smallest in LEAST.items():
         least = F.when(name == helper, F.lit(float(smallest))).otherwise(least)
     window = F.when(n.isNull() | (n != F.floor(n)), "no whole number").when(n < least, "window too small")
-    return F.when(name == "clip", F.when(~F.coalesce(low <= high, F.lit(False)), "bounds out of order")).when(least.isNull(), "unknown helper").otherwise(window)
+    return F.when(name == "clip", F.when(~F.coalesce(_bounds(low, high), F.lit(False)), "bounds out of order")).when(least.isNull(), "unknown helper").otherwise(window)

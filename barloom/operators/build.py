@@ -26,7 +26,7 @@ def build(rows: DataFrame, step: int, root: str) -> DataFrame:
     ``rows`` has the bar columns, symbol, file and line. Bad and off-grid bars stay in the store and are reported; rows with
     a refused clock are counted and left out. Gaps are measured between rows on the grid.
     """
-    clean = normalise(rows)
+    clean = stores.settle(normalise(rows))  # files are parsed once
     dated = clean.where(F.col("open_time").isNotNull())
     kept = tidy(dated).drop("file", "line")
     stores.write_bars(kept, f"{root}/bars")

@@ -15,16 +15,20 @@ from barloom.functions.ts import DAY, HOUR
 
 @dataclass(frozen=True)
 class Feature:
+    """``make`` gives the column for a bar step; ``frames`` names the frames (column, bars) whose count, mean and deviation it
+    reads as ``_n_``, ``_m_`` and ``_s_`` columns (``frame``), and which are worked out once for all features that ask."""
+
     name: str
     lookback: int
     make: Callable[[int], Column]
     warmup: int = 0
+    frames: tuple[tuple[str, int], ...] = ()
 
 
 REGISTRY: dict[str, Feature] = {}
 
 
-def feature(name: str, lookback: int, warmup: int = 0):
+def feature(name: str, lookback: int, warmup: int = 0, frames: tuple[tuple[str, int], ...] = ()):
     """Register a function of the bar step that gives a Column; ``lookback`` bars must be present and contiguous."""
     if lookback < 1 or warmup < 0:
         raise ValueError("lookback is at least 1 and warmup never negative")
@@ -32,7 +36,7 @@ def feature(name: str, lookback: int, warmup: int = 0):
     def add(make: Callable[[int], Column]):
         if name in REGISTRY:
             raise ValueError(f"feature {name} exists")
-        REGISTRY[name] = Feature(name, lookback, make, warmup)
+        REGISTRY[name] = Feature(name, lookback, make, warmup, frames)
         return make
 
     return add
@@ -58,17 +62,60 @@ def shape(step: int) -> dict[str, Column]:
     return {"body": ts.ratio(c - o, o), "span": ts.ratio(h - low, o), "location": ts.ratio(c - low, h - low), "slot": F.floor(F.pmod("open_time", F.lit(DAY)) / step).cast("long")}
 
 
+#: Inputs of frames that are no columns of a bar, each a function of the bar step.
+INPUTS: dict[str, Callable[[int], Column]] = {
+    "_return": lambda step: ts.log_return(F.col("close"), 1, step),
+    "_taker": lambda step: activity()["taker_ratio"],
+    "_range": lambda step: ts.log_range(),
+    "_spread": lambda step: ts.log_spread(),
+}
+
+
+def frame(column: str, n: int) -> tuple[Column, Column, Column]:
+    """Whether the last n values of a column are all known, their mean and their deviation, once ``framed`` has made them."""
+    return F.col(f"_n_{column}_{n}") == n, F.col(f"_m_{column}_{n}"), F.col(f"_s_{column}_{n}")
+
+
+def framed(chosen: list[Feature]) -> dict[str, Column]:
+    """Columns of all frames that features ask for, one each, and when the first bar of each length of frame was."""
+    out: dict[str, Column] = {}
+    for column, n in sorted({f for x in chosen for f in x.frames}):
+        x, w = F.col(column), ts.last_n(n)
+        out |= {f"_n_{column}_{n}": F.count(x).over(w), f"_m_{column}_{n}": F.avg(x).over(w), f"_s_{column}_{n}": F.stddev_samp(x).over(w), f"_t_{n}": F.lag("open_time", n - 1).over(ts.over())}
+    return out
+
+
+def spaced(n: int, step: int) -> Column:
+    """Whether the last n bars are on the grid and one step apart."""
+    return F.coalesce((F.col("open_time") - F.col(f"_t_{n}") == (n - 1) * step) & (F.col("open_time") % step == 0), F.lit(False))
+
+
+def mean_of(column: str, n: int, step: int | None) -> Column:
+    full, mean, _ = frame(column, n)
+    return F.when(full if step is None else full & spaced(n, step), mean)
+
+
+def _zscore(column: str, n: int, step: int) -> Column:
+    full, mean, deviation = frame(column, n)
+    return F.when(full & spaced(n, step), ts.ratio(F.col(column) - mean, F.nullif(deviation, F.lit(0.0))))
+
+
+def _deviation(column: str, n: int) -> Column:
+    full, _, deviation = frame(column, n)
+    return F.when(full, deviation)
+
+
 def _register() -> None:
     for n in (1, 6, 24):
         feature(f"return_{n}", n + 1)(lambda step, n=n: ts.log_return(F.col("close"), n, step))
     for n in (12, 48, 168):
-        feature(f"distance_{n}", n)(lambda step, n=n: ts.ratio(F.col("close"), ts.mean(F.col("close"), n, step)) - 1)
+        feature(f"distance_{n}", n, frames=(("close", n),))(lambda step, n=n: ts.ratio(F.col("close"), mean_of("close", n, step)) - 1)
     for n in (24, 168):
-        feature(f"volatility_{n}", n + 1)(lambda step, n=n: ts.std(F.col("_return"), n))
-    feature("parkinson_24", 24)(lambda step: ts.parkinson(24, step))
-    feature("garman_klass_24", 24)(lambda step: ts.garman_klass(24, step))
+        feature(f"volatility_{n}", n + 1, frames=(("_return", n),))(lambda step, n=n: _deviation("_return", n))
+    feature("parkinson_24", 24, frames=(("_range", 24),))(lambda step: F.sqrt(mean_of("_range", 24, step) / (4 * math.log(2))))
+    feature("garman_klass_24", 24, frames=(("_spread", 24),))(lambda step: F.sqrt(F.when(mean_of("_spread", 24, step) >= 0, mean_of("_spread", 24, step))))
     for name, column in (("volume", "volume"), ("dollar", "quote_volume"), ("taker", "_taker"), ("trades", "trades")):
-        feature(f"{name}_z_168", 168)(lambda step, column=column: ts.zscore(F.col(column), 168, step))
+        feature(f"{name}_z_168", 168, frames=((column, 168),))(lambda step, column=column: _zscore(column, 168, step))
     for name in ("dollar_volume", "taker_ratio", "trade_size"):
         feature(name, 1)(lambda step, name=name: activity()[name])
     for name in ("hour_sin", "hour_cos", "day_sin", "day_cos"):
@@ -96,18 +143,32 @@ def build(bars: DataFrame, step: int, wanted: list[str] | None = None, chunk: in
     """(symbol, open_time, one column a feature; NULL where unknown). All windows share one exchange and one sort, over pieces
     of ``chunk`` bars; a feature that counts its warm-up from the first bar needs whole series."""
     chosen = [REGISTRY[name] for name in wanted or names()]
-    before = {"_return": ts.log_return(F.col("close"), 1, step), "_taker": activity()["taker_ratio"]}
+    used = {column for f in chosen for column, _ in f.frames}
+    before = {name: make(step) for name, make in INPUTS.items() if name in used}
     columns = {}
     for f in chosen:
         value = ts.finite(f.make(step).cast("double"))
         columns[f.name] = ts.warm(value, f.warmup) if f.warmup else value
+    stages = (before, framed(chosen), columns)
     if any(f.warmup for f in chosen):
-        rows = bars.withColumns(before).withColumns(columns)
+        rows = bars
+        for stage in stages:
+            rows = rows.withColumns(stage)
     else:
-        rows = ts.chunked(bars, step, max(f.lookback for f in chosen) + 1, before, columns, chunk=chunk)
+        rows = ts.chunked(bars, step, max(f.lookback for f in chosen) + 1, *stages, chunk=chunk)
     return rows.select("symbol", "open_time", *columns)
 
 
+def causality(bars: DataFrame, step: int, at: int, wanted: list[str] | None = None) -> DataFrame:
+    """(name, n, different): of every feature, how many bars before ``at`` there are and at how many its value on them alone
+    is not its value on all bars."""
+    whole, cut = build(bars, step, wanted).where(F.col("open_time") < at), build(bars.where(F.col("open_time") < at), step, wanted)
+    columns = [c for c in whole.columns if c not in ("symbol", "open_time")]
+    both = whole.join(cut.select("symbol", "open_time", *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_cut")), ["symbol", "open_time"], "full_outer")
+    counts = both.agg(F.count("*").alias("n"), *[F.count_if(F.col("_cut").isNull() | ~F.col(c).eqNullSafe(F.col(f"_{c}"))).alias(c) for c in columns])
+    return counts.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("different")) for c in columns])).alias("x")).select("x.name", "n", "x.different")
+
+
 def with_masks(frame: DataFrame) -> DataFrame:
     """Feature columns with an ``available__`` flag each, as stored."""
     keys = [c for c in frame.columns if c not in ("symbol", "open_time")]

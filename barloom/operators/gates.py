@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.ts import finite, over, ratio
+from barloom.operators import joins
+from barloom.sources import stores
 
 #: The thresholds of the six selection gates. All comparisons are strict.
 LIMITS = {"sharpe": 1.0, "fitness": 1.0, "turnover": (0.01, 0.70), "positive": 0.5, "stress": 0.0}
@@ -18,9 +20,59 @@ CONFIG = "gates_v1"
 
 def terciles(rows: DataFrame, value: str, before: int) -> DataFrame:
     """(symbol, q1, q2): linear quantiles 1/3 and 2/3 of known values before a time; NULL below three distinct values."""
-    q = F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    out = rows.where(F.col(value).isNotNull() & (F.col("open_time") < before)).groupBy("symbol").agg(q.alias("q"), F.count_distinct(value).alias("k"))
-    return out.select("symbol", F.when(F.col("k") >= 3, F.col("q")[0]).alias("q1"), F.when(F.col("k") >= 3, F.col("q")[1]).alias("q2"))
+    known = rows.where(F.col(value).isNotNull() & (F.col("open_time") < before)).select("symbol", F.col(value).cast("double").alias("v"))
+    found = quantiles(known, "symbol", "v", {"q1": (1, 3), "q2": (2, 3)})
+    enough = F.col("distinct") >= 3
+    return found.select("symbol", *[F.when(enough, F.col(q)).alias(q) for q in ("q1", "q2")])
+
+
+#: Parts that a range is cut into in each round of the search for a rank.
+PARTS = 512
+
+
+def quantiles(rows: DataFrame, key: str, value: str, wanted: dict[str, tuple[int, int]], most_rounds: int = 400) -> DataFrame:
+    """(key, distinct, one column a quantile): exact linear quantiles, each asked for as a fraction of whole numbers.
+
+    No task holds a key's values. A rank is looked for in a range: its values are counted in ``PARTS`` equal parts, and the
+    part that holds the rank, narrowed to its least and largest value, is the next range, until those are the same. All ranks
+    of all keys go on together, and a round's counts are combined before they are exchanged. ``distinct`` counts to three.
+    """
+    rows = stores.settle(rows.select(F.col(key).alias("key"), F.col(value).alias("v")))
+    ends = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    ends = stores.settle(ends)
+    between = rows.join(ends, rows["key"].eqNullSafe(ends["key"])).groupBy(ends["key"]).agg(F.max((F.col("v") > F.col("low")) & (F.col("v") < F.col("high"))).alias("more"))
+    ends = stores.settle(ends.join(between.withColumnRenamed("key", "_key"), F.col("key").eqNullSafe(F.col("_key"))).drop("_key"))
+    asked = []
+    for name, (a, b) in wanted.items():  # the values on both sides of the wanted place, counted from 0
+        below = F.expr(f"(n - 1) * {a} div {b}")
+        asked += [F.struct(F.lit(name).alias("name"), side.alias("rank")) for side in (below, F.least(below + 1, F.col("n") - 1))]
+    targets = ends.select("key", "low", "high", F.explode(F.array_distinct(F.array(*[x["rank"] for x in asked]))).alias("rank")).withColumn("skip", F.col("rank"))
+    done = None
+    for _ in range(most_rounds):
+        targets = stores.settle(targets)
+        over = targets.where("low = high").select("key", "rank", F.col("low").alias("found"))
+        done = over if done is None else done.unionByName(over)
+        targets = targets.where("low < high")
+        if targets.isEmpty():
+            break
+        held = rows.join(joins.small(targets.withColumnRenamed("key", "_key")), F.col("key").eqNullSafe(F.col("_key")) & F.col("v").between(F.col("low"), F.col("high")))
+        # halves keep the width of the widest range finite
+        part = F.least(F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * PARTS), F.lit(PARTS - 1))
+        counts = held.groupBy("key", "rank", "skip", part.alias("part")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        upto = F.sum("c").over(Window.partitionBy("key", "rank").orderBy("part"))
+        counts = counts.withColumn("upto", upto).where((F.col("upto") > F.col("skip")) & (F.col("upto") - F.col("c") <= F.col("skip")))
+        targets = counts.select("key", F.col("least").alias("low"), F.col("most").alias("high"), "rank", (F.col("skip") - (F.col("upto") - F.col("c"))).alias("skip"))
+    else:
+        raise RuntimeError(f"ranks not found in {most_rounds} rounds")
+    values = done.groupBy(F.col("key").alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("rank", "found"))).alias("_v"))
+    out = ends.join(values, F.col("key").eqNullSafe(F.col("_key")))
+    columns = {}
+    for i, (name, (a, b)) in enumerate(wanted.items()):
+        low, high = (F.col("_v")[asked[2 * i + side]["rank"]] for side in (0, 1))
+        share = ((F.col("n") - 1) * a % b) / b
+        columns[name] = low + (high - low) * share
+    distinct = F.when(F.col("low") == F.col("high"), 1).when(F.col("more"), 3).otherwise(2)
+    return out.select(F.col("key").alias(key), distinct.alias("distinct"), *[c.alias(n) for n, c in columns.items()])
 
 
 def regimes(rows: DataFrame, value: str) -> DataFrame:

@@ -39,6 +39,12 @@ def opening_volume(rows: DataFrame, first: int, n: int) -> DataFrame:
     return days.select(*SESSION, F.when(F.count("v").over(w) == n, ratio(F.col("v"), F.avg("v").over(w))).alias("rvol"))
 
 
+def busiest(days: DataFrame, most: int) -> DataFrame:
+    """The ``most`` symbols of each day with the largest known ``rvol``, ties to the smaller symbol, with their rank."""
+    w = Window.partitionBy("day").orderBy(F.desc("rvol"), "symbol")
+    return days.where(F.col("rvol").isNotNull()).withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= most)
+
+
 def _first_slots(rows: DataFrame, enter: Column, leave: Column, last_entry: int, final: int) -> DataFrame:
     """At most one entry and exit a session: the first slot where ``enter`` holds, then the first one where ``leave`` does."""
     entry = rows.where(enter & (F.col("slot") <= last_entry)).groupBy(*SESSION).agg(F.min("slot").alias("entry"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.ts import DAY, over
+from barloom.functions import scan
+from barloom.functions.ts import DAY
 
 KEYS = ["symbol", "open_time"]
 #: A dimension up to so many rows is broadcast; a longer one is joined by exchange.
@@ -26,11 +27,12 @@ def interval(rows: DataFrame, members: DataFrame) -> DataFrame:
     return rows.join(small(members), "symbol").where((F.col("open_time") >= F.col("lo")) & (F.col("open_time") < F.col("hi")))
 
 
-def as_of(rows: DataFrame, known: DataFrame, value: str) -> DataFrame:
-    """The latest ``value`` known at or before each row's time: both sides in one ordered window, one exchange."""
+def as_of(rows: DataFrame, known: DataFrame, value: str, width: int = 366 * DAY) -> DataFrame:
+    """The latest ``value`` known at or before each row's time. Both sides share one exchange by symbol and stretches of
+    ``width``; the last value of each stretch is handed on to the later ones, however far."""
     both = rows.withColumn("_row", F.lit(1)).unionByName(known.withColumn("_row", F.lit(0)), allowMissingColumns=True)
-    w = over("symbol", by="open_time").orderBy("open_time", "_row")
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_row = 1").drop("_row")
+    found = scan.scanned(both, ["symbol"], scan.by_time(1, width), ["open_time", "_row"], lasts={"_known": F.col(value)})
+    return found.where("_row = 1").withColumn(value, F.col("_known")).drop("_row", "_known")
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
@@ -39,10 +41,24 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFr
     return both.select(key, F.when(F.col("_b").isNull(), "only left").when(F.col("_a").isNull(), "only right").otherwise("differs").alias("status"))
 
 
-def missing_times(bars: DataFrame, first: int, end: int, step: int) -> DataFrame:
-    """Expected grid times of each symbol that have no bar; the grid is made from each symbol's row, not by a cross join."""
-    expected = bars.select("symbol").distinct().withColumn("open_time", F.explode(F.sequence(F.lit(first), F.lit(end - step), F.lit(step))))
-    return expected.join(bars.select(*KEYS), KEYS, "left_anti")
+def calendar_audit(rows: DataFrame, every: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(symbol, day, status, n) of the days of rows (symbol, day) that aren't as the calendar (day, slots) has them: missing,
+    unexpected or incomplete. Days are small and travel to each symbol as one array, so nothing is joined crosswise."""
+    days = calendar.agg(F.collect_list(F.struct("day", "slots")).alias("all"))  # a calendar: as many rows as days
+    expected = every.select("symbol").distinct().join(F.broadcast(days)).select("symbol", F.explode("all").alias("x")).select("symbol", "x.day", "x.slots")
+    seen = rows.groupBy("symbol", "day").agg(F.count("*").alias("n"))
+    both = expected.join(seen, ["symbol", "day"], "full_outer")
+    status = F.when(F.col("n").isNull(), "missing").when(F.col("slots").isNull(), "unexpected").when(F.col("n") != F.col("slots"), "incomplete")
+    return both.select("symbol", "day", status.alias("status"), F.coalesce("n", F.lit(0).cast("long")).alias("n")).where("status is not null")
+
+
+def universe(days: DataFrame, members: DataFrame) -> DataFrame:
+    """(open_time, members, tradable, unlisted): arrays of the symbols whose interval holds each day, of those listed by then,
+    and of the others. ``members`` is a table of intervals, small beside prices."""
+    each = days.join(small(members), (F.col("open_time") >= F.col("lo")) & (F.col("open_time") < F.col("hi")))
+    listed = F.when(F.col("open_time") >= F.col("listed"), F.col("symbol"))
+    out = each.groupBy("open_time").agg(F.array_sort(F.collect_list("symbol")).alias("members"), F.array_sort(F.collect_list(listed)).alias("tradable"))
+    return out.withColumn("unlisted", F.array_except("members", "tradable"))
 
 
 def price_screen(detailed: DataFrame, daily: DataFrame, tolerance: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.ts import over
+from barloom.functions import scan
 
 
 def clock_micros(t: Column) -> Column:
@@ -44,13 +44,12 @@ def gaps(bars: DataFrame, step: int, *keys: str) -> DataFrame:
     """Runs of missing bars between on-grid rows: (keys, gap_start, gap_end, missing)."""
     keys = keys or ("symbol",)
     on_grid = bars.where(F.pmod("open_time", F.lit(step)) == 0).select(*keys, "open_time").distinct()
-    following = on_grid.withColumn("following", F.lead("open_time").over(over(*keys)))
-    found = following.where(F.col("following") - F.col("open_time") > step)
+    found = scan.scanned(on_grid, list(keys), scan.by_time(step), ["open_time"], before={"_last": F.col("open_time")}).where(F.col("open_time") - F.col("_last") > step)
     return found.select(
         *keys,
-        (F.col("open_time") + step).alias("gap_start"),
-        (F.col("following") - step).alias("gap_end"),
-        (F.expr(f"(following - open_time) div {step}") - 1).alias("missing"),
+        (F.col("_last") + step).alias("gap_start"),
+        (F.col("open_time") - step).alias("gap_end"),
+        (F.expr(f"(open_time - _last) div {step}") - 1).alias("missing"),
     )
 
 
@@ -108,10 +107,14 @@ def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     return off.select((F.col("different") == 0).alias("same"), "different")
 
 
-def order_free_digest(rows: DataFrame, *columns: str, also: list[Column] | None = None) -> DataFrame:
-    """A digest of a table that does not depend on row order and is combined before the exchange, with further aggregates."""
-    h = F.xxhash64(*columns)
-    return rows.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1_000_003))).alias("s"), *(also or []))
+def order_free_digests(rows: DataFrame) -> DataFrame:
+    """(part, n, total, mixed): digests of whole rows and of each column of text that don't depend on the order of rows and are
+    combined before the exchange: sum and xor of the first 60 bits of each MD5."""
+    parts = {"row": F.concat_ws("|", *rows.columns)} | {c: F.col(c) for c in rows.columns}
+    bits = lambda text: F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    seen = rows.agg(F.count("*").alias("n"), *[f(bits(x)).alias(f"{k}_{name}") for name, x in parts.items() for k, f in (("s", lambda d: F.sum(d.cast("decimal(38,0)"))), ("x", F.bit_xor))])
+    each = F.array(*[F.struct(F.lit(p).alias("part"), (F.col(f"s_{p}") % 1_000_000_007).cast("long").alias("total"), F.col(f"x_{p}").alias("mixed")) for p in parts])
+    return seen.select("n", F.explode(each).alias("e")).select("e.part", "n", "e.total", "e.mixed")
 
 
 def snapshot_changes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -64,6 +64,19 @@ def period_ic(rows: DataFrame, x: str, y: str, start: Column, end: Column) -> Da
     return whole.unionByName(pnl.correlation(inside, x, y, ["symbol", "period"]).select("symbol", "period", "n", "corr"))
 
 
+def cross_section_ic(rows: DataFrame, x: str, y: str, period: Column, done: Column, least: int) -> DataFrame:
+    """(kind, period, n, value, ratio): the correlation across keys at each time with ``least`` known pairs; its mean by
+    period, of labels that end in it; its mean over all times, with the mean of the periods over their deviation."""
+    rows = rows.withColumns({"_p": period, "_done": done})
+    times = pnl.correlation(rows, x, y, ["open_time", "_p", "_done"], least=least).where(F.col("n") >= least)
+    none = F.lit(None).cast("double")
+    each = times.select(F.lit("time").alias("kind"), F.col("open_time").alias("period"), "n", F.col("corr").alias("value"), none.alias("ratio"))
+    months = times.where(F.col("corr").isNotNull() & (F.col("_p") == F.col("_done"))).groupBy(F.col("_p").alias("period")).agg(F.count("*").alias("n"), F.avg("corr").alias("value"))
+    whole = times.agg(F.count("corr").alias("n"), F.avg("corr").alias("value")).join(months.agg(ratio(F.avg("value"), F.nullif(F.stddev_samp("value"), F.lit(0.0))).alias("ratio")))
+    out = each.unionByName(months.select(F.lit("month").alias("kind"), "period", "n", "value", none.alias("ratio")))
+    return out.unionByName(whole.select(F.lit("all").alias("kind"), F.lit(None).cast("long").alias("period"), "n", "value", "ratio"))
+
+
 def effort(results: DataFrame, group: str) -> DataFrame:
     """Attempts, invalid and valid ones by group and in all (group NULL), with the best valid result by fitness, then id."""
     valid = F.col("status") != "INVALID"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions import scan
 from barloom.functions.ts import DAY, over, ratio
 
 
@@ -18,10 +19,10 @@ def calendar(spark: SparkSession, first: str, last: str, holidays: list[str], sp
 
 def segments(bars: DataFrame, step: int) -> DataFrame:
     """A running segment number that rises after a time gap or at a new day."""
-    w = over()
-    before = F.lag("open_time").over(w)
-    broken = F.coalesce((F.col("open_time") - before != step) | (F.expr(f"open_time div {DAY}") != F.expr(f"lag(open_time) over (partition by symbol order by open_time) div {DAY}")), F.lit(True))
-    return bars.withColumn("_b", broken.cast("long")).withColumn("segment", F.sum("_b").over(w)).drop("_b")
+    piece = scan.by_time(step)
+    rows = scan.scanned(bars, ["symbol"], piece, ["open_time"], before={"_last": F.col("open_time")})
+    broken = F.coalesce((F.col("open_time") - F.col("_last") != step) | (F.expr(f"open_time div {DAY}") != F.expr(f"_last div {DAY}")), F.lit(True))
+    return scan.scanned(rows.withColumn("_b", broken.cast("long")), ["symbol"], piece, ["open_time"], sums={"segment": F.col("_b")}).drop("_b", "_last")
 
 
 def vwap(bars: DataFrame) -> DataFrame:
@@ -47,12 +48,18 @@ def state_changes(rows: DataFrame, signal: str) -> DataFrame:
     return rows.withColumn("state", F.when(on & (before == 0), "entry").when(~on & (before == 1), "exit").when(on, "hold").otherwise("flat"))
 
 
-def runs(rows: DataFrame, value: str) -> DataFrame:
-    """Runs of one value: first, last and length."""
-    w = over()
-    change = F.coalesce((F.col(value) != F.lag(value).over(w)).cast("long"), F.lit(1))
-    numbered = rows.withColumn("_c", change).withColumn("g", F.sum("_c").over(w))
-    return numbered.groupBy("symbol", "g").agg(F.first(value).alias(value), F.min("open_time").alias("first"), F.max("open_time").alias("last"), F.count("*").alias("n"))
+def identity_runs(rows: DataFrame, step: int, scale: float = 0.05) -> DataFrame:
+    """Stretches of days (symbol, open_time, isin, high_ratio, low_ratio) with one ISIN, all shifted or none: both ratios to the
+    reference more than ``scale`` above one, or both below. One row each, numbered, with its first and last day, number of
+    days and the least and greatest ratio; over pieces of a series."""
+    low, high = F.least("high_ratio", "low_ratio"), F.greatest("high_ratio", "low_ratio")
+    rows = rows.withColumn("shifted", (low > 1 + scale) | (high < 1 - scale))
+    piece = scan.by_time(step)
+    rows = scan.scanned(rows, ["symbol"], piece, ["open_time"], before={"_was": F.struct("isin", "shifted")})
+    new = (~F.col("_was").eqNullSafe(F.struct("isin", "shifted"))).cast("long")
+    rows = scan.scanned(rows, ["symbol"], piece, ["open_time"], sums={"g": new})
+    found = rows.groupBy("symbol", "g").agg(F.min("open_time").alias("first"), F.max("open_time").alias("last"), F.count("*").alias("n"), F.min(low).alias("low"), F.max(high).alias("high"), F.first("isin").alias("isin"), F.first("shifted").alias("shifted"))
+    return found.select("symbol", "g", "isin", "shifted", "first", "last", "n", "low", "high")
 
 
 def opening(bars: DataFrame, step: int, slots: int) -> DataFrame:

@@ -179,7 +179,7 @@ def bounds(spark, sf_dir):
 @query("S-07", sql("SELECT symbol, open_time, round(CASE WHEN volume > 0 THEN taker_buy_base / volume END, 6) AS taker_ratio, volume > 0 AS available__taker_ratio FROM h WHERE symbol IN ('click', 'view') AND open_time BETWEEN 1704844800000000 AND 1705276799999999"))
 def feature_range(spark, sf_dir):
     make = lambda: features.with_masks(features.build(bars(spark, sf_dir, HOUR), HOUR, ["taker_ratio"]))
-    path = stores.session_store(spark, f"features:{sf_dir}", make)
+    path = stores.session_store(spark, "features", table(spark, sf_dir, "events"), make)
     low, high = clock.to_micros("2024-01-10"), clock.to_micros("2024-01-14", end=True)
     return stores.load_range(spark, path, ["taker_ratio"], ["click", "view"], low, high).withColumn("taker_ratio", r("taker_ratio"))
 

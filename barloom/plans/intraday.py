@@ -8,6 +8,7 @@ from barloom.functions import ts
 from barloom.operators import features, intraday, ledger
 from barloom.plans.base import DAY, HOUR, bars, query, r, sql, table, ticks
 from barloom.plans.judging import EDGE
+from barloom.sources import stores
 
 _D = "(PARTITION BY symbol ORDER BY day)"
 _DAYNO = f"(day // {DAY})"
@@ -258,27 +259,40 @@ def session_screen(spark, sf_dir):
 
 
 _BOOK = "SELECT user_id, t, event_id, CASE symbol WHEN 'purchase' THEN 1 ELSE -1 END * (k + 1)::DOUBLE AS signed, price FROM ticks WHERE symbol IN ('purchase', 'click')"
+FIELDS = ["quantity", "average", "realised", "cash", "fees"]
 
 
 @query(
     "Q-09",
     sql(
-        """SELECT user_id, event_id, field, round(e, 4) + 0.0 AS expected, round(r, 4) + 0.0 AS recorded FROM (SELECT user_id, event_id, unnest(['quantity', 'cash', 'fees']) AS field, unnest([quantity, cash, fees]) AS e,
-          unnest([quantity, cash + CASE WHEN event_id % 35 = 0 THEN 1 ELSE 0 END, fees + CASE WHEN event_id % 25 = 0 THEN 2 ELSE 0 END]) AS r FROM
-          (SELECT user_id, event_id, sum(signed) OVER w AS quantity, -sum(signed * price) OVER w AS cash, sum(abs(signed * price)) OVER w * 0.001 AS fees FROM f WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)) WHERE event_id % 5 = 0)
-        WHERE abs(e - r) > 0.000001""",
+        f"""SELECT coalesce(e.user_id, r.user_id) AS user_id, coalesce(e.event_id, r.event_id) AS event_id, CASE WHEN r.event_id IS NULL THEN 'not recorded' WHEN e.event_id IS NULL THEN 'no replay' ELSE field END AS problem,
+          CASE WHEN r.event_id IS NOT NULL AND e.event_id IS NOT NULL THEN round(ev, 3) + 0.0 END AS expected, CASE WHEN r.event_id IS NOT NULL AND e.event_id IS NOT NULL THEN round(rv, 3) + 0.0 END AS recorded
+        FROM e FULL JOIN r ON e.user_id = r.user_id AND e.event_id = r.event_id,
+          LATERAL (SELECT unnest({FIELDS}) AS field, unnest([e.quantity, e.average, e.realised, e.cash, e.fees]) AS ev, unnest([r.quantity, r.average, r.realised, r.cash, r.fees]) AS rv) x
+        WHERE (r.event_id IS NULL OR e.event_id IS NULL) AND field = 'quantity' OR abs(ev - rv) > 0.0005""",
         f=_BOOK,
-    ),
+        n="SELECT user_id AS account, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn, signed AS s, price AS p FROM f",
+        z="""SELECT account, rn, s AS q, p AS a, 0.0::DOUBLE AS g, -s * p AS cash, abs(s * p) * 0.001 AS fee FROM n WHERE rn = 1
+          UNION ALL SELECT n.account, n.rn, q + s,
+            CASE WHEN q = 0 OR sign(q) = sign(s) THEN (a * abs(q) + p * abs(s)) / (abs(q) + abs(s)) WHEN q + s = 0 THEN 0 WHEN sign(q + s) = sign(q) THEN a ELSE p END,
+            g + CASE WHEN q = 0 OR sign(q) = sign(s) THEN 0 ELSE least(abs(s), abs(q)) * (p - a) * sign(q) END, cash - s * p, fee + abs(s * p) * 0.001
+          FROM z JOIN n ON n.account = z.account AND n.rn = z.rn + 1""",
+        e="SELECT z.account AS user_id, id AS event_id, q AS quantity, a AS average, g AS realised, cash, fee AS fees FROM z JOIN n ON n.account = z.account AND n.rn = z.rn WHERE id % 5 = 0",
+        r="""SELECT user_id, CASE WHEN event_id % 45 = 0 THEN event_id + 1000000000 ELSE event_id END AS event_id, quantity, average + CASE WHEN event_id % 55 = 0 THEN 1 ELSE 0 END AS average,
+          realised - CASE WHEN event_id % 65 = 0 THEN 3 ELSE 0 END AS realised, cash + CASE WHEN event_id % 35 = 0 THEN 1 ELSE 0 END AS cash, fees + CASE WHEN event_id % 25 = 0 THEN 2 ELSE 0 END AS fees FROM e""",
+    ).replace("WITH ticks", "WITH RECURSIVE ticks", 1),
 )
 def checkpoints(spark, sf_dir):
-    """Recorded cash, fees and quantity of every fifth fill against a replay of all fills."""
+    """Recorded books of every fifth fill against a replay of all fills at average cost, both ways round."""
     side = F.when(F.col("symbol") == "purchase", 1).otherwise(-1)
     fills = ticks(spark, sf_dir).where("symbol in ('purchase', 'click')").select("user_id", "t", "event_id", (side * (F.col("k") + 1)).cast("double").alias("signed"), "price")
-    replayed = ledger.running(fills, ["user_id"], ["t", "event_id"], 10.0)
+    replayed = ledger.replayed(fills, "user_id", 10.0).where("event_id % 5 = 0").select("user_id", "event_id", *FIELDS)
+    replayed = stores.settle(replayed)
     wrong = lambda every, by: F.when(F.col("event_id") % every == 0, by).otherwise(0)
-    recorded = replayed.where("event_id % 5 = 0").withColumns({"cash": F.col("cash") + wrong(35, 1), "fees": F.col("fees") + wrong(25, 2)})
-    out = ledger.reconcile(replayed, recorded, ["user_id", "event_id"], ["quantity", "cash", "fees"], 1e-6)
-    return out.select("user_id", "event_id", "field", (F.round("expected", 4) + 0.0).alias("expected"), (F.round("recorded", 4) + 0.0).alias("recorded"))
+    recorded = replayed.withColumns({"average": F.col("average") + wrong(55, 1), "realised": F.col("realised") - wrong(65, 3), "cash": F.col("cash") + wrong(35, 1), "fees": F.col("fees") + wrong(25, 2)})
+    recorded = recorded.withColumn("event_id", F.when(F.col("event_id") % 45 == 0, F.col("event_id") + 1_000_000_000).otherwise(F.col("event_id")))
+    out = ledger.reconcile(replayed, recorded, ["user_id", "event_id"], FIELDS, 5e-4)
+    return out.select("user_id", "event_id", "problem", (F.round("expected", 3) + 0.0).alias("expected"), (F.round("recorded", 3) + 0.0).alias("recorded"))
 
 
 @query(

@@ -234,9 +234,7 @@ def account_comparison(spark, sf_dir):
     none = F.lit(None).cast("string")
     mean = rows.groupBy("open_time").agg(F.count("*").alias("n"), r(F.avg("equity"), "value"))
     mean = mean.select(F.lit("mean").alias("kind"), none.alias("a"), none.alias("b"), F.col("open_time").alias("day"), "n", "value")
-    known = rows.where("ret is not null")
-    left, right = (known.select("open_time", F.col("symbol").alias(s), F.col("ret").alias(f"ret_{s}")) for s in ("one", "two"))
-    pairs = pnl.correlation(left.join(right, "open_time").where("one < two"), "ret_one", "ret_two", ["one", "two"]).where("n >= 20")
+    pairs = pnl.pair_correlations(rows.withColumn("day", F.expr(f"open_time div {DAY}")), "symbol", "day", "ret", 20)
     return pairs.select(F.lit("pair").alias("kind"), F.col("one").alias("a"), F.col("two").alias("b"), F.lit(-1).cast("long").alias("day"), "n", r("corr", "value")).unionByName(mean)
 
 

@@ -40,15 +40,33 @@ def boosted(spark, sf_dir):
     return scored.groupBy("symbol").agg(F.count("*").alias("n"), r(F.avg(((F.col("p") > 0.5) == (F.col("target") > 0)).cast("int")), "accuracy"))
 
 
-@query("M-05", None)
+_W = "(PARTITION BY symbol ORDER BY open_time)"
+_LABELLED = f"SELECT *, CASE WHEN lead(open_time) OVER {_W} - open_time = {HOUR} THEN lead(close) OVER {_W} / close - 1 END AS target, CASE WHEN open_time - lag(open_time) OVER {_W} = {HOUR} THEN ln(close / lag(close) OVER {_W}) END AS return_1, taker_buy_base / volume AS p FROM h"
+
+
+@query(
+    "M-05",
+    sql(
+        """SELECT symbol, count(*) AS n, round(avg(CASE WHEN lo.x IS NULL THEN (SELECT min(g) FROM fit) WHEN hi.x IS NULL THEN (SELECT max(g) FROM fit) WHEN hi.x = lo.x THEN lo.g ELSE lo.g + (hi.g - lo.g) * (p - lo.x) / (hi.x - lo.x) END), 5) + 0.0 AS mean
+        FROM s ASOF LEFT JOIN fit lo ON s.p >= lo.x ASOF LEFT JOIN fit hi ON s.p <= hi.x WHERE open_time >= 1706140800000000 AND open_time + 3600000000 < 1706659200000000 GROUP BY symbol""",
+        l=_LABELLED,
+        s="SELECT * FROM l WHERE target IS NOT NULL AND p IS NOT NULL",
+        v="SELECT p AS x, count(*)::DOUBLE AS w, sum((target > 0)::INT)::DOUBLE AS y FROM s WHERE open_time >= 1705276800000000 AND open_time + 3600000000 < 1706140800000000 GROUP BY p",
+        c="SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(y) OVER (ORDER BY x) AS cy, w, y FROM v",
+        # isotonic regression: the largest, over where a block may begin, of the least mean of a block that ends here or later
+        m="SELECT a.i AS a, b.i AS b, min((b.cy - a.cy + a.y) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS least FROM c a JOIN c b ON a.i <= b.i",
+        fit="SELECT x, max(least) AS g FROM m JOIN c ON c.i = m.b GROUP BY x",
+    ),
+)
 def calibrated(spark, sf_dir):
-    rows = ml.standardised(_samples(spark, sf_dir), NAMES)
-    model = ml.logistic(rows.where("split = 'train'"), 1.0)
-    out = ml.calibrated(ml.probabilities(model, rows.where("split = 'valid'")), ml.probabilities(model, rows.where("split = 'test'")))
-    return out.groupBy("symbol").agg(F.count("*").alias("n"), r(F.avg("calibrated"), "mean"))
+    """Taker shares as probabilities of a rise: made monotone on VALID alone and used once it is over, on TEST."""
+    b = bars(spark, sf_dir, HOUR)
+    shares = b.select("symbol", "open_time", ts.ratio(F.col("taker_buy_base"), F.col("volume")).alias("p"))
+    rows = ml.samples(shares, b, ["p"], 1, HOUR, SPLITS)
+    out = ml.calibrated(rows.where("split = 'valid'"), rows.where("split = 'test'"))
+    return out.groupBy("symbol").agg(F.count("*").alias("n"), (F.round(F.avg("calibrated"), 5) + 0.0).alias("mean"))
 
 
-_W = "(PARTITION BY symbol ORDER BY open_time)"
 
 
 @query(
@@ -125,13 +143,13 @@ def book_classes(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector
 
     rows = table(spark, sf_dir, "embeddings").where("label is not null")
-    first = F.slice(F.col("embedding").cast("array<double>"), 1, 16)
+    size = rows.agg(F.max(F.size("embedding"))).first()[0]
     kinds = [x[0] for x in rows.select("label").distinct().orderBy("label").collect()]  # the label domain
     index = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("label")).cast("double") - 1
     split = F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train")
-    ready = rows.select(array_to_vector(first).alias("v"), index.alias("label"), split.alias("split"))
+    ready = rows.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"), index.alias("label"), split.alias("split"))
     ready = VectorAssembler(inputCols=["v"], outputCol="x").transform(ready)
-    out = ml.classes(ready, [1, 2], [16, 8, len(kinds)])
+    out = ml.classes(ready, [1, 2], [size, 8, len(kinds)])
     return out.select("model", "seed", "n", r("accuracy", "accuracy"), r("macro_f1", "macro_f1"))
 
 
@@ -158,8 +176,18 @@ def horizon_screen(spark, sf_dir):
     return out.select("horizon", "n", "active", r("net_1x", "net_1x"), r("net_2x", "net_2x"))
 
 
-@query("M-10", None)
+@query(
+    "M-10",
+    sql(
+        """SELECT a.symbol, count(*) AS n, round(coalesce(covar_pop(return_1, b.target) / nullif(stddev_pop(return_1) * stddev_pop(b.target), 0), 0), 6) + 0.0 AS corr
+        FROM a JOIN b ON a.symbol = b.symbol AND a.i = b.i GROUP BY a.symbol""",
+        l=_LABELLED,
+        s="SELECT * FROM l WHERE target IS NOT NULL AND return_1 IS NOT NULL AND open_time >= 1705276800000000 AND open_time + 3600000000 < 1706140800000000",
+        a=f"SELECT symbol, return_1, row_number() OVER (PARTITION BY symbol ORDER BY open_time // 1000000 * {ml.factor(3)} % {2**31}, open_time) AS i FROM s",
+        b=f"SELECT symbol, target, row_number() OVER (PARTITION BY symbol ORDER BY open_time // 1000000 * {ml.factor(4)} % {2**31}, open_time) AS i FROM s",
+    ),
+)
 def shuffled_control(spark, sf_dir):
-    rows = _samples(spark, sf_dir)
-    mixed = ml.shuffled(rows.where("split = 'valid'"), 3)
+    """Targets dealt anew within each symbol: what a feature then says of them."""
+    mixed = ml.shuffled(_samples(spark, sf_dir).where("split = 'valid'"), 3)
     return mixed.groupBy("symbol").agg(F.count("*").alias("n"), r(F.coalesce(F.try_divide(F.covar_pop("return_1", "target"), F.stddev_pop("return_1") * F.stddev_pop("target")), F.lit(0.0)), "corr"))

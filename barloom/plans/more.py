@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions import ts
-from barloom.operators import features, pnl, quality, registry
+from barloom.operators import features, pnl, quality, registry, sizing
 from barloom.plans.base import DAY, HOUR, bars, query, r, sql, table
 from barloom.plans.returns import YEAR
 from barloom.sources import stores
@@ -56,11 +56,25 @@ def months(spark, sf_dir):
     return every.select(F.col("m").cast("string").alias("first"), F.least(F.last_day("m"), F.lit("2024-04-10").cast("date")).cast("string").alias("last"))
 
 
-@query("F-16", sql("SELECT symbol, open_time, (sign(close - open) * floor(abs(100000 * 0.1 * (close - open) / nullif(open, 0)) / nullif(close, 0)))::BIGINT AS shares FROM h WHERE open > 0 AND close > 0"))
+CAPITAL, WEIGHT, THRESHOLD = 100_000, 0.1, 0.0005
+_TARGET = f"""SELECT symbol, open_time, close, (close - open) / nullif(open, 0) AS s FROM h WHERE open > 0 AND close > 0"""
+
+
+@query(
+    "F-16",
+    sql(
+        f"""SELECT symbol, open_time, round(target, 6) + 0.0 AS target, (CASE WHEN abs(target / close - held) * close < {CAPITAL * THRESHOLD} THEN 0 ELSE sign(target / close - held) * floor(abs(target / close - held)) END)::BIGINT AS shares
+        FROM (SELECT *, {CAPITAL} * {WEIGHT} * s AS target, (hash_free // 7)::DOUBLE AS held FROM (SELECT *, (open_time // {HOUR}) % 23 AS hash_free FROM t))""",
+        t=_TARGET,
+    ),
+)
 def sized(spark, sf_dir):
-    move = F.col("close") - F.col("open")
-    value = ts.ratio(100000 * 0.1 * move, F.col("open"))
-    return bars(spark, sf_dir, HOUR).where("open > 0 and close > 0").select("symbol", "open_time", (F.signum(move) * F.floor(ts.ratio(F.abs(value), F.col("close")))).cast("long").alias("shares"))
+    """Target notional in decimals and the whole shares to trade towards it; a change below the threshold is not traded."""
+    rows = bars(spark, sf_dir, HOUR).where("open > 0 and close > 0").withColumn("signal", ts.ratio(F.col("close") - F.col("open"), F.col("open")))
+    rows = rows.withColumn("held", F.expr(f"(open_time div {HOUR}) % 23 div 7"))
+    target = sizing.target_notional(F.col("signal"), CAPITAL, WEIGHT)
+    out = rows.withColumn("target", target).withColumn("shares", sizing.rebalance(F.col("target"), F.col("close"), F.col("held"), CAPITAL, THRESHOLD))
+    return out.select("symbol", "open_time", r(F.col("target").cast("double"), "target"), F.col("shares").cast("long").alias("shares"))
 
 
 @query("Q-03", sql(f"SELECT symbol, open_time + {DAY} AS gap_start, nxt - {DAY} AS gap_end, (nxt - open_time) // {DAY} - 1 AS missing FROM (SELECT symbol, open_time, lead(open_time) OVER {_W} AS nxt FROM d WHERE volume >= 3 AND open_time // {DAY} % 4 <> 0) WHERE nxt - open_time > {DAY}"))
@@ -101,10 +115,19 @@ def common_days(spark, sf_dir):
     return slow.join(fast, ["symbol", "open_time"]).groupBy("symbol").agg(F.count("*").alias("n"), r(F.avg(F.col("x") - F.col("y")), "mean"))
 
 
-@query("G-01", "SELECT o_custkey AS id, count(*) + 1 AS version FROM orders GROUP BY o_custkey")
-def next_versions(spark, sf_dir):
-    ids = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("version"))
-    return registry.append_version(ids, ids.select("id").distinct())
+@query(
+    "G-01",
+    """WITH top AS (SELECT o_custkey AS id, count(*) AS top FROM orders GROUP BY ALL),
+      asked AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 1 WHEN 2 THEN 5 ELSE 2 END AS v FROM customer)
+    SELECT id, coalesce(v, coalesce(top, 0) + 1)::BIGINT AS version, CASE WHEN v < coalesce(top, 0) + 1 THEN 'exists' WHEN v > coalesce(top, 0) + 1 THEN 'not the next' END AS refused FROM asked LEFT JOIN top USING (id)""",
+)
+def versions(spark, sf_dir):
+    """Definitions that ask for the next version or name one; an existing one is refused."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    known = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.row_number().over(w).cast("long").alias("version"))
+    kind = F.col("c_custkey") % 4
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(kind == 1, 1).when(kind == 2, 5).when(kind == 3, 2).alias("version"))
+    return registry.register(known, asked).select("id", "version", "refused")
 
 
 @query(
@@ -121,12 +144,16 @@ def many_signals(spark, sf_dir):
 
 @query("K-02", sql("SELECT symbol, open_time, round(CASE WHEN volume > 0 THEN taker_buy_base / volume END, 6) AS taker_ratio, volume > 0 AS available FROM h"))
 def feature_store(spark, sf_dir):
-    path = stores.session_store(spark, f"features:{sf_dir}", lambda: features.with_masks(features.build(bars(spark, sf_dir, HOUR), HOUR, ["taker_ratio"])))
+    """A store of features written whole, and then one symbol's partitions again: the others stay as they are."""
+    path = stores.shared_root(spark, "features")
+    frame = stores.settle(features.build(bars(spark, sf_dir, HOUR), HOUR, ["taker_ratio"]))
+    stores.write_features(frame.withColumn("taker_ratio", F.when(F.col("symbol") != "click", F.col("taker_ratio"))), path)
+    stores.write_features(frame.where("symbol = 'click'"), path)
     return stores.load_features(spark, path, ["taker_ratio"]).select("symbol", "open_time", r("taker_ratio", "taker_ratio"), F.col("available__taker_ratio").alias("available"))
 
 
-@query("A-36", sql("SELECT count(*) AS n, min(open_time) AS first, max(open_time) AS last FROM h"))
+@query("A-36", sql("SELECT symbol, year(make_timestamp(open_time))::INT AS year, count(*) AS n, min(open_time) AS first, max(open_time) AS last FROM h GROUP BY ALL"))
 def inventory(spark, sf_dir):
-    """Per-file counts of a store, added up; the per-file table is ``stores.inventory``."""
-    path = stores.session_store(spark, sf_dir, lambda: bars(spark, sf_dir, HOUR))
-    return stores.inventory(spark, path).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    """Rows, first and last time of every partition of a store, from the files' own statistics."""
+    path = stores.session_store(spark, "bars", table(spark, sf_dir, "events"), lambda: bars(spark, sf_dir, HOUR))
+    return stores.inventory(spark, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions import ts
-from barloom.operators import gates, pnl, quality, resample, sessions
+from barloom.operators import gates, pnl, quality, reports, resample, sessions
 from barloom.plans.base import DAY, HOUR, bars, query, r, sql, ticks
 
 _W = "(PARTITION BY symbol ORDER BY open_time)"
@@ -69,12 +69,12 @@ _DD = dict(
 
 @query("W-25", sql("SELECT symbol, open_time, round(cum, 6) + 0.0 AS cum, round(peak, 6) + 0.0 AS peak, round(peak - cum, 6) + 0.0 AS drop FROM c1", **_DD))
 def drawdowns(spark, sf_dir):
-    return pnl.drawdown(simulated(spark, sf_dir), "net").select("symbol", "open_time", *[r(c, c) for c in ("cum", "peak", "drop")])
+    return pnl.drawdown(simulated(spark, sf_dir), "net", HOUR).select("symbol", "open_time", *[r(c, c) for c in ("cum", "peak", "drop")])
 
 
 @query("W-26", sql(f"SELECT symbol, open_time, round(close / max(close) OVER {_W} - 1, 6) + 0.0 AS drawdown FROM d"))
 def equity_drawdown(spark, sf_dir):
-    return bars(spark, sf_dir, DAY).select("symbol", "open_time", r(ts.ratio(F.col("close"), F.max("close").over(ts.over())) - 1, "drawdown"))
+    return pnl.below_peak(bars(spark, sf_dir, DAY), "close", DAY).select("symbol", "open_time", r("drawdown", "drawdown"))
 
 
 _METRICS = "count(x) AS n, round(sum(x), 6) + 0.0 AS total, round(avg(x), 6) + 0.0 AS mean, round(stddev_samp(x), 6) + 0.0 AS vol, round(avg(x) / nullif(stddev_samp(x), 0), 6) + 0.0 AS sharpe"
@@ -101,11 +101,14 @@ def entry_boundary(spark, sf_dir):
     return pnl.boundary(simulated(spark, sf_dir)).select("symbol", "open_time", r("net", "net"))
 
 
-@query("A-12", sql("SELECT symbol, round(sum(turnover), 6) AS turnover, round(avg(turnover), 6) AS mean_turnover, round(avg((sign(held) = sign(ret))::INT) FILTER (held IS NOT NULL AND ret IS NOT NULL), 6) AS hit_rate FROM p5 GROUP BY symbol", **_POS))
+_DAYS = f"open_time // {DAY} * {DAY}"
+
+
+@query("A-12", sql(f"SELECT symbol, {_DAYS} AS day, round(CASE WHEN count(turnover) = count(*) THEN sum(turnover) END, 6) AS turnover, round(CASE WHEN count(turnover) = count(*) THEN avg(turnover) END, 6) AS mean_turnover, round(CASE WHEN count(held) = count(*) AND count(ret) = count(*) THEN avg((sign(held) = sign(ret))::INT) END, 6) AS hit_rate FROM p5 GROUP BY ALL", **_POS))
 def turnover(spark, sf_dir):
-    known = F.col("held").isNotNull() & F.col("ret").isNotNull()
-    hit = F.when(known, (F.signum("held") == F.signum("ret")).cast("int"))
-    return simulated(spark, sf_dir).groupBy("symbol").agg(r(F.sum("turnover"), "turnover"), r(F.avg("turnover"), "mean_turnover"), r(F.avg(hit), "hit_rate"))
+    """Turnover and hit rate of each symbol and day, unknown unless every period of it is known."""
+    day = (F.expr(f"open_time div {DAY}") * DAY).alias("day")
+    return pnl.diagnostics(simulated(spark, sf_dir), F.col("symbol"), day).select("symbol", "day", *[r(c, c) for c in ("turnover", "mean_turnover", "hit_rate")])
 
 
 @query("A-20", sql(f"SELECT symbol, multiplier, {_METRICS} FROM (SELECT symbol, m AS multiplier, gross - turnover * bps * m / 10000 AS x FROM p4 CROSS JOIN (VALUES (0.0::DOUBLE), (0.5), (1.0), (2.0), (3.0)) v(m)) GROUP BY ALL", **_POS))
@@ -149,18 +152,45 @@ def regime_cuts(spark, sf_dir):
     return gates.terciles(_volatility(spark, sf_dir), "v", 1705276800000000).select("symbol", r("q1", "q1"), r("q2", "q2"))
 
 
-@query("A-08", sql("SELECT symbol, CASE WHEN v IS NULL THEN 'unknown' WHEN v <= q1 THEN 'low' WHEN v <= q2 THEN 'mid' ELSE 'high' END AS regime, count(*) AS n, round(avg(close), 6) AS mean FROM v JOIN c USING (symbol) WHERE open_time >= 1705276800000000 GROUP BY ALL", v=_VOL, c=_CUT))
+_NETTED = dict(_POS, nt=f"SELECT symbol, open_time, CASE WHEN rn > 1 THEN net - CASE WHEN rn = 2 THEN lag(cost) OVER {_W} ELSE 0 END END AS x FROM p5")
+#: The end of the stretch that regimes are fitted on and the start of the one they are used on.
+FITTED = 1705276800000000
+
+
+@query(
+    "A-08",
+    sql(
+        f"""SELECT n.symbol, CASE WHEN v IS NULL OR q1 IS NULL THEN 'unknown' WHEN v <= q1 THEN 'low' WHEN v <= q2 THEN 'mid' ELSE 'high' END AS regime, {_METRICS}
+        FROM nt n LEFT JOIN v ON v.symbol = n.symbol AND v.open_time = n.open_time - {HOUR} LEFT JOIN c ON c.symbol = n.symbol WHERE n.open_time >= {FITTED} GROUP BY ALL""",
+        **_NETTED,
+        v=_VOL,
+        c=_CUT,
+    ),
+)
 def regime_metrics(spark, sf_dir):
-    rows = _volatility(spark, sf_dir)
-    cuts = gates.terciles(rows, "v", 1705276800000000)  # one row a symbol
-    return gates.regimes(rows.where("open_time >= 1705276800000000").join(cuts, "symbol"), "v").groupBy("symbol", "regime").agg(F.count("*").alias("n"), r(F.avg("close"), "mean"))
+    """Net returns by the volatility that was known at the close before each, in regimes fitted on an earlier stretch."""
+    known = _volatility(spark, sf_dir).select("symbol", "open_time", "v")
+    cuts = gates.terciles(known, "v", FITTED)  # one row a symbol
+    net = pnl.boundary(simulated(spark, sf_dir)).where(F.col("open_time") >= FITTED).select("symbol", "open_time", "net")
+    rows = net.join(known.withColumn("open_time", F.col("open_time") + HOUR), ["symbol", "open_time"], "left").join(cuts, "symbol", "left")
+    return _metrics(gates.regimes(rows, "v"), "net", "symbol", "regime")
 
 
-@query("A-09", sql("SELECT symbol, round(avg(s), 6) + 0.0 AS mean, round(min(s), 6) + 0.0 AS least, round(avg((s > 0)::INT), 6) AS positive FROM (SELECT symbol, day, avg(close) / nullif(stddev_samp(close), 0) AS s FROM (SELECT symbol, open_time // 86400000000 AS day, close FROM h) GROUP BY ALL) WHERE s IS NOT NULL GROUP BY symbol"))
+_SHARPES = " UNION ALL ".join(
+    f"SELECT symbol, '{name}' AS period, avg(x) / nullif(stddev_samp(x), 0) * sqrt({YEAR}) AS s FROM nt WHERE x IS NOT NULL GROUP BY symbol, {part}"
+    for name, part in (("month", "date_trunc('month', make_timestamp(open_time))"), ("week", f"open_time // {7 * DAY}"))
+)
+
+
+@query("A-09", sql("SELECT symbol, period, count(s) AS defined, round(avg(s), 4) + 0.0 AS mean, round(min(s), 4) + 0.0 AS least, round(avg((s > 0)::INT) FILTER (s IS NOT NULL), 6) AS positive FROM w GROUP BY symbol, period", **_NETTED, w=_SHARPES))
 def stability_summary(spark, sf_dir):
-    rows = bars(spark, sf_dir, HOUR).withColumn("day", F.expr(f"open_time div {DAY}"))
-    sharpe = rows.groupBy("symbol", "day").agg(ts.ratio(F.avg("close"), F.nullif(F.stddev_samp("close"), F.lit(0.0))).alias("s")).where("s is not null")
-    return sharpe.groupBy("symbol").agg(r(F.avg("s"), "mean"), r(F.min("s"), "least"), r(F.avg((F.col("s") > 0).cast("int")), "positive"))
+    """Annual Sharpe of net returns by month, and by week, over the periods where it is defined."""
+    rows = pnl.boundary(simulated(spark, sf_dir)).select("symbol", "open_time", "net")
+    month = F.trunc(F.date_from_unix_date(F.expr(f"open_time div {DAY}").cast("int")), "month").cast("string")
+    parts = F.explode(F.array(F.struct(F.lit("month").alias("period"), month.alias("part")), F.struct(F.lit("week").alias("period"), F.expr(f"open_time div {7 * DAY}").cast("string").alias("part"))))
+    rows = rows.select("symbol", "net", parts.alias("p")).select("symbol", "net", "p.*")
+    out = pnl.stability(rows, "net", YEAR, ["symbol", "period"], "part")
+    return out.select("symbol", "period", "defined", *[(F.round(c, 4) + 0.0).alias(c) for c in ("mean", "least")], r("positive", "positive"))
 
 
 _IC = dict(f=f"SELECT symbol, open_time, close, volume, CASE WHEN lead(open_time) OVER {_W} - open_time = {DAY} THEN lead(close) OVER {_W} / nullif(close, 0) - 1 END AS y FROM d")
@@ -175,9 +205,26 @@ def rank_correlation(spark, sf_dir):
     return pnl.correlation(bars(spark, sf_dir, DAY), "volume", "close", ["symbol"], spearman=True).select("symbol", "n", r("corr", "corr"))
 
 
-@query("A-15", sql("SELECT open_time, count(*) AS n, round(corr(close, y), 6) + 0.0 AS corr FROM f WHERE close IS NOT NULL AND y IS NOT NULL GROUP BY open_time HAVING count(*) >= 5", **_IC))
+_MONTH_OF = "year(make_timestamp({0})) * 100 + month(make_timestamp({0}))"
+
+
+@query(
+    "A-15",
+    sql(
+        """SELECT 'time' AS kind, open_time AS period, n, round(corr, 6) + 0.0 AS value, NULL::DOUBLE AS ratio FROM t
+        UNION ALL SELECT 'month', month, n, round(value, 6) + 0.0, NULL FROM mo
+        UNION ALL SELECT 'all', NULL, count(corr), round(avg(corr), 6) + 0.0, (SELECT round(avg(value) / nullif(stddev_samp(value), 0), 6) + 0.0 FROM mo) FROM t""",
+        **_IC,
+        t=f"SELECT open_time, {_MONTH_OF.format('open_time')} AS month, {_MONTH_OF.format(f'(open_time + {DAY})')} AS done, count(*) AS n, CASE WHEN count(DISTINCT close) > 1 AND count(DISTINCT y) > 1 THEN corr(close, y) END AS corr FROM f WHERE close IS NOT NULL AND y IS NOT NULL GROUP BY open_time HAVING count(*) >= 5",
+        mo="SELECT month, count(*) AS n, avg(corr) AS value FROM t WHERE corr IS NOT NULL AND month = done GROUP BY month",
+    ),
+)
 def cross_section_ic(spark, sf_dir):
-    return pnl.correlation(_ic_rows(spark, sf_dir), "close", "y", ["open_time"], least=5).where("n >= 5").select("open_time", "n", r("corr", "corr"))
+    """The correlation across symbols at each time, its mean by month, over all, and the ratio of the months' mean to their
+    deviation."""
+    month = lambda t: F.date_format(F.timestamp_micros(t), "yyyyMM").cast("long")
+    out = reports.cross_section_ic(_ic_rows(spark, sf_dir), "close", "y", month(F.col("open_time")), month(F.col("open_time") + DAY), 5)
+    return out.select("kind", "period", "n", r("value", "value"), r("ratio", "ratio"))
 
 
 _M = dict(_POS, m="SELECT symbol, count(net) AS n, sum(net) AS total, avg(net) AS mean, avg(net) * 8760 AS annual, avg(net) / nullif(stddev_samp(net), 0) AS sharpe, avg(turnover) AS turnover, count(*) - count(net) AS unknown FROM p5 GROUP BY symbol")
@@ -253,8 +300,14 @@ def full_sessions(spark, sf_dir):
     return sessions.full_sessions(bars(spark, sf_dir, HOUR), HOUR, 9, 16)
 
 
-@query("A-38", "SELECT count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events")
-def digest_counts(spark, sf_dir):
-    rows = ticks(spark, sf_dir)
-    ends = [F.min("event_id").alias("first"), F.max("event_id").alias("last")]
-    return quality.order_free_digest(rows, "event_id", "price", also=ends).select("n", "first", "last")
+def _digested(*columns: str) -> str:
+    """Sums and xors of the first 60 bits of MD5 digests, by column and of whole rows, in SQL."""
+    text = {"row": f"concat_ws('|', {', '.join(columns)})"} | {c: c for c in columns}
+    return " UNION ALL ".join(f"SELECT '{n}' AS part, count(*) AS n, (sum(d) % 1000000007)::BIGINT AS total, bit_xor(d) AS mixed FROM (SELECT ('0x' || substr(md5({c}), 1, 15))::BIGINT AS d FROM x)" for n, c in text.items())
+
+
+@query("A-38", sql(_digested("event_id", "symbol", "t", "cents"), x="SELECT event_id::VARCHAR AS event_id, symbol, t::VARCHAR AS t, (round(price * 10000)::BIGINT)::VARCHAR AS cents FROM ticks"))
+def digests(spark, sf_dir):
+    """Digests of the ticks, whole and by column, that don't depend on the order of rows."""
+    rows = ticks(spark, sf_dir).select(F.col("event_id").cast("string"), "symbol", F.col("t").cast("string"), F.round(F.col("price") * 10000).cast("long").cast("string").alias("cents"))
+    return quality.order_free_digests(rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.plans.base import DAY, HOUR, bars, query, r, sql
+from barloom.plans.base import DAY, HOUR, bars, query, r, sql, table
 from barloom.sources import stores
 from barloom.streaming import closed_bars as cb
 
@@ -39,37 +39,40 @@ def messages(spark, sf_dir):
     other = rows.where("hx % 29 = 0").withColumns({"seq": F.col("hx") * 10 + 2, "close": F.col("close") + 1, "high": F.greatest("high", F.col("close") + 1)})
     sent = usual.unionByName(update).unionByName(again).unionByName(other)
     body = cb.encode(sent.withColumn("_", F.lit(0)), "1h", F.col("closed"), keep=["seq", "bad"])
+    body = body.withColumn("arrived", F.col("seq") * (HOUR // 10) + HOUR)
     part = F.least(F.expr(f"(seq - 10 * {1704067200000000 // HOUR}) div 2400"), F.lit(PARTS - 1))
-    return body.select(F.when(F.col("bad"), F.concat(F.lit("{broken"), F.substring("body", 1, 20))).otherwise(F.col("body")).alias("body"), "seq", part.alias("part"))
+    return body.select(F.when(F.col("bad"), F.concat(F.lit("{broken"), F.substring("body", 1, 20))).otherwise(F.col("body")).alias("body"), "seq", "arrived", part.alias("part"))
 
 
 def _source(spark, root):
-    return spark.readStream.schema("body string, seq long").parquet(f"{root}/in")
+    return spark.readStream.schema("body string, seq long, arrived long").parquet(f"{root}/in")
 
 
 _RUNS: dict[tuple[str, str], str] = {}
+#: A symbol that has had no fresh close for so long is silent.
+SILENCE = HOUR // 2
 
 
 def followed(spark, sf_dir):
     """The folder of a feed followed to its end: its messages come in three parts, and the stream is stopped and started again
     from its checkpoint in between. Once a session and path."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, stores.listing(table(spark, sf_dir, "events")))
     if key not in _RUNS:
         root = stores.shared_root(spark, "streams")
-        feed = messages(spark, sf_dir)
+        feed = stores.settle(messages(spark, sf_dir))
         for part in range(PARTS):
             feed.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{root}/in")
-            cb.follow(_source(spark, root), root, HOUR)
+            cb.follow(_source(spark, root), root, HOUR, SILENCE // 1000).write.mode("append").parquet(f"{root}/progress")
         _RUNS[key] = root
     return _RUNS[key]
 
 
 def _told(spark, sf_dir):
-    return spark.read.parquet(f"{followed(spark, sf_dir)}/events")
+    return cb.sunk(spark, followed(spark, sf_dir), "events").where("event <> 'HALT'")
 
 
 def _kept(spark, sf_dir):
-    return spark.read.parquet(f"{followed(spark, sf_dir)}/bars")
+    return cb.sunk(spark, followed(spark, sf_dir), "bars")
 
 
 @query("R-01", sql("SELECT status, count(*) AS n, round(sum(CASE WHEN status <> 'malformed' THEN close END), 4) AS total FROM m GROUP BY status", **_FEED))
@@ -94,7 +97,7 @@ def watermarks(spark, sf_dir):
 def late_rows(spark, sf_dir):
     """Late rows are told, and the last mark is that of the accepted bars alone."""
     late = _told(spark, sf_dir).groupBy("symbol").agg(F.count_if(F.col("event") == "OUT_OF_ORDER").alias("late"))
-    marks = spark.read.parquet(f"{followed(spark, sf_dir)}/marks").groupBy("symbol").agg(F.max("mark").alias("mark"))
+    marks = _kept(spark, sf_dir).groupBy("symbol").agg(F.max("open_time").alias("mark"))
     return marks.join(late, "symbol", "left").select("symbol", F.coalesce("late", F.lit(0).cast("long")).alias("late"), "mark")
 
 
@@ -118,18 +121,29 @@ def stream_summary(spark, sf_dir):
     return cb.summary(_kept(spark, sf_dir), _told(spark, sf_dir))
 
 
-@query("R-07", sql(f"SELECT symbol, 'HALT' AS event, (SELECT max(open_time) FROM a2 WHERE event IN ('ACCEPTED', 'GAP')) - max(open_time) AS late FROM a2 WHERE event IN ('ACCEPTED', 'GAP') GROUP BY symbol HAVING (SELECT max(open_time) FROM a2 WHERE event IN ('ACCEPTED', 'GAP')) - max(open_time) > 0", **_FEED))
+_PART = f"least((seq - 10 * {1704067200000000 // HOUR}) // 2400, {PARTS - 1})"
+_ARRIVED = f"seq * {HOUR // 10} + {HOUR}"
+
+
+@query(
+    "R-07",
+    sql(
+        f"""SELECT DISTINCT symbol, mark, expires FROM (SELECT k.p, symbol, max_by(open_time, seq) AS mark, max({_ARRIVED}) + {SILENCE} AS expires
+          FROM k JOIN a2 ON {_PART} <= k.p WHERE event IN ('ACCEPTED', 'GAP') GROUP BY ALL) JOIN (SELECT k.p, max({_ARRIVED}) - 1000000 AS clock FROM k JOIN m ON {_PART} <= k.p GROUP BY ALL) USING (p) WHERE expires <= clock""",
+        **_FEED,
+        k=f"SELECT DISTINCT {_PART} AS p FROM m",
+    ),
+)
 def stale_symbols(spark, sf_dir):
-    """Symbols whose last accepted bar is older than that of the freshest symbol, by the stream's marks."""
-    marks = spark.read.parquet(f"{followed(spark, sf_dir)}/marks").groupBy("symbol").agg(F.max("mark").alias("mark"))
-    now = marks.agg(F.max("mark")).first()[0] + HOUR  # one row a symbol
-    return cb.halts(marks, now, HOUR, 0)
+    """One HALT for each silence, by the timers of the stream's state: no message of the symbol itself is needed."""
+    halts = cb.sunk(spark, followed(spark, sf_dir), "events").where("event = 'HALT'")
+    return halts.select("symbol", F.col("open_time").alias("mark"), F.col("arrived").alias("expires"))
 
 
 @query("R-10", sql(f"SELECT symbol, open_time, CASE WHEN open_time - lag(open_time, 1) OVER w = {HOUR} AND close > 0 AND lag(close) OVER w > 0 THEN round(ln(close / lag(close) OVER w), 6) + 0.0 END AS return_1 FROM a2 WHERE event IN ('ACCEPTED', 'GAP') WINDOW w AS (PARTITION BY symbol ORDER BY open_time) QUALIFY open_time >= 1706140800000000", **_FEED))
 def live_features(spark, sf_dir):
     """The last days' bars as they came, with the stored ones before them as history."""
-    rows = _kept(spark, sf_dir).drop("batch", "seq", "event_time")
+    rows = _kept(spark, sf_dir).drop("event", "missing", "seq", "arrived", "event_time")
     edge = 1706140800000000
     new, stored = rows.where(F.col("open_time") >= edge), rows.where(F.col("open_time") < edge)
     return cb.live_features(new, stored, HOUR, ["return_1", "taker_ratio"]).select("symbol", "open_time", r("return_1", "return_1"))
@@ -171,11 +185,11 @@ def stream_resampled(spark, sf_dir):
     return out.select("symbol", "open_time", r("close", "close"), "volume")
 
 
-@query("R-09", sql(f"SELECT symbol, open_time // {DAY} AS day, count(*) AS n FROM h GROUP BY ALL"))
+@query("R-09", sql(f"SELECT symbol, open_time // {DAY} AS day, count(*) AS n, 0::BIGINT AS early FROM h GROUP BY ALL"))
 def replayed(spark, sf_dir):
-    """History replayed as a stream in order of close time, then symbol."""
+    """History replayed as a stream in order of close time, then symbol, in batches; ``early`` counts rows that come in a later
+    batch than a row that closes after them."""
     root = stores.shared_root(spark, "streams")
-    bars(spark, sf_dir, HOUR).orderBy("close_time", "symbol").write.parquet(f"{root}/in")
-    schema = spark.read.parquet(f"{root}/in").schema
-    cb.drain(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in").select("symbol", "open_time"), f"{root}/out", f"{root}/state")
-    return spark.read.parquet(f"{root}/out").groupBy("symbol", F.expr(f"open_time div {DAY}").alias("day")).agg(F.count("*").alias("n"))
+    cb.replay(bars(spark, sf_dir, HOUR), root, pieces=6)
+    rows = cb.replayed(spark, root)
+    return rows.groupBy("symbol", F.expr(f"open_time div {DAY}").alias("day")).agg(F.count("*").alias("n"), F.count_if("early").alias("early"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions import clock, ts
-from barloom.operators import joins, ledger, quality, registry
+from barloom.operators import features, joins, ledger, quality, registry
 from barloom.plans.base import DAY, HOUR, bars, query, r, sql, table, ticks
 from barloom.sources import readers, stores
 
@@ -16,13 +16,13 @@ _STAMP = "(epoch_us({}))"
 
 def _store(spark, sf_dir):
     """The hourly bars of the tables as a partitioned store in the shared folder, written once a session and path."""
-    return stores.session_store(spark, sf_dir, lambda: bars(spark, sf_dir, HOUR))
+    return stores.session_store(spark, "bars", table(spark, sf_dir, "events"), lambda: bars(spark, sf_dir, HOUR))
 
 
-@query("S-03", sql("SELECT symbol, open_time, close FROM h WHERE symbol IN ('click', 'view') AND open_time BETWEEN 1704844800000000 AND 1705276799999999"))
+@query("S-03", sql("SELECT symbol, open_time, close FROM h WHERE symbol IN ('click', 'view') AND open_time BETWEEN 1704844800000000 AND 1705276799999999 ORDER BY open_time, symbol"))
 def pruned_scan(spark, sf_dir):
     rows = stores.load_bars(spark, _store(spark, sf_dir), ["click", "view"], clock.to_micros("2024-01-10"), clock.to_micros("2024-01-14", end=True))
-    return rows.select("symbol", "open_time", "close")
+    return rows.select("symbol", "open_time", "close").orderBy("open_time", "symbol")
 
 
 @query("K-01", sql("SELECT symbol, count(*) AS n, round(sum(close), 4) AS total FROM h GROUP BY symbol"))
@@ -37,7 +37,7 @@ def stored_symbols(spark, sf_dir):
 
 @query("S-06", sql("SELECT symbol, min(open_time) AS first FROM h GROUP BY symbol"))
 def first_times(spark, sf_dir):
-    return spark.read.parquet(_store(spark, sf_dir)).groupBy("symbol").agg(F.min("open_time").alias("first"))
+    return stores.statistics(spark, _store(spark, sf_dir), "symbol").select("symbol", "first")
 
 
 @query("S-10", sql("SELECT symbol, open_time, round(close, 6) AS close, CASE WHEN volume < 3 THEN 'thin' ELSE 'kept' END AS status FROM h"))
@@ -73,7 +73,7 @@ def repeated_keys(spark, sf_dir):
 
 @query("A-03", sql("SELECT count(*) AS n, min(open_time) AS first, max(open_time) AS last FROM h"))
 def snapshot_stats(spark, sf_dir):
-    return bars(spark, sf_dir, HOUR).agg(F.count("*").alias("n"), F.min("open_time").alias("first"), F.max("open_time").alias("last"))
+    return stores.statistics(spark, _store(spark, sf_dir))
 
 
 @query("A-04", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL")
@@ -103,13 +103,10 @@ def snapshot_check(spark, sf_dir):
     return quality.snapshot_changes(old.drop("page_id"), new.drop("page_id"))
 
 
-@query("Q-12", sql(f"SELECT symbol, open_time, round(avg(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 6) AS cut, round(avg(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 6) AS whole FROM h QUALIFY count(*) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) = 12 AND open_time < 1705276800000000"))
+@query("Q-12", sql("SELECT name, count(*) AS n, 0::BIGINT AS different FROM h CROSS JOIN (VALUES " + ", ".join(f"('{n}')" for n in features.names()) + ") v(name) WHERE open_time < 1705276800000000 GROUP BY name"))
 def causality(spark, sf_dir):
-    """A feature on a prefix of the history next to the same feature on all of it."""
-    rows, at = bars(spark, sf_dir, HOUR), 1705276800000000
-    make = lambda b, name: b.select("symbol", "open_time", r(ts.mean(F.col("close"), 12), name))
-    both = make(rows.where(F.col("open_time") < at), "cut").join(make(rows, "whole"), ["symbol", "open_time"])
-    return both.where("whole is not null")
+    """Every registered feature on a prefix of the history against the same feature on all of it: where the two differ."""
+    return features.causality(bars(spark, sf_dir, HOUR), HOUR, 1705276800000000)
 
 
 @query("P-02", "SELECT o_orderkey, TRY_CAST(nullif(substr(o_orderpriority, 1, 1), '5') AS DOUBLE) AS number, TRY_CAST(o_orderstatus AS DOUBLE) AS status FROM orders")
@@ -124,9 +121,23 @@ def complete_bars(spark, sf_dir):
     return bars(spark, sf_dir, HOUR).groupBy("symbol").agg(F.count_if(ok).alias("complete"), F.count("*").alias("n"))
 
 
-@query("P-05", sql(f"SELECT symbol, open_time FROM h WHERE isodow(make_timestamp(open_time + 19800000000)) < 6 AND ((open_time + 19800000000) % {DAY}) // 60000000 BETWEEN 555 AND 929"))
+_LOCAL = f"(open_time + 19800000000) // {DAY}"
+#: Special sessions: local days since 1970 with their first and last minute; one is a Saturday, one shortens a weekday.
+SPECIAL = [(19736, 825, 885), (19739, 600, 720)]
+
+
+@query(
+    "P-05",
+    sql(
+        f"""SELECT symbol, open_time, s.day IS NOT NULL AS special FROM h LEFT JOIN (VALUES {", ".join(map(str, SPECIAL))}) s(day, lo, hi) ON s.day = {_LOCAL}
+        WHERE CASE WHEN s.day IS NULL THEN isodow(make_timestamp(open_time + 19800000000)) < 6 AND ((open_time + 19800000000) % {DAY}) // 60000000 BETWEEN 555 AND 929
+          ELSE ((open_time + 19800000000) % {DAY}) // 60000000 >= lo AND ((open_time + 19800000000) % {DAY}) // 60000000 < hi END AND open_time % 60000000 = 0"""
+    ),
+)
 def session_bars(spark, sf_dir):
-    return bars(spark, sf_dir, HOUR).where(clock.in_session(F.col("open_time"))).select("symbol", "open_time")
+    """Bars of the usual sessions and, in place of a day's usual one, of its special session."""
+    special = spark.createDataFrame(SPECIAL, "day long, lo int, hi int")
+    return clock.session_bars(bars(spark, sf_dir, HOUR), special).select("symbol", "open_time", "special")
 
 
 @query("P-06", sql("SELECT symbol, open_time FROM h WHERE low <= least(open, close) + 1e-9 AND high + 1e-9 >= greatest(open, close)"))
@@ -143,10 +154,23 @@ def purged_splits(spark, sf_dir):
     return clock.assign(rows, _SPLIT, "done").where("split <> 'outside'").groupBy("symbol", "split").agg(F.count_if(F.col("fate") == "kept").alias("kept"), F.count_if(F.col("fate") == "purged").alias("purged"))
 
 
-@query("P-12", "SELECT * FROM (VALUES ('train', 14::BIGINT), ('valid', 10), ('test', 6)) v(split, days) WHERE EXISTS (SELECT 1 FROM events)")
-def split_days(spark, sf_dir):
-    days = ticks(spark, sf_dir).select((F.expr(f"t div {DAY}") * DAY).alias("open_time")).distinct().withColumn("done", F.col("open_time"))
-    return clock.assign(days, _SPLIT, "done").where("split <> 'outside'").groupBy("split").agg(F.count("*").alias("days"))
+#: Splits with a day between each two, kept free for labels that reach over an edge.
+APART = [("train", 1704067200000000, 1705190400000000), ("valid", 1705276800000000, 1706054400000000), ("test", 1706140800000000, 1706659200000000)]
+HORIZONS = (1, 4, 24, 48)
+
+
+@query(
+    "P-12",
+    sql(
+        f"""SELECT symbol, split, horizon, horizon * {HOUR} > {DAY} AS refused, count(*) AS n, count(*) FILTER (horizon * {HOUR} <= {DAY} AND open_time + horizon * {HOUR} < hi) AS usable
+        FROM h JOIN (VALUES {", ".join(map(str, APART))}) s(split, lo, hi) ON open_time >= lo AND open_time < hi CROSS JOIN (VALUES {", ".join(f"({x}::BIGINT)" for x in HORIZONS)}) v(horizon) GROUP BY ALL"""
+    ),
+)
+def split_windows(spark, sf_dir):
+    """Bars of half-open windows for labels of several horizons; one that is longer than the embargo is refused."""
+    rows = bars(spark, sf_dir, HOUR).select("symbol", "open_time", F.explode(F.array(*[F.lit(h).cast("long") for h in HORIZONS])).alias("horizon"))
+    rows = clock.windows(rows, APART, F.col("horizon") * HOUR, DAY).where("split <> 'outside'")
+    return rows.groupBy("symbol", "split", "horizon").agg(F.bool_or("refused").alias("refused"), F.count("*").alias("n"), F.count_if("usable").alias("usable"))
 
 
 @query("J-03", sql(f"SELECT a.symbol, a.open_time, b.close AS day_close FROM h a LEFT JOIN d b USING (symbol, open_time)"))
@@ -167,10 +191,15 @@ def restricted(spark, sf_dir):
     return bars(spark, sf_dir, HOUR).select(*k).join(bars(spark, sf_dir, DAY).select(*k), k, "left_semi")
 
 
-@query("J-07", sql("SELECT symbol, open_time, grp FROM d JOIN (VALUES ('click', 1704067200000000, 1704931200000000, 'a'), ('click', 1704931200000000, 1706659200000000, 'b'), ('view', 1704499200000000, 1705276800000000, 'a')) m(symbol, lo, hi, grp) USING (symbol) WHERE open_time >= lo AND open_time < hi"))
+MEMBERS = [("click", 1704067200000000, 1704931200000000, 1704067200000000, "a"), ("click", 1704931200000000, 1706659200000000, 1705017600000000, "b"), ("view", 1704499200000000, 1705276800000000, 1704844800000000, "a")]
+_MEMBERS = f"(VALUES {', '.join(map(str, MEMBERS))}) m(symbol, lo, hi, listed, grp)"
+
+
+@query("J-07", sql(f"SELECT symbol, open_time, grp, open_time >= listed AS tradable FROM d JOIN {_MEMBERS} USING (symbol) WHERE open_time >= lo AND open_time < hi"))
 def memberships(spark, sf_dir):
-    m = spark.createDataFrame([("click", 1704067200000000, 1704931200000000, "a"), ("click", 1704931200000000, 1706659200000000, "b"), ("view", 1704499200000000, 1705276800000000, "a")], "symbol string, lo long, hi long, grp string")
-    return joins.interval(bars(spark, sf_dir, DAY), m).select("symbol", "open_time", "grp")
+    """Membership by day, and whether the member was listed by then."""
+    m = spark.createDataFrame(MEMBERS, "symbol string, lo long, hi long, listed long, grp string")
+    return joins.interval(bars(spark, sf_dir, DAY), m).select("symbol", "open_time", "grp", (F.col("open_time") >= F.col("listed")).alias("tradable"))
 
 
 @query("J-08", sql(f"SELECT symbol, open_time, CASE WHEN open_time - lag(open_time) OVER {_W} = {HOUR} THEN lag(close > open) OVER {_W} END AS rising_before FROM h"))
@@ -199,9 +228,21 @@ def reconciled(spark, sf_dir):
     return joins.reconcile(left, right, "key", "value")
 
 
-@query("J-17", sql(f"SELECT s.symbol, e.t AS open_time FROM (SELECT DISTINCT symbol FROM h) s CROSS JOIN (SELECT unnest(range(1704067200000000, 1706659200000000, {HOUR})) AS t) e WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.symbol = s.symbol AND h.open_time = e.t)"))
-def missing_hours(spark, sf_dir):
-    return joins.missing_times(bars(spark, sf_dir, HOUR), 1704067200000000, 1706659200000000, HOUR)
+_AUDIT = dict(
+    cal=f"SELECT unnest(range(1704067200000000, 1706659200000000, {DAY})) AS day",
+    ex=f"SELECT symbol, day FROM (SELECT DISTINCT symbol FROM h) CROSS JOIN cal WHERE day // {DAY} % 7 <> 2",
+    obs=f"SELECT symbol, open_time // {DAY} * {DAY} AS day, count(*) AS n FROM h WHERE open_time // {DAY} % 11 <> 3 GROUP BY ALL",
+)
+
+
+@query("J-17", sql("SELECT coalesce(ex.symbol, obs.symbol) AS symbol, coalesce(ex.day, obs.day) AS day, CASE WHEN obs.day IS NULL THEN 'missing' WHEN ex.day IS NULL THEN 'unexpected' ELSE 'incomplete' END AS status, coalesce(n, 0) AS n FROM ex FULL JOIN obs ON ex.symbol = obs.symbol AND ex.day = obs.day WHERE obs.day IS NULL OR ex.day IS NULL OR n <> 24", **_AUDIT))
+def calendar_audit(spark, sf_dir):
+    """Days that are missing, that the calendar doesn't have, or whose bars are not complete."""
+    day = F.expr(f"open_time div {DAY}")
+    rows = bars(spark, sf_dir, HOUR).where(day % 11 != 3).select("symbol", (day * DAY).alias("day"))
+    calendar = spark.range(1704067200000000, 1706659200000000, DAY).select(F.col("id").alias("day")).where(F.expr(f"day div {DAY}") % 7 != 2).withColumn("slots", F.lit(24))
+    every = bars(spark, sf_dir, HOUR).select("symbol").distinct()
+    return joins.calendar_audit(rows, every, calendar)
 
 
 @query("U-02", sql("SELECT symbol, open_time FROM h INTERSECT SELECT symbol, open_time FROM d"))
@@ -271,18 +312,31 @@ def pooled(spark, sf_dir):
     return table(spark, sf_dir, "orders").rollup(F.col("o_orderpriority").alias("grp")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
-@query("A-26", "SELECT bin, count(*) AS n, round(avg(p), 6) AS mean, round(avg(y), 6) AS rate, round(avg((p - y) * (p - y)), 6) AS brier FROM (SELECT least(floor(l_discount * 10 * 10 / 1.0), 9)::BIGINT AS bin, l_discount * 10 AS p, (l_returnflag = 'R')::INT AS y FROM (SELECT l_returnflag, least(l_discount, 0.1) AS l_discount FROM lineitem)) GROUP BY bin")
+@query(
+    "A-26",
+    "SELECT bin, count(*) AS n, round(avg(p), 6) AS mean, round(avg(y), 6) AS rate, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(-ln(CASE WHEN y = 1 THEN greatest(p, 2.220446049250313e-16) ELSE greatest(1 - p, 2.220446049250313e-16) END)), 6) + 0.0 AS log_loss FROM (SELECT least(floor(l_discount * 10 * 10 / 1.0), 9)::BIGINT AS bin, l_discount * 10 AS p, (l_returnflag = 'R')::INT AS y FROM (SELECT l_returnflag, least(l_discount, 0.1) AS l_discount FROM lineitem)) GROUP BY GROUPING SETS ((bin), ())",
+)
 def reliability(spark, sf_dir):
+    """Ten equal bins of a probability, and all of them (bin NULL): mean, rate, Brier score and log loss."""
     p = F.least("l_discount", F.lit(0.1)) * 10
     rows = table(spark, sf_dir, "lineitem").select(p.alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("y"), F.least(F.floor(F.least("l_discount", F.lit(0.1)) * 10 * 10 / 1.0), F.lit(9)).cast("long").alias("bin"))
-    return registry.reliability(rows).select("bin", "n", r("mean", "mean"), r("rate", "rate"), r("brier", "brier"))
+    return registry.reliability(rows).select("bin", "n", r("mean", "mean"), r("rate", "rate"), r("brier", "brier"), r("log_loss", "log_loss"))
 
 
-@query("A-34", sql("SELECT open_time, array_to_string(list(symbol ORDER BY symbol) FILTER (volume >= 50), ',') AS tradable, array_to_string(list(symbol ORDER BY symbol), ',') AS members FROM d GROUP BY open_time"))
+@query(
+    "A-34",
+    sql(
+        f"""SELECT open_time, string_agg(symbol, ',' ORDER BY symbol) AS members, string_agg(symbol, ',' ORDER BY symbol) FILTER (open_time >= listed) AS tradable, string_agg(symbol, ',' ORDER BY symbol) FILTER (open_time < listed) AS unlisted
+        FROM (SELECT DISTINCT open_time FROM d) JOIN {_MEMBERS} ON open_time >= lo AND open_time < hi GROUP BY open_time"""
+    ),
+)
 def universe_days(spark, sf_dir):
-    on = F.array_join(F.array_sort(F.collect_list(F.when(F.col("volume") >= 50, F.col("symbol")))), ",")
-    every = F.array_join(F.array_sort(F.collect_list("symbol")), ",")
-    return bars(spark, sf_dir, DAY).groupBy("open_time").agg(F.nullif(on, F.lit("")).alias("tradable"), every.alias("members"))
+    """Each day's members, those that can be traded, and those that are not yet listed."""
+    days = bars(spark, sf_dir, DAY).select("open_time").distinct()
+    m = spark.createDataFrame(MEMBERS, "symbol string, lo long, hi long, listed long, grp string")
+    found = joins.universe(days, m)
+    text = lambda c: F.nullif(F.array_join(c, ","), F.lit(""))
+    return found.select("open_time", *[text(c).alias(c) for c in ("members", "tradable", "unlisted")])
 
 
 _FILLS = "SELECT user_id, t, event_id, CASE symbol WHEN 'purchase' THEN 1 ELSE -1 END * (k + 1)::DOUBLE AS signed, price FROM ticks WHERE symbol IN ('purchase', 'click')"
@@ -318,7 +372,7 @@ def replay(spark, sf_dir):
     ),
 )
 def average_cost(spark, sf_dir):
-    """Final quantity, average cost, realised P&L and fees of each account by an exact decimal fold."""
+    """Final quantity, average cost, realised P&L and fees of each account, composed over pieces of its fills."""
     out = ledger.book(_fills(spark, sf_dir), "user_id", 10.0)
     places = (("quantity", 6), ("average", 6), ("realised", 3), ("fees", 5))
     return out.select("account", *[(F.round(c, n) + 0.0).alias(c) for c, n in places])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.functions import ts
-from barloom.operators import cross_section, features, pnl, sessions
+from barloom.functions import scan, ts
+from barloom.operators import cross_section, features, intraday, pnl, sessions
 from barloom.plans.base import DAY, HOUR, bars, query, r, sql, ticks
 
 _W = "(PARTITION BY symbol ORDER BY open_time)"
@@ -40,12 +40,12 @@ _feature("W-03", lambda: ts.log_return(close(), 6, HOUR), f"CASE WHEN close > 0
 _feature("W-04", lambda: ts.mean(close(), 12, HOUR), f"avg(close) OVER {_frame(12)}", 12)
 _feature("W-05", lambda: ts.std(close(), 12, HOUR), f"stddev_samp(close) OVER {_frame(12)}", 12)
 _feature("W-06", lambda: ts.zscore(close(), 12, HOUR), f"(close - avg(close) OVER {_frame(12)}) / nullif(stddev_samp(close) OVER {_frame(12)}, 0)", 12)
-_feature(
-    "W-07",
-    lambda: ts.rank(close(), 12, HOUR),
-    f"(len(list_filter(list(close) OVER {_frame(12)}, lambda x: x < close)) + (len(list_filter(list(close) OVER {_frame(12)}, lambda x: x = close)) + 1) / 2) / 12",
-    12,
-)
+@query("W-07", sql(f"SELECT symbol, open_time, round(CASE WHEN coalesce(open_time - lag(open_time, 47) OVER {_W} = 47 * {HOUR}, false) THEN (len(list_filter(l, lambda x: x < close)) + (len(list_filter(l, lambda x: x = close)) + 1) / 2) / 48 END, 6) + 0.0 AS value FROM (SELECT *, list(close) OVER {_frame(48)} AS l FROM h)"))
+def percentile_ranks(spark, sf_dir):
+    """Trailing percentile rank over two days, by sorted blocks of pieces of ten days."""
+    return ts.ranked(bars(spark, sf_dir, HOUR), "close", 48, HOUR, chunk=240).select("symbol", "open_time", r("value", "value"))
+
+
 _feature("W-08", lambda: ts.ratio(close(), ts.mean(close(), 12, HOUR)) - 1, f"close / nullif(avg(close) OVER {_frame(12)}, 0) - 1", 12)
 _feature("W-10", lambda: ts.parkinson(12, HOUR), f"sqrt(avg(pow(ln(high / low), 2)) OVER {_frame(12)} / (4 * ln(2)))", 12)
 _GK = "0.5 * pow(ln(high / low), 2) - (2 * ln(2) - 1) * pow(ln(close / open), 2)"
@@ -228,10 +228,18 @@ def vwap(spark, sf_dir):
     return sessions.vwap(bars(spark, sf_dir, HOUR)).select("symbol", "open_time", r("vwap", "vwap"))
 
 
-@query("W-29", sql("SELECT open_time, symbol, rk FROM (SELECT open_time, symbol, row_number() OVER (PARTITION BY open_time ORDER BY volume DESC, symbol) AS rk FROM h) WHERE rk <= 2"))
+@query(
+    "W-29",
+    sql(
+        f"""SELECT symbol, day, round(rvol, 6) AS rvol, rk FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY rvol DESC, symbol) AS rk FROM
+          (SELECT symbol, day, CASE WHEN count(v) OVER z = 3 THEN v / nullif(avg(v) OVER z, 0) END AS rvol FROM (SELECT symbol, open_time // {DAY} * {DAY} AS day, sum(volume) FILTER (open_time % {DAY} < 6 * {HOUR}) AS v FROM h GROUP BY ALL)
+            WINDOW z AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) WHERE rvol IS NOT NULL) WHERE rk <= 20"""
+    ),
+)
 def top_volume(spark, sf_dir):
-    w = Window.partitionBy("open_time").orderBy(F.desc("volume"), "symbol")
-    return bars(spark, sf_dir, HOUR).withColumn("rk", F.row_number().over(w).cast("long")).where("rk <= 2").select("open_time", "symbol", "rk")
+    """The 20 symbols of each day whose opening volume is largest against the sessions before."""
+    rows = intraday.slots(bars(spark, sf_dir, HOUR), HOUR)
+    return intraday.busiest(intraday.opening_volume(rows, 6, 3), 20).select("symbol", "day", r("rvol", "rvol"), "rk")
 
 
 @query("W-31", sql(f"SELECT symbol, open_time, CASE WHEN s = 1 AND coalesce(p, 0) = 0 THEN 'entry' WHEN s = 0 AND p = 1 THEN 'exit' WHEN s = 1 THEN 'hold' ELSE 'flat' END AS state FROM (SELECT *, lag(s) OVER {_W} AS p FROM (SELECT *, (close > open)::INT AS s FROM h))"))
@@ -240,27 +248,57 @@ def state_changes(spark, sf_dir):
     return sessions.state_changes(rows, "s").select("symbol", "open_time", "state")
 
 
-@query(
-    "W-33",
-    sql(
-        f"SELECT symbol, g, any_value(up) AS up, min(open_time) AS first, max(open_time) AS last, count(*) AS n FROM (SELECT *, (sum(chg) OVER {_W})::BIGINT AS g FROM (SELECT *, coalesce((up <> lag(up) OVER {_W})::INT, 1) AS chg FROM (SELECT *, close > open AS up FROM d))) GROUP BY symbol, g"
-    ),
+_IDENTITY = dict(
+    e=f"SELECT symbol, open_time AS day, symbol || '-' || (open_time // {DAY} // 10) AS isin, round(high / low, 6) AS high_ratio, CASE WHEN open_time // {DAY} % 9 IN (4, 5) THEN 1.2 ELSE 1.0 END AS low_ratio FROM d",
+    i="SELECT *, least(high_ratio, low_ratio) > 1.05 OR greatest(high_ratio, low_ratio) < 0.95 AS shifted FROM e",
+    g0="SELECT *, coalesce((isin <> lag(isin) OVER w OR shifted <> lag(shifted) OVER w)::INT, 1) AS chg FROM i WINDOW w AS (PARTITION BY symbol ORDER BY day)",
+    g1="SELECT *, (sum(chg) OVER (PARTITION BY symbol ORDER BY day))::BIGINT AS g FROM g0",
 )
-def runs(spark, sf_dir):
-    rows = bars(spark, sf_dir, DAY).withColumn("up", close() > F.col("open"))
-    return sessions.runs(rows, "up").select("symbol", "g", "up", "first", "last", "n")
+
+
+@query("W-33", sql("SELECT symbol, g, any_value(isin) AS isin, any_value(shifted) AS shifted, min(day) AS first, max(day) AS last, count(*) AS n, min(least(high_ratio, low_ratio)) AS low, max(greatest(high_ratio, low_ratio)) AS high FROM g1 GROUP BY symbol, g", **_IDENTITY))
+def identity_runs(spark, sf_dir):
+    """Stretches of days with one identity (ISIN, and whether prices are shifted against the reference)."""
+    day = F.expr(f"open_time div {DAY}")
+    isin = F.concat("symbol", F.lit("-"), F.expr(f"open_time div {DAY} div 10").cast("string"))
+    rows = bars(spark, sf_dir, DAY).select("symbol", "open_time", isin.alias("isin"), F.round(F.col("high") / F.col("low"), 6).alias("high_ratio"), F.when((day % 9).isin(4, 5), 1.2).otherwise(1.0).alias("low_ratio"))
+    return sessions.identity_runs(rows, DAY).select("symbol", "g", "isin", "shifted", "first", "last", "n", "low", "high")
 
 
 @query("W-34", sql(f"SELECT symbol, open_time, row_number() OVER {_W} AS seq, coalesce(open_time - lag(open_time) OVER {_W} > {HOUR}, false) AS after_gap FROM h"))
 def sequence(spark, sf_dir):
-    w = ts.over()
-    return bars(spark, sf_dir, HOUR).select("symbol", "open_time", F.row_number().over(w).cast("long").alias("seq"), F.coalesce(F.col("open_time") - F.lag("open_time").over(w) > HOUR, F.lit(False)).alias("after_gap"))
+    rows = scan.scanned(bars(spark, sf_dir, HOUR), ["symbol"], scan.by_time(HOUR, 240), ["open_time"], sums={"seq": F.lit(1).cast("long")}, before={"last": F.col("open_time")})
+    return rows.select("symbol", "open_time", "seq", F.coalesce(F.col("open_time") - F.col("last") > HOUR, F.lit(False)).alias("after_gap"))
+
+
+def _known(n: int, column: str, value: str) -> str:
+    """``value`` where the last n values of a column are known and one step apart."""
+    return f"CASE WHEN {_CONTIG.format(n=n - 1)} AND count({column}) OVER {_frame(n)} = {n} THEN {value} END"
+
+
+_REGISTERED = (
+    {f"return_{n}": f"CASE WHEN {_CONTIG.format(n=n)} AND close > 0 AND lag(close, {n}) OVER {_W} > 0 THEN ln(close / lag(close, {n}) OVER {_W}) END" for n in (1, 6, 24)}
+    | {f"distance_{n}": _known(n, "close", f"close / nullif(avg(close) OVER {_frame(n)}, 0) - 1") for n in (12, 48, 168)}
+    | {f"volatility_{n}": f"CASE WHEN count(ret) OVER {_frame(n)} = {n} THEN stddev_samp(ret) OVER {_frame(n)} END" for n in (24, 168)}
+    | {"parkinson_24": _known(24, "pk", f"sqrt(avg(pk) OVER {_frame(24)} / (4 * ln(2)))"), "garman_klass_24": _known(24, "gk", f"CASE WHEN avg(gk) OVER {_frame(24)} >= 0 THEN sqrt(avg(gk) OVER {_frame(24)}) END")}
+    | {f"{n}_z_168": _known(168, c, f"({c} - avg({c}) OVER {_frame(168)}) / nullif(stddev_samp({c}) OVER {_frame(168)}, 0)") for n, c in (("volume", "volume"), ("dollar", "quote_volume"), ("taker", "tk"), ("trades", "trades"))}
+    | {"dollar_volume": "CASE WHEN quote_volume >= 0 THEN quote_volume END", "taker_ratio": "tk", "trade_size": "CASE WHEN trades > 0 THEN quote_volume / trades END"}
+    | {f"hour_{f}": f"{f}((open_time % {DAY} // {HOUR}) * 2 * pi() / 24)" for f in ("sin", "cos")}
+    | {f"day_{f}": f"{f}(((open_time // {DAY} + 3) % 7) * 2 * pi() / 7)" for f in ("sin", "cos")}
+)
 
 
-@query("X-01", None)
+@query(
+    "X-01",
+    sql(
+        f"SELECT symbol, open_time, {', '.join(f'round({v}, 6) + 0.0 AS {n}' for n, v in _REGISTERED.items())} FROM x",
+        x=f"SELECT *, CASE WHEN {_CONTIG.format(n=1)} AND close > 0 AND lag(close) OVER {_W} > 0 THEN ln(close / lag(close) OVER {_W}) END AS ret, CASE WHEN volume > 0 THEN taker_buy_base / volume END AS tk, pow(ln(high / low), 2) AS pk, {_GK} AS gk FROM h",
+    ),
+)
 def all_features(spark, sf_dir):
-    """All registered features of every hourly bar in one pass of windows by symbol."""
-    return features.build(bars(spark, sf_dir, HOUR), HOUR)
+    """All registered features of every hourly bar, over pieces of four weeks."""
+    rows = features.build(bars(spark, sf_dir, HOUR), HOUR, chunk=672)
+    return rows.select("symbol", "open_time", *[r(c, c) for c in features.names()])
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.ts import DAY
 
-_STORES: dict[tuple[str, str], str] = {}
+_STORES: dict[tuple[str, str, str], str] = {}
 
 
 def year_of(t: str):
@@ -39,16 +39,60 @@ def symbols(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("symbol").distinct()
 
 
+def statistics(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """Rows and first and last time of a store, by partition columns if given, from the statistics that Parquet files keep:
+    the aggregates by partition are pushed into the scan, which reads footers and no rows."""
+    parts = _scan(spark, path).groupBy("symbol", "year").agg(F.count("*").alias("n"), F.min("open_time").alias("first"), F.max("open_time").alias("last"))
+    if keys == ("symbol", "year"):
+        return parts
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """A reader that takes aggregates; Spark's default one for Parquet does not."""
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    old = "spark.sql.sources.useV1SourceList"
+    before = spark.conf.get(old)
+    spark.conf.set(old, ",".join(x for x in before.split(",") if x != "parquet"))
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(old, before)
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Rows and first and last time of every file."""
-    return spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), F.min("open_time").alias("first"), F.max("open_time").alias("last"))
+    """Rows, first and last time of every partition's files, by symbol and year; a store keeps few files in each."""
+    return statistics(spark, path, "symbol", "year")
 
 
 def write_features(frame: DataFrame, path: str) -> None:
-    """Features with their masks; computed before they are partitioned, so no year edge restarts a window."""
+    """Features with their masks; computed before they are partitioned, so no year edge restarts a window.
+
+    Only the partitions that ``frame`` has rows for are replaced. A stored partition of one of its symbols that it no longer
+    has rows for would go on serving old values, so then nothing is written and the partitions are named in the error.
+    """
     from barloom.operators.features import with_masks
 
-    write_bars(with_masks(frame), path, "overwrite")
+    rows = with_masks(frame).withColumn("year", year_of("open_time"))
+    stale = _stale(rows.select("symbol", "year").distinct(), path)
+    if stale:
+        raise ValueError(f"partitions would be stale: {', '.join(stale)}")
+    rows = rows.repartition("symbol", "year").sortWithinPartitions("symbol", "open_time").write.mode("overwrite")
+    rows.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("symbol", "year").parquet(path)
+
+
+def _stale(produced: DataFrame, path: str, most: int = 20) -> list[str]:
+    """Stored partitions (by name, ``most`` at most) of the symbols of ``produced`` that it lacks."""
+    spark = produced.sparkSession
+    try:
+        present = spark.read.parquet(path).select("symbol", "year").distinct()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return []
+    produced = settle(produced)
+    lost = present.join(produced.select("symbol").distinct(), "symbol", "left_semi").join(produced, ["symbol", "year"], "left_anti")
+    return [f"{r['symbol']}/{r['year']}" for r in lost.orderBy("symbol", "year").limit(most).collect()]
 
 
 def load_features(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -105,11 +149,26 @@ def shared_root(spark: SparkSession, kind: str) -> str:
     return f"{root}/{kind}/{uuid.uuid4().hex}"
 
 
-def session_store(spark: SparkSession, name: str, make) -> str:
-    """The path of a store written once per session and name to the folder that the cluster shares."""
-    key = (spark.sparkContext.applicationId, name)
+def listing(rows: DataFrame) -> str:
+    """A digest of the names, sizes and times of the files behind ``rows``, by which a rewritten table is told apart."""
+    m = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    found = rows.select(m.alias("f")).groupBy("f").count().agg(F.count("*"), F.sum(F.col("f").cast("decimal(38,0)"))).first()
+    return f"{found[0]}-{found[1]}"
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read again, so that several readers don't work them out again."""
+    path = shared_root(rows.sparkSession, "settled")
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def session_store(spark: SparkSession, name: str, source: DataFrame, make, write=write_bars) -> str:
+    """The path of a store written once per session, name and state of ``source``'s files to the folder that the cluster
+    shares."""
+    key = (spark.sparkContext.applicationId, name, listing(source))
     if key not in _STORES:
         path = shared_root(spark, "stores")
-        write_bars(make(), path)
+        write(make(), path)
         _STORES[key] = path
     return _STORES[key]

@@ -2,16 +2,14 @@
 
 import io
 import zipfile
-from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from barloom import schema
 from barloom.functions import clock, ts
-from barloom.operators import cross_section, features, gates, ledger, ml, pnl, quality, registry, resample
+from barloom.operators import cross_section, features, gates, ml, pnl, quality, registry, resample
 from barloom.sources import readers, stores
-from barloom.streaming import closed_bars as cb
 
 H = ts.HOUR
 
@@ -78,7 +76,7 @@ def test_metrics_of_tiny_and_constant_returns(spark):
 
 def test_drawdown(spark):
     rows = spark.createDataFrame([("a", i, v) for i, v in enumerate([-1.0, 2.0, -3.0, 1.0])], "symbol string, open_time long, net double")
-    out = pnl.drawdown(rows, "net").orderBy("open_time").collect()
+    out = pnl.drawdown(rows, "net", 1).orderBy("open_time").collect()
     assert [r["drop"] for r in out] == [1.0, 0.0, 3.0, 2.0] and [r["underwater"] for r in out] == [1, 0, 1, 2]
 
 
@@ -147,17 +145,6 @@ def test_gate_status(spark):
     assert reasons["edges", "G3"] == "threshold_not_met" and reasons["unknown", "G1"] == "unavailable" and reasons["train", "G4"] == "in_sample" and reasons["good", "G1"] is None
 
 
-def test_average_cost_through_zero(spark):
-    d = Decimal
-    q = a = p = d(0)
-    for signed, price in ((10, 100), (5, 106), (-20, 110)):
-        q, a, gain = ledger.step(q, a, d(signed), d(price))
-        p += gain
-    assert (q, a, p) == (d(-5), d(110), d(15) * (d(110) - d(102)))
-    fills = spark.createDataFrame([(1, t, i, float(s), float(x)) for t, i, s, x in ((1, 1, 10, 100), (2, 2, 5, 106), (3, 3, -20, 110), (3, 3, -20, 110))], "user_id long, t long, event_id long, signed double, price double")
-    assert tuple(ledger.book(fills, "user_id", 10.0).first()) == (1, -5.0, 110.0, 120.0, pytest.approx(3.73))
-
-
 def test_registry_tables(spark):
     old = spark.createDataFrame([("x", 1), ("x", 2)], "id string, version int")
     new = registry.append_version(old, spark.createDataFrame([("x",), ("y",)], "id string"))
@@ -216,21 +203,6 @@ def test_charts(spark):
     assert [r["reject_reason"] for r in readers.parse_chart(docs, "body").orderBy("t").collect()] == [None, "missing value", "inconsistent prices"]
 
 
-def test_marks_over_batches_and_a_restart(spark, tmp_path):
-    """Accepted, gap, duplicate, conflict and late bars; the mark goes on in the next run, and a repeated batch changes nothing."""
-    kind = "symbol string, seq long, open_time long, close double"
-    rows = [("a", 1, 10, 1.0), ("a", 2, 15, 2.0), ("a", 3, 15, 2.0), ("a", 4, 15, 3.0), ("a", 5, 10, 1.0), ("a", 6, 30, 4.0), ("b", 1, 5, 9.0)]
-    none = spark.createDataFrame([], cb.MARKS)
-    first = cb.accept(spark.createDataFrame(rows, kind), none, 5)
-    got = {(r["symbol"], r["seq"]): (r["event"], r["missing"]) for r in first.collect()}
-    assert got == {("a", 1): ("ACCEPTED", 0), ("a", 2): ("ACCEPTED", 0), ("a", 3): ("DUPLICATE", 0), ("a", 4): ("CONFLICT", 0), ("a", 5): ("OUT_OF_ORDER", 0), ("a", 6): ("GAP", 2), ("b", 1): ("ACCEPTED", 0)}
-    marks = cb.moved(first, none)
-    assert {tuple(r) for r in marks.collect()} == {("a", 30, 4.0), ("b", 5, 9.0)}
-    later = spark.createDataFrame([("a", 7, 30, 4.0), ("a", 8, 30, 5.0), ("a", 9, 25, 1.0), ("a", 10, 35, 1.0), ("c", 1, 5, 1.0)], kind)
-    events = [r["event"] for r in cb.accept(later, marks, 5).orderBy("symbol", "seq").collect()]
-    assert events == ["DUPLICATE", "CONFLICT", "OUT_OF_ORDER", "ACCEPTED", "ACCEPTED"]
-
-
 def test_interpolation_is_flat_beyond_its_ends(spark):
     from barloom.operators import calibrate
 
