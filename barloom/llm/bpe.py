@@ -7,7 +7,7 @@ or more, on which the library's matcher fails from a million on, are matched her
 follows the run, else all of it; that match is merged without the matcher.
 
 Defined results: a null text encodes as the empty text (no ids, no bytes); repeated rows are encoded each on their own;
-a null id list decodes to null; other columns pass through unless they clash with an output column, which replaces them.
+a null id list decodes to null; an empty table gives no rows; other columns pass through unless they clash with an output column, which replaces them.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ CHUNK_BYTES = 2 << 20
 _SAFE = re.compile(r"(?<=\S)[ \n]")
 LONG_RUN = 10_000
 #: White space as the splitting pattern has it; Python's own class holds four control characters more.
-_LONG = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Looked for from a run's first character alone, so that a run that is too short is read once.
+_LONG = re.compile(rf"(?<!{_SPACE}){_SPACE}{{{LONG_RUN},}}")
 
 
 def default_rank_file() -> str:

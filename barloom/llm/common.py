@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, an own one only where none is set."""
+    """The folder that driver and executors share: the session's checkpoint folder. Where none is set, an own one in local mode,
+    whose tasks run on the driver's machine, and an error on a cluster."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(found)
     return found
@@ -52,6 +55,18 @@ def sample(rows: DataFrame, key: Column, most: int, seed: int = 11) -> DataFrame
     return rows.where(F.xxhash64(key, F.lit(seed)) < edge).limit(2 * most)
 
 
+def separate(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc long, key, text): ``doc`` is the key where every row has one of its own, else a number of each row by its key
+    (nulls first), so that rows that share a key are documents of their own. Only then are the rows sorted and written out."""
+    rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    whole = rows.schema["key"].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and rows.groupBy("key").count().where("count > 1 or key is null").isEmpty():
+        return rows.select(F.col("key").cast("long").alias("doc"), "key", "text")
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), F.asc_nulls_first("key"), "row").sortWithinPartitions(F.asc_nulls_first("key"), "row")
+    return materialize(dealt.select(F.monotonically_increasing_id().alias("doc"), "key", "text"))
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of text each; a longer text is a slice of its own."""
     for batch in batches:

@@ -11,7 +11,7 @@ texts. Training sequences splice passages of several sampled texts, so that chan
 are learned from them. The model is small (a fixed table) and broadcast.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; words without a letter emit nothing and
-take their language from their neighbours; if no row is labelled, every text is ``und``; repeated rows are predicted alike;
+take their language from their neighbours; of languages whose mean posteriors tie, the first by name is taken; if no row is labelled, every text is ``und``; repeated rows are predicted alike;
 a text of any length is read whole; an empty table gives an empty one; columns lang_pred and score of the input are
 replaced, all others are kept.
 """

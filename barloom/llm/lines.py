@@ -21,8 +21,8 @@ combined before the exchange and joins on the band are sort-merge joins that ada
 Before members and texts are fetched again, a blocked Bloom filter of bounded size drops those that met no other line.
 
 Defined results: lines of white space always stay; "first" means smallest doc_id (null before all), then smallest line
-number; rows that share a doc_id count as one document: copies at one line number stay or go together; a null text has no
-lines; a text whose lines all go becomes empty; an empty table gives an empty one; very long lines and texts are taken
+number; the query numbers rows that share a doc_id, so that they are documents of their own (``dedup`` takes rows with one
+key for one document: copies at one line number stay or go together); a null text has no lines; a text whose lines all go becomes empty; an empty table gives an empty one; very long lines and texts are taken
 whole; the columns n_lines, n_removed and removed of the input are replaced, all others are kept.
 """
 
@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import connected_components, materialize
+from barloom.llm.common import connected_components, materialize, separate
 
 THRESHOLD, SHINGLE = 0.8, 10
 BANDS, ROWS = 8, 4
@@ -258,5 +258,5 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: flo
 
 def document_lines(documents: DataFrame) -> DataFrame:
     """The query: doc_id, n_lines, n_removed and the removed line numbers."""
-    out = dedup(documents.select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
+    out = dedup(separate(documents, "doc_id", "text"), "doc")
+    return out.select(F.col("key").alias("doc_id"), "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))

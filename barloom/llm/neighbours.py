@@ -15,8 +15,9 @@ the whole one, wide nodes come before near ones. How far to walk is settled by t
 
 Defined results: vectors that are null, zero, or that hold null or non-finite values take no part, as query or candidate, nor
 do rows without an id; vectors of different lengths are searched apart, each among those of its length; a query with fewer
-than k candidates gets them all; rows that share an id count as one candidate each, and a query never returns rows with its
-own id; the operator reads id and vector alone, so names of other columns don't matter.
+than k candidates gets them all; rows that share an id are one candidate, as near as the nearest of their vectors, and one
+query, which ranks a candidate by the nearest of the query's vectors (among vectors of each length), and never finds its own
+id; an empty table gives an empty one; the operator reads id and vector alone, so names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -144,16 +145,19 @@ def _matrix(column) -> np.ndarray:
 
 
 def fewest_copies(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
-    """Rows left when each distinct vector keeps its ``most`` smallest ids."""
+    """Rows left when each distinct vector keeps its ``most`` smallest ids, once each."""
     _, kind = np.unique(x, axis=0, return_inverse=True)
     order = np.lexsort((ids, kind.ravel()))
     kind = kind.ravel()[order]
+    again = (np.diff(kind, prepend=-1) == 0) & (np.diff(ids[order], prepend=0) == 0)
+    order, kind = order[~again], kind[~again]
     rank = np.arange(len(order)) - np.maximum.accumulate(np.where(np.diff(kind, prepend=-1) != 0, np.arange(len(order)), 0))
     return order[rank < most]
 
 
 def top_rows(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query id, id, score) of each query's k nearest in one block, own id excluded, ties to smaller ids.
+    """(query id, id, score) of each query's k nearest ids in one block, own id excluded, ties to smaller ids; an id of several
+    vectors counts by its nearest.
 
     A matrix product finds who can be among them; scores are then summed vector by vector in double precision, so equal
     vectors score alike wherever they stand.
@@ -162,11 +166,15 @@ def top_rows(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k
     rough = q @ x.T
     rough[q_ids[:, None] == ids] = -np.inf
     slack = 1e-9 * np.maximum(1.0, np.abs(rough, where=np.isfinite(rough), out=np.zeros_like(rough)).max(axis=1, initial=0))
-    edge = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
+    most = k + len(ids) - len(np.unique(ids))
+    edge = np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most] if len(ids) > most else np.full(len(q), -np.inf)
     for i in range(len(q)):
         near = np.flatnonzero((rough[i] >= edge[i] - slack[i]) & (rough[i] > -np.inf))
         score = (x[near] * q[i]).sum(axis=1)
-        order = np.lexsort((ids[near], -score))[:k]
+        order = np.lexsort((ids[near], -score))
+        if most > k:
+            order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])]
+        order = order[:k]
         out.append((np.full(len(order), q_ids[i]), ids[near][order], score[order]))
     return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
 
@@ -178,13 +186,15 @@ def _table(parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.float64())], ["query_id", "vec_id", "score"])
 
 
-def nearest(found: DataFrame, k: int) -> DataFrame:
-    """Each query's k nearest of partial results, ranked."""
+def nearest(found: DataFrame, k: int, repeated: bool = False) -> DataFrame:
+    """Each query's k nearest of partial results, ranked; where ids are ``repeated``, each once, by its nearest vectors."""
+    if repeated:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def exact(rows: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int) -> DataFrame:
+def exact(rows: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int, repeated: bool = True) -> DataFrame:
     """Brute force for a bounded set of queries against all rows, block by block."""
     shared = rows.sparkSession.sparkContext.broadcast(queries)
 
@@ -194,7 +204,7 @@ def exact(rows: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int) -> Da
                 part = batch.slice(at, BLOCK_ROWS)
                 yield _table(top_rows(*shared.value, part.column("id").to_numpy(), _matrix(part.column("v")), k))
 
-    return nearest(rows.select("id", "v").mapInArrow(run, _FOUND), k)
+    return nearest(rows.select("id", "v").mapInArrow(run, _FOUND), k, repeated)
 
 
 def search(
@@ -226,13 +236,14 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, sample: int, target: floa
             keep = fewest_copies(ids, x, k + 1)
             yield pa.RecordBatch.from_arrays([pa.array(assign(shared.value, x[keep]).astype(np.int32)), *[c.take(pa.array(keep)) for c in batch.columns]], ["leaf", "id", "v"])
 
+    repeated = not rows.groupBy("id").count().where("count > 1").isEmpty()
     indexed = materialize(rows.mapInArrow(index, "leaf int, id long, v array<double>"))
     # calibration: widen until a fixed set of queries reaches the target against brute force
     some = draw_rows(asked, F.col("id"), CALIBRATION, seed=12).orderBy("id").toPandas()
     if not len(some):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     held = (some["id"].to_numpy(), np.stack(some["v"].to_numpy()))
-    truth = exact(rows, held, k)
+    truth = exact(rows, held, k, repeated)
     walks = {int(i): {leaf: n for n, leaf in enumerate(best_leaves(tree, q, tree.leaves))} for i, q in zip(*held, strict=True)}
     # at which visit each true neighbour is met; one row per calibration query and neighbour
     places = truth.join(indexed.select("leaf", F.col("id").alias("vec_id")), "vec_id").select("query_id", "rank", "leaf").toPandas()
@@ -250,7 +261,7 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, sample: int, target: floa
                 yield pa.RecordBatch.from_arrays([pa.array([p[1] for p in pairs], pa.int32()), pa.array([p[2] for p in pairs], pa.int32()), part.column("id").take(row), part.column("v").take(row)], ["leaf", "block", "id", "v"])
 
     cut = F.element_at(F.split(F.lit(",".join(str(blocks.get(i, 1)) for i in range(tree.leaves))), ","), F.col("leaf") + 1).cast("int")
-    stored = indexed.select("leaf", F.pmod(F.xxhash64("id"), cut).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "v")
+    stored = indexed.select("leaf", F.pmod(F.xxhash64("id", "v"), cut).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "v")
     asking = asked.mapInArrow(walk, "leaf int, block int, id long, v array<double>").select("leaf", "block", F.lit(True).alias("asks"), "id", "v")
     # a block's rows come first, then its queries, which are scored as they stream by
     meet = stored.unionByName(asking).withColumn("bin", F.xxhash64("leaf", "block")).repartition(partitions(spark), "bin").sortWithinPartitions("bin", "asks")
@@ -273,7 +284,7 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, sample: int, target: floa
                         group = ask[at : at + 256]
                         yield _table(top_rows(all_ids[group], all_x[group], ids, x, k))
 
-    return nearest(meet.select("bin", "asks", "id", "v").mapInArrow(score, _FOUND), k)
+    return nearest(meet.select("bin", "asks", "id", "v").mapInArrow(score, _FOUND), k, repeated)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> float:

@@ -6,11 +6,12 @@ bits; table v (one for each nonzero v, 15 at radius 3) keeps the bits whose vect
 ``radius`` positions some v is orthogonal to all their vectors, so every such pair agrees in that table: no pair is missed.
 Distinct fingerprints are exchanged by (table, kept bits); within a bucket they are compared in blocks and each is linked
 to the smallest one its links reach there, so links stay linear in number. Buckets above ``split_above`` fingerprints are
-covered a second time on the bits that are not fixed yet and spread over further buckets.
+covered again on the bits that are not fixed yet and spread over further buckets, level by level, until they are small.
 
 Defined results: a null or wordless text has fingerprint zero, linked like any other; equal fingerprints are one node, so
-copies are never expanded into pairs; a null doc_id comes before every other id as a component's least; an empty table
-gives no rows.
+copies are never expanded into pairs; a null doc_id comes before every other id as a component's least, and rows that share an
+id are nodes of their own; texts of any length are hashed whole; an empty table gives no rows; key and text alone are read,
+so names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import NULL_ID, connected_components, flat_bytes, materialize, owners, partitions, sorted_groups, text_chunks, words
+from barloom.llm.common import NULL_ID, connected_components, flat_bytes, materialize, mix, owners, partitions, sorted_groups, text_chunks, words
 
 SEED = 42
 BITS = 64
@@ -102,22 +103,28 @@ def local_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[moved], fps[label[moved]]
 
 
+#: With so few free bits a bucket holds no more than 4,096 different fingerprints.
+LEAST_FREE = 12
+
+
+def covered_again(rows: DataFrame, radius: int) -> DataFrame:
+    """Rows (bucket, free, fp) of large buckets in buckets of the covering masks of the bits that are still free."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, free, fp = (batch.column(c).to_numpy() for c in ("bucket", "free", "fp"))
+            for kind in np.unique(free).tolist():
+                at = np.flatnonzero(free == kind)
+                for t, m in enumerate(masks(radius, kind)):
+                    key = mix(bucket[at].view(np.uint64) + np.uint64(t + 1)) ^ mix((fp[at] & np.int64(m)).view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), pa.array(np.full(len(at), kind & ~m, np.int64)), pa.array(fp[at])], ["bucket", "free", "fp"])
+
+    return rows.mapInArrow(run, "bucket long, free long, fp long")
+
+
 def links(fps: DataFrame, radius: int = 3, split_above: int = 4096) -> DataFrame:
     """Edges (src, dst) whose components are those of all pairs of distinct ``fp`` within ``radius`` bits."""
     spark = fps.sparkSession
-    first = masks(radius)
-    keyed = fps.select(
-        F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(first)])).alias("b"), "fp"
-    ).select("b.t", "b.k", "fp")
-    size = keyed.groupBy("t", "k").count().where("count > 1")
-    # buckets of one are dropped by the join; the few large ones are covered again on the bits that their mask leaves free
-    busy = keyed.join(size, ["t", "k"])
-    second = [masks(radius, ~m) for m in first]
-    pick = F.element_at(F.array(*[F.array(*[F.lit(x) for x in row]) for row in second]), F.col("t") + 1)
-    deep = busy.where(F.col("count") > split_above).select("t", "k", "fp", F.posexplode(pick).alias("t2", "m")).select("t", "k", "t2", F.col("fp").bitwiseAND(F.col("m")).alias("k2"), "fp")
-    flat = busy.where(F.col("count") <= split_above).select("t", "k", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("k2"), "fp")
-    bucket = F.xxhash64("t", "k", "t2", "k2")
-    rows = flat.unionByName(deep).select(bucket.alias("bucket"), "fp").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "bucket"):
@@ -127,7 +134,22 @@ def links(fps: DataFrame, radius: int = 3, split_above: int = 4096) -> DataFrame
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in found])) for i in (0, 1)], ["src", "dst"])
 
-    return rows.mapInArrow(run, "src long, dst long").distinct()
+    whole = masks(radius)
+    keyed = fps.select(
+        F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(~m).alias("free"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(whole)])).alias("b"), "fp"
+    ).select(F.xxhash64("b.t", "b.k").alias("bucket"), "b.free", "fp")
+    found = None
+    while True:
+        # buckets of one are dropped by the join; large ones are covered again on the bits that their masks leave free, until
+        # they are small or so few bits are left that they can't be large
+        size = materialize(keyed.groupBy("bucket").agg(F.count("*").alias("count"), F.bit_count(F.first("free")).alias("left")).where("count > 1"))
+        deep = (F.col("count") > split_above) & (F.col("left") > LEAST_FREE)
+        rows = keyed.join(size.where(~deep).select("bucket"), "bucket").select("bucket", "fp").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+        part = rows.mapInArrow(run, "src long, dst long")
+        found = part if found is None else found.unionByName(part)
+        if size.where(deep).isEmpty():
+            return found.distinct()
+        keyed = covered_again(materialize(keyed.join(size.where(deep).select("bucket"), "bucket")), radius)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3, split_above: int = 4096) -> DataFrame:

@@ -12,9 +12,9 @@ grams, so such windows go by another gram of theirs. The sample only decides whe
 
 Defined results: words are runs of bytes other than space and tab to carriage return; a null or empty text has none;
 windows are judged on the input; a window is removed if an equal one has a smaller (doc_id, start), a null doc_id being
-the smallest; rows that share a doc_id count as one document, so equal windows at one start do not remove each other, and
-what is removed under the id is removed from each of its rows; a text of any length is one document; an empty table gives
-an empty one; the operator reads the key and the text alone, so names of other columns don't matter.
+the smallest; rows that share a doc_id are documents of their own, in an order of their rows that is fixed for a run; a text
+of any length is one document; an empty table gives an empty one; the operator reads the key and the text alone, so names
+of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BLOCK_SCHEMA, NULL_ID, earliest, equal_ranges, flat_bytes, materialize, owners, pack_blocks, partitions, range_hashes, sample, span_batch, text_chunks, unpack_blocks, words
+from barloom.llm.common import BLOCK_SCHEMA, earliest, equal_ranges, flat_bytes, materialize, owners, pack_blocks, partitions, range_hashes, sample, separate, span_batch, text_chunks, unpack_blocks, words
 
 K, M = 20, 6
 CHUNK_BYTES = 1 << 20
@@ -163,11 +163,11 @@ def _judge(k: int):
     return run
 
 
-def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, m: int = M, per_partition: int = 8) -> DataFrame:
+def repeated_spans(docs: DataFrame, k: int = K, m: int = M, per_partition: int = 8) -> DataFrame:
     """(doc, start, count): spans of words to remove, covering exactly the windows that also start earlier."""
-    spark = df.sparkSession
+    spark = docs.sparkSession
     n = partitions(spark)
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text).alias("text"))
+    docs = docs.select("doc", "text")
     hot = hot_minimisers(docs, k, m, n * per_partition)
     blocks = docs.mapInArrow(_route(k, m, n * per_partition, hot), BLOCK_SCHEMA)
     return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(k), "doc long, start long, count long")
@@ -192,8 +192,9 @@ def cut_words(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, byte
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, m: int = M, per_partition: int = 8) -> DataFrame:
     """(key, n_words, n_removed, kept): each row's words without those of windows that also start earlier."""
     kind = df.schema[key].dataType.simpleString()
-    spans = repeated_spans(df, key, text, k, m, per_partition).groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(spans, F.coalesce(F.col("key").cast("long"), F.lit(NULL_ID)) == F.col("doc"), "left").select("key", "text", "spans")
+    docs = separate(df, key, text)
+    spans = repeated_spans(docs, k, m, per_partition).groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
+    rows = docs.join(spans.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"), "left").select("key", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text", 4 * CHUNK_BYTES):

@@ -17,8 +17,9 @@ Anchors with more than ``total / (HOT_SHARE * buckets)`` occurrences (so at most
 share one bucket: their strings travel one by one to buckets of their own content hash.
 
 Defined results: a null text is empty; strings never cross documents and are judged on the input; "earlier" is the smaller
-(doc_id, start), a null doc_id being the smallest; rows that share a doc_id count as one document, so equal strings at one
-start do not remove each other, and what is removed under the id is removed from each of its rows.
+(doc_id, start), a null doc_id being the smallest; rows that share a doc_id are documents of their own, in an order of their
+rows that is fixed for a run; a text of any length is one document, cut where its stretches end; an empty table gives an
+empty one; the operator reads the key and the text alone, so names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -38,7 +39,6 @@ from barloom.llm.common import (
     _POWERS,
     _powers,
     BLOCK_SCHEMA,
-    NULL_ID,
     earliest,
     flat_bytes,
     materialize,
@@ -47,6 +47,7 @@ from barloom.llm.common import (
     partitions,
     range_hashes,
     sorted_groups,
+    separate,
     span_batch,
     text_chunks,
     unpack_blocks,
@@ -353,12 +354,12 @@ def _judge(width: int, gram: int):
     return run
 
 
-def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, per_partition: int = 8) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, per_partition: int = 8) -> DataFrame:
     """(doc, start, count): spans of bytes to remove, covering exactly the strings that also start earlier."""
-    spark = df.sparkSession
+    spark = docs.sparkSession
     n = partitions(spark)
     buckets = n * per_partition
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text).alias("text"))
+    docs = docs.select("doc", "text")
     met = docs.select("text").mapInArrow(_count_anchors(width, gram, buckets), "bucket int, once binary, more binary, counts binary")
     met = materialize(met.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_anchors, "anchor long, n long"))
     total = met.where("anchor is null").agg(F.sum("n")).first()[0] or 0
@@ -386,9 +387,9 @@ def cut_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int,
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, per_partition: int = 8) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept binary): each row's bytes without those of strings that also start earlier."""
     kind = df.schema[key].dataType.simpleString()
-    spans = repeated_spans(df, key, text, width, gram, per_partition).groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(spans, F.coalesce(F.col("key").cast("long"), F.lit(NULL_ID)) == F.col("doc"), "left").select("key", "text", "spans")
-    names = ["n_bytes", "n_removed", "n_spans"]
+    docs = separate(df, key, text)
+    spans = repeated_spans(docs, width, gram, per_partition).groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
+    rows = docs.join(spans.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"), "left").select("key", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text", 4 * CHUNK_BYTES):

@@ -3,12 +3,14 @@
 A list holds rules (host, path, verdict); a rule fits its host and all subdomains where the URL's path starts with the
 rule's path. Each URL gives candidate keys, one for every host suffix and every length that some listed path has. The
 Bloom filter (256-bit blocks, one bit in each of four 64-bit words) is itself a table of at most ``blocks`` rows, so its
-broadcast has a fixed bound whatever the list's size; keys that pass go to an exact join with the list, which removes
+broadcast has a fixed bound and grows with the list below it; keys that pass go to an exact join with the list, which removes
 false positives. The longest rule (host and path together, then the longer host) decides; URLs without one get
 ``default``.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and no rule; repeated URLs are judged once
-and joined back; an empty list leaves every URL with ``default``; where rules repeat, ``block`` wins over ``allow``.
+and joined back; URLs of any length are read whole; an empty list leaves every URL with ``default``, an empty table of pages
+gives no rows; where rules repeat, ``block`` wins over ``allow``; columns host, path, rule and verdict of the input are
+replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ RULES = [
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 4
+#: A block of 256 bits for so many rules passes about one in a thousand others; and the most blocks, of 36 bytes.
+RULES_A_BLOCK, MOST_BLOCKS = 8, 1 << 20
 
 
 def _rest(url: Column) -> Column:
@@ -61,12 +65,14 @@ def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
     )
 
 
-def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", blocks: int = 1 << 14) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", blocks: int | None = None) -> DataFrame:
     """``urls`` with host, path, rule (null where none fits) and verdict.
 
-    ``rules`` has host, path, verdict. ``blocks`` times 36 bytes bounds the broadcast filter.
+    ``rules`` has host, path, verdict. The filter has ``blocks``, or else one for every ``RULES_A_BLOCK`` rules and
+    ``MOST_BLOCKS`` at most: 36 bytes each bound the broadcast; of a longer list it only lets more pass to the join.
     """
     rules = rules.select("host", "path", "verdict").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    blocks = blocks or max(64, min(MOST_BLOCKS, rules.count() // RULES_A_BLOCK))
     listed = rules.withColumn("key", _key(F.col("host"), F.col("path")))
     bloom = bloom_filter(listed.select("key"), blocks)
     lengths = listed.agg(F.collect_set(F.length("path")).alias("lengths"))  # one row; at most as long as a URL
