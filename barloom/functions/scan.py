@@ -29,7 +29,14 @@ def by_rows(rows: DataFrame, at: str, piece_rows: int = PIECE_ROWS) -> Column:
         return F.lit(0)
     edges = rows.agg(F.percentile_approx(at, [i / pieces for i in range(1, pieces)], 100 * pieces)).first()[0]
     edges = sorted(set(edges or []))
-    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(at))) if edges else F.lit(0)
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(at) < edges[middle], between(low, middle)).otherwise(between(middle + 1, high))
+
+    return between(0, len(edges))
 
 
 def scanned(rows: DataFrame, keys: list[str], piece: Column, order: list[str], *, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, before: dict[str, Column] | None = None) -> DataFrame:

@@ -32,7 +32,9 @@ def auc(rows: DataFrame, parts: int = 4096) -> DataFrame:
 
     Values are counted first; ranks run inside ``parts`` ranges of p, over the totals of the ranges below.
     """
-    values = rows.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).withColumn("part", F.floor(F.col("p") * parts))
+    values = rows.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    # values below 0 and above 1 share the outer ranges, so there are never more ranges than parts
+    values = values.withColumn("part", F.least(F.greatest(F.floor(F.col("p") * parts), F.lit(0)), F.lit(parts - 1)))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = values.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"))
     inside = Window.partitionBy("part").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,7 +18,30 @@ def _samples(spark, sf_dir):
     return ml.samples(features.build(b, HOUR, NAMES), b, NAMES, 1, HOUR, SPLITS)
 
 
-@query("M-01", None)
+_W = "(PARTITION BY symbol ORDER BY open_time)"
+_LABELLED = f"SELECT *, CASE WHEN lead(open_time) OVER {_W} - open_time = {HOUR} THEN lead(close) OVER {_W} / close - 1 END AS target, CASE WHEN open_time - lag(open_time) OVER {_W} = {HOUR} THEN ln(close / lag(close) OVER {_W}) END AS return_1, taker_buy_base / volume AS p FROM h"
+_SPLITS = "CASE WHEN open_time >= 1704067200000000 AND open_time < 1705276800000000 THEN 'train' WHEN open_time >= 1705276800000000 AND open_time < 1706140800000000 THEN 'valid' WHEN open_time >= 1706140800000000 AND open_time < 1706659200000000 THEN 'test' END"
+_ENDS = "CASE split WHEN 'train' THEN 1705276800000000 WHEN 'valid' THEN 1706140800000000 WHEN 'test' THEN 1706659200000000 END"
+_INPUTS = {
+    "return_1": "return_1", "taker_ratio": "CASE WHEN volume > 0 THEN taker_buy_base / volume END", "hour_sin": f"sin((open_time % 86400000000 // {HOUR}) * 2 * pi() / 24)",
+    "hour_cos": f"cos((open_time % 86400000000 // {HOUR}) * 2 * pi() / 24)", "trade_size": "CASE WHEN trades > 0 THEN quote_volume / trades END",
+}
+_N = len(NAMES)
+#: Ridge regression in SQL: normal equations of standardised features, solved by elimination on a list of lists.
+_RIDGE = dict(
+    l=_LABELLED,
+    f0=f"SELECT symbol, open_time, target, {', '.join(f'{v} AS x{i}' for i, v in enumerate(_INPUTS.values(), 1))}, {_SPLITS} AS split FROM l",
+    f=f"SELECT * FROM f0 WHERE target IS NOT NULL AND {' AND '.join(f'x{i} IS NOT NULL' for i in range(1, _N + 1))} AND open_time + {HOUR} < {_ENDS}",
+    st=f"SELECT avg(target) AS ym, {', '.join(f'avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}' for i in range(1, _N + 1))} FROM f WHERE split = 'train'",
+    z=f"SELECT symbol, split, target, ym, {', '.join(f'(x{i} - m{i}) / coalesce(nullif(s{i}, 0), 1) AS z{i}' for i in range(1, _N + 1))} FROM f CROSS JOIN st",
+    ne=f"SELECT [{', '.join('[' + ', '.join([f'sum(z{i} * z{j}) + {1.0 if i == j else 0.0}' for j in range(1, _N + 1)] + [f'sum(z{i} * (target - ym))']) + ']' for i in range(1, _N + 1))}] AS m FROM z WHERE split = 'train'",
+    el=f"""SELECT 1 AS k, m FROM ne UNION ALL SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k THEN list_transform(row, lambda v: v / m[k][k]) ELSE list_transform(row, lambda v, j: v - row[k] * m[k][j] / m[k][k]) END) FROM el WHERE k <= {_N}""",
+    w=f"SELECT list_transform(m, lambda row: row[{_N + 1}]) AS w FROM el WHERE k = {_N + 1}",
+    e=f"SELECT symbol, target - ym - ({' + '.join(f'w[{i}] * z{i}' for i in range(1, _N + 1))}) AS e FROM z CROSS JOIN w WHERE split = 'valid'",
+)
+
+
+@query("M-01", sql("SELECT symbol, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse FROM e GROUP BY symbol", **_RIDGE).replace("WITH ticks", "WITH RECURSIVE ticks", 1))
 def ridge(spark, sf_dir):
     rows = ml.standardised(_samples(spark, sf_dir), NAMES)
     scored = ml.ridge(rows.where("split = 'train'"), 1.0).transform(rows.where("split = 'valid'"))
@@ -40,10 +63,6 @@ def boosted(spark, sf_dir):
     return scored.groupBy("symbol").agg(F.count("*").alias("n"), r(F.avg(((F.col("p") > 0.5) == (F.col("target") > 0)).cast("int")), "accuracy"))
 
 
-_W = "(PARTITION BY symbol ORDER BY open_time)"
-_LABELLED = f"SELECT *, CASE WHEN lead(open_time) OVER {_W} - open_time = {HOUR} THEN lead(close) OVER {_W} / close - 1 END AS target, CASE WHEN open_time - lag(open_time) OVER {_W} = {HOUR} THEN ln(close / lag(close) OVER {_W}) END AS return_1, taker_buy_base / volume AS p FROM h"
-
-
 @query(
     "M-05",
     sql(
@@ -81,10 +100,6 @@ def dataset_counts(spark, sf_dir):
     return rows.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(none("y")).alias("no_label"), F.count_if(none("f")).alias("no_feature"), F.count_if(~none("y") & ~none("f")).alias("kept"))
 
 
-_SPLITS = "CASE WHEN open_time >= 1704067200000000 AND open_time < 1705276800000000 THEN 'train' WHEN open_time >= 1705276800000000 AND open_time < 1706140800000000 THEN 'valid' WHEN open_time >= 1706140800000000 AND open_time < 1706659200000000 THEN 'test' END"
-_ENDS = "CASE split WHEN 'train' THEN 1705276800000000 WHEN 'valid' THEN 1706140800000000 WHEN 'test' THEN 1706659200000000 END"
-
-
 @query(
     "M-09",
     sql(

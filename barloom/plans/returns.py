@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions import ts
-from barloom.operators import gates, pnl, quality, reports, resample, sessions
+from barloom.operators import gates, joins, pnl, quality, reports, resample, sessions
 from barloom.plans.base import DAY, HOUR, bars, query, r, sql, ticks
 
 _W = "(PARTITION BY symbol ORDER BY open_time)"
@@ -57,7 +57,7 @@ def net_returns(spark, sf_dir):
 @query("J-16", sql("SELECT symbol, open_time, bps FROM p4", **{k: v for k, v in _POS.items() if k != "p5"}))
 def symbol_costs(spark, sf_dir):
     rates = spark.createDataFrame(list(BPS.items()), "symbol string, bps double")  # one row a symbol of the fee table
-    return bars(spark, sf_dir, HOUR).select("symbol", "open_time").join(F.broadcast(rates), "symbol")
+    return bars(spark, sf_dir, HOUR).select("symbol", "open_time").join(joins.small(rates), "symbol")
 
 
 _DD = dict(

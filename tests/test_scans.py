@@ -101,6 +101,16 @@ def test_average_cost_through_zero(spark):
         ledger.book(broken, "user_id", 10.0).collect()
 
 
+@pytest.mark.parametrize("piece_rows", [1, 1_000_000])
+def test_books_of_three_hand_checked_trades(spark, piece_rows):
+    """Two purchases and a sale through zero, at 10 basis points."""
+    fills = spark.createDataFrame([(1, 1, 1, 1.0, 100.02), (1, 4, 2, 1.0, 120.024), (1, 7, 3, -3.0, 109.978)], "account long, t long, event_id long, signed double, price double")
+    rows = ledger.replayed(fills, "account", 10.0, piece_rows).orderBy("t").collect()
+    want = [(1.0, 100.02, 0.0, -100.02, 0.10002), (2.0, 110.022, 0.0, -220.044, 0.220044), (-1.0, 109.978, -0.088, 109.89, 0.549978)]
+    for row, expected in zip(rows, want, strict=True):
+        assert [row[c] for c in ("quantity", "average", "realised", "cash", "fees")] == [pytest.approx(v, abs=1e-9) for v in expected]
+
+
 @pytest.mark.parametrize("piece_rows", [40, 1_000_000])
 def test_average_cost_equals_the_exact_fold(spark, piece_rows):
     """A churning account (weights beyond the range of doubles), one that crosses zero often, ties in time, zero fills."""
