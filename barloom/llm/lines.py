@@ -14,8 +14,9 @@ what is in the bins, hashed anew for each band. Lines that fill ``FULL`` to ``FE
 Each band is settled by exact comparisons, by all shingles. Its members are compared with its least and its greatest line
 (two rows a member), and distributed union-find (``common.connected_components``) gives the components of the links. What is
 left of bands that still hold several components goes through ``ROUNDS`` rounds of that; then the rest is compared in blocks
-(``block_links``), bands of more than ``MOST`` lines being banded once more on other hashes first. So every candidate pair is
-decided, only links are put out, and a hot band is neither a window nor a group of one task: counts and extremes are
+(``block_links``). Bands of more than ``MOST`` lines are banded once more first, by two further signatures: there a pair is
+compared if it shares a band of one of those too, which a pair at the threshold misses with a probability of 0.001 at most.
+Every other candidate pair is decided. Only links are put out, and a hot band is neither a window nor a group of one task: counts and extremes are
 combined before the exchange and joins on the band are sort-merge joins that adaptive execution can split.
 
 Before members and texts are fetched again, a blocked Bloom filter of bounded size drops those that met no other line.
@@ -43,8 +44,8 @@ FULL, FEW, LEAST = BINS // 2, BINS * 3 // 4, 3
 BOUND, LONG, HEAD = 3, 600, 64
 #: Rounds of comparisons with extremes before blocks.
 ROUNDS = 2
-#: Bands of more lines, if several components meet in them, are banded once more.
-MOST = 1024
+#: Bands of more lines, if several components meet in them, are banded once more, by a signature of each of these seeds.
+MOST, AGAIN = 1024, (1, 2)
 BLOCK = 64
 #: The Bloom filter has at most so many blocks of 64 bits; beyond that it only drops less.
 MOST_BLOCKS = 1 << 20
@@ -214,13 +215,16 @@ def line_classes(texts: DataFrame, members: DataFrame, threshold: float = THRESH
         found = found.unionByName(materialize(block_links(left.where(F.col("size") <= MOST), texts, threshold, shingle)))
     large = left.where(F.col("size") > MOST)
     if not large.isEmpty():
-        # other hashes: a line of a large band meets those of the band that share a band of the new signature too
+        # other hashes: a line of a large band meets those of the band that share a band of one of the new signatures too
         again = texts.join(large.select("lid").distinct(), "lid", "left_semi").select("lid", F.col("lid").alias("lid2"), "wide")
-        keyed = large.select("lid", "band").join(materialize(signatures(again, shingle, 1)), "lid")
-        keyed = materialize(keyed.select("lid", F.transform("keys", lambda k: F.xxhash64(k, F.col("band"))).alias("keys")))
-        close = collisions(keyed)
-        found = found.unionByName(materialize(similar(extreme_pairs(close), texts, threshold, shingle)))
-        found = found.unionByName(materialize(block_links(undecided(rest(close), classes), texts, threshold, shingle)))
+        for seed in AGAIN:
+            keyed = large.select("lid", "band").join(materialize(signatures(again, shingle, seed)), "lid")
+            keyed = materialize(keyed.select("lid", F.transform("keys", lambda k: F.xxhash64(k, F.col("band"))).alias("keys")))
+            close = collisions(keyed)
+            found = found.unionByName(materialize(similar(extreme_pairs(close), texts, threshold, shingle)))
+            classes = materialize(connected_components(found))
+            found = found.unionByName(materialize(block_links(undecided(rest(close), classes), texts, threshold, shingle)))
+            classes = materialize(connected_components(found))
     return connected_components(found).withColumnRenamed("node", "lid")
 
 
