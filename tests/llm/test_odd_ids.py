@@ -66,7 +66,7 @@ def test_rows_that_share_an_id_keep_their_own_text(spark):
     assert words == [(0, 0), (0, 0), (7, 40), (7, 100), (8, 0), (8, 0)]
     found = sorted((r["doc_id"] or 0, r["n_removed"], r["kept_sha256"]) for r in suffixes.document_digests(table).collect())
     assert [x[1] for x in found if x[0] == 0] == [0, 0] and sorted(x[2] for x in found if x[0] == 0) == sorted(_sha(t) for i, t in texts if i is None)
-    assert {x[1] for x in found if x[0] == 7} == {len(" " + copy), len(own[2] + " " + copy)}
+    assert {x[1] for x in found if x[0] == 7} == {len("x59 " + copy), len(own[2] + " " + copy)}
     out = sorted((r["doc_id"] or 0, r["n_lines"], r["n_removed"]) for r in lines.document_lines(table).collect())
     assert sum(r[2] for r in out) == 1 and len(out) == 6
     assert common.separate(table.limit(0), "doc_id", "text").count() == 0
