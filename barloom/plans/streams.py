@@ -62,7 +62,7 @@ def followed(spark, sf_dir):
         feed = stores.settle(messages(spark, sf_dir))
         for part in range(PARTS):
             feed.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{root}/in")
-            cb.follow(_source(spark, root), root, HOUR, SILENCE // 1000).write.mode("append").parquet(f"{root}/progress")
+            cb.follow(_source(spark, root), root, HOUR, SILENCE // 1000, state_partitions=2).write.mode("append").parquet(f"{root}/progress")
         _RUNS[key] = root
     return _RUNS[key]
 

@@ -201,17 +201,21 @@ def judged(messages: DataFrame, step: int, limit: int, slack: str = "1 second",
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def follow(messages: DataFrame, root: str, step: int, limit: int, **how) -> DataFrame:
+def follow(messages: DataFrame, root: str, step: int, limit: int, state_partitions: int | None = None, **how) -> DataFrame:
     """Run a stream of messages over what is there now; returns the progress of its batches (PROGRESS).
 
+    ``state_partitions`` (the session's shuffle partitions, if none are given) is fixed by the first run below a ``root``.
+
     One pass writes bars and events below ``root``/out, split by ``sink``; the file sink's log makes each batch appear once,
     and marks and timers live in the state store of ``root``/checkpoint, from which a later run goes on.
     """
     spark = messages.sparkSession
     name = f"followed-{uuid.uuid4().hex}"
     listener = Progress(name)
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    wanted = {STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": state_partitions}
+    before = {k: spark.conf.get(k, None) for k, v in wanted.items() if v is not None}
+    for k in before:
+        spark.conf.set(k, str(wanted[k]))
     spark.streams.addListener(listener)
     try:
         out = judged(messages, step, limit, **how).observe("followed", *counted())
@@ -220,7 +224,8 @@ def follow(messages: DataFrame, root: str, step: int, limit: int, **how) -> Data
         listener.over.wait(60)
     finally:
         spark.streams.removeListener(listener)
-        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.createDataFrame(listener.batches, PROGRESS)
 
 
