@@ -213,7 +213,7 @@ _MONTH_OF = "year(make_timestamp({0})) * 100 + month(make_timestamp({0}))"
     sql(
         """SELECT 'time' AS kind, open_time AS period, n, round(corr, 6) + 0.0 AS value, NULL::DOUBLE AS ratio FROM t
         UNION ALL SELECT 'month', month, n, round(value, 6) + 0.0, NULL FROM mo
-        UNION ALL SELECT 'all', NULL, count(corr), round(avg(corr), 6) + 0.0, (SELECT round(avg(value) / nullif(stddev_samp(value), 0), 6) + 0.0 FROM mo) FROM t""",
+        UNION ALL SELECT 'all', -1, count(corr), round(avg(corr), 6) + 0.0, (SELECT round(avg(value) / nullif(stddev_samp(value), 0), 6) + 0.0 FROM mo) FROM t""",
         **_IC,
         t=f"SELECT open_time, {_MONTH_OF.format('open_time')} AS month, {_MONTH_OF.format(f'(open_time + {DAY})')} AS done, count(*) AS n, CASE WHEN count(DISTINCT close) > 1 AND count(DISTINCT y) > 1 THEN corr(close, y) END AS corr FROM f WHERE close IS NOT NULL AND y IS NOT NULL GROUP BY open_time HAVING count(*) >= 5",
         mo="SELECT month, count(*) AS n, avg(corr) AS value FROM t WHERE corr IS NOT NULL AND month = done GROUP BY month",
@@ -224,7 +224,7 @@ def cross_section_ic(spark, sf_dir):
     deviation."""
     month = lambda t: F.date_format(F.timestamp_micros(t), "yyyyMM").cast("long")
     out = reports.cross_section_ic(_ic_rows(spark, sf_dir), "close", "y", month(F.col("open_time")), month(F.col("open_time") + DAY), 5)
-    return out.select("kind", "period", "n", r("value", "value"), r("ratio", "ratio"))
+    return out.select("kind", F.coalesce("period", F.lit(-1)).alias("period"), "n", r("value", "value"), r("ratio", "ratio"))
 
 
 _M = dict(_POS, m="SELECT symbol, count(net) AS n, sum(net) AS total, avg(net) AS mean, avg(net) * 8760 AS annual, avg(net) / nullif(stddev_samp(net), 0) AS sharpe, avg(turnover) AS turnover, count(*) - count(net) AS unknown FROM p5 GROUP BY symbol")

@@ -314,13 +314,13 @@ def pooled(spark, sf_dir):
 
 @query(
     "A-26",
-    "SELECT bin, count(*) AS n, round(avg(p), 6) AS mean, round(avg(y), 6) AS rate, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(-ln(CASE WHEN y = 1 THEN greatest(p, 2.220446049250313e-16) ELSE greatest(1 - p, 2.220446049250313e-16) END)), 6) + 0.0 AS log_loss FROM (SELECT least(floor(l_discount * 10 * 10 / 1.0), 9)::BIGINT AS bin, l_discount * 10 AS p, (l_returnflag = 'R')::INT AS y FROM (SELECT l_returnflag, least(l_discount, 0.1) AS l_discount FROM lineitem)) GROUP BY GROUPING SETS ((bin), ())",
+    "SELECT coalesce(bin, -1) AS bin, count(*) AS n, round(avg(p), 6) AS mean, round(avg(y), 6) AS rate, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(-ln(CASE WHEN y = 1 THEN greatest(p, 2.220446049250313e-16) ELSE greatest(1 - p, 2.220446049250313e-16) END)), 6) + 0.0 AS log_loss FROM (SELECT least(floor(l_discount * 10 * 10 / 1.0), 9)::BIGINT AS bin, l_discount * 10 AS p, (l_returnflag = 'R')::INT AS y FROM (SELECT l_returnflag, least(l_discount, 0.1) AS l_discount FROM lineitem)) GROUP BY GROUPING SETS ((bin), ())",
 )
 def reliability(spark, sf_dir):
-    """Ten equal bins of a probability, and all of them (bin NULL): mean, rate, Brier score and log loss."""
+    """Ten equal bins of a probability, and all of them (bin -1): mean, rate, Brier score and log loss."""
     p = F.least("l_discount", F.lit(0.1)) * 10
     rows = table(spark, sf_dir, "lineitem").select(p.alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("y"), F.least(F.floor(F.least("l_discount", F.lit(0.1)) * 10 * 10 / 1.0), F.lit(9)).cast("long").alias("bin"))
-    return registry.reliability(rows).select("bin", "n", r("mean", "mean"), r("rate", "rate"), r("brier", "brier"), r("log_loss", "log_loss"))
+    return registry.reliability(rows).select(F.coalesce("bin", F.lit(-1)).alias("bin"), "n", r("mean", "mean"), r("rate", "rate"), r("brier", "brier"), r("log_loss", "log_loss"))
 
 
 @query(
