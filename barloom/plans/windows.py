@@ -261,7 +261,7 @@ def identity_runs(spark, sf_dir):
     """Stretches of days with one identity (ISIN, and whether prices are shifted against the reference)."""
     day = F.expr(f"open_time div {DAY}")
     isin = F.concat("symbol", F.lit("-"), F.expr(f"open_time div {DAY} div 10").cast("string"))
-    rows = bars(spark, sf_dir, DAY).select("symbol", "open_time", isin.alias("isin"), F.round(F.col("high") / F.col("low"), 6).alias("high_ratio"), F.when((day % 9).isin(4, 5), 1.2).otherwise(1.0).alias("low_ratio"))
+    rows = bars(spark, sf_dir, DAY).select("symbol", "open_time", isin.alias("isin"), F.round(ts.quotient(F.col("high"), F.col("low")), 6).alias("high_ratio"), F.when((day % 9).isin(4, 5), 1.2).otherwise(1.0).alias("low_ratio"))
     return sessions.identity_runs(rows, DAY).select("symbol", "g", "isin", "shifted", "first", "last", "n", "low", "high")
 
 
