@@ -164,13 +164,16 @@ def shortlist(eligible: DataFrame, most: int, order: list[str]) -> DataFrame:
 FAULTS = ["too few periods", "non-finite", "unavailable after warm-up", "constant", "data gaps", "bad prices"]
 
 
-def validity(rows: DataFrame, step: int, warmup: int, least: int) -> DataFrame:
+def validity(rows: DataFrame, step: int, warmup: int, least: int, usable: Column | None = None, bad: Column | None = None) -> DataFrame:
     """(symbol, reasons): the faults of each series of symbol, open_time, open, high, low, close and raw, the signal before
-    non-finite values are made unknown."""
+    non-finite values are made unknown. ``usable`` says which values of raw are finite enough, ``bad`` which bars have wrong
+    prices; by default infinities are not, and open and close lie between a low above zero and the high."""
     w = over()
     rows = rows.withColumns({"_rn": F.row_number().over(w), "_gap": F.col("open_time") - F.lag("open_time").over(w) != step})
-    late, usable = F.col("_rn") > warmup, finite(F.col("raw")).isNotNull()
-    bad = ~((F.col("low") > 0) & F.col("close").between(F.col("low"), F.col("high")) & F.col("open").between(F.col("low"), F.col("high")))
+    late = F.col("_rn") > warmup
+    usable = finite(F.col("raw")).isNotNull() if usable is None else usable
+    if bad is None:
+        bad = ~((F.col("low") > 0) & F.col("close").between(F.col("low"), F.col("high")) & F.col("open").between(F.col("low"), F.col("high")))
     seen = F.when(late & usable, F.col("raw"))
     found = rows.groupBy("symbol").agg(
         (F.count_if(late) - 1 < least).alias("f0"), F.bool_or(F.col("raw").isNotNull() & ~usable).alias("f1"), F.bool_or(late & ~usable).alias("f2"),
