@@ -64,7 +64,7 @@ def universe(days: DataFrame, members: DataFrame) -> DataFrame:
 def price_screen(detailed: DataFrame, daily: DataFrame, tolerance: float) -> DataFrame:
     """Extremes of detailed bars against an official daily reference."""
     found = detailed.groupBy("symbol", (F.expr(f"open_time div {DAY}") * DAY).alias("open_time")).agg(F.max("high").alias("_h"), F.min("low").alias("_l"))
-    off = (F.abs(F.col("_h") - F.col("high")) > tolerance * F.col("high")) | (F.abs(F.col("_l") - F.col("low")) > tolerance * F.abs("low"))
+    off = (F.abs(F.col("_h") - F.col("high")) > tolerance * F.abs("high")) | (F.abs(F.col("_l") - F.col("low")) > tolerance * F.abs("low"))
     return daily.join(found, KEYS).withColumn("status", F.when(off, "off scale").otherwise("ok"))
 
 
