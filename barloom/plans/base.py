@@ -35,9 +35,9 @@ def sql(body: str, **tables: str) -> str:
 
 
 def r(x: Column | str, name: str | None = None) -> Column:
-    """Rounded to six places, without a negative zero."""
+    """Rounded to six places as SQL on DuckDB does it, at the millionfold, without a negative zero."""
     x = F.col(x) if isinstance(x, str) else x
-    out = F.round(x, 6) + F.lit(0.0)
+    out = F.round(x * F.lit(1e6)) / F.lit(1e6) + F.lit(0.0)
     return out.alias(name) if name else out
 
 

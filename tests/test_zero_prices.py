@@ -4,12 +4,16 @@ import duckdb
 import pytest
 from test_queries import ORACLES, QUERIES, canonical
 
+from barloom.plans.base import r
+
 EVENTS = "/root/testdata/sf0.01/events.parquet"
 ODD = "CASE WHEN hash(event_id) % 11 = 0 THEN 0.0 WHEN hash(event_id) % 11 = 1 THEN 0.01 ELSE value END"
 #: A few prices of zero, so that most windows hold none.
 FEW = "CASE WHEN hash(event_id) % 997 = 0 THEN 0.0 ELSE value END"
 #: Each query with the prices, as SQL, that it is run on.
 CASES = [
+    ("X-01", ODD),
+    ("X-01", FEW),
     ("W-11", ODD),
     ("W-11", FEW),
     ("W-10", ODD),
@@ -41,3 +45,11 @@ def test_query_matches_sql_on_zero_prices(spark, tmp_path, name, prices):
     got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
+
+
+def test_rounding_is_that_of_sql(spark):
+    # a mean of 32 prices in cents, half a millionth but for the last bit of its sum
+    values = [43.472812499999996, -43.472812499999996, 0.1234565, -1e-9, None, float("inf")]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 6) + 0.0", [v]).fetchone()[0] for v in values]
+    assert [str(x["x"]) for x in rows.select(r("x", "x")).collect()] == [str(v) for v in want]
