@@ -18,6 +18,7 @@ replaced, all others are kept.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -231,10 +232,18 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def fit_sample(rows: DataFrame, key: Column, text: str = "text", lang: str = "lang", most: int = SAMPLE_DOCS) -> Model:
-    """Fit on about ``most`` labelled rows (twice as many at the utmost), chosen by a hash of ``key``."""
+    """Fit on about ``most`` labelled rows (twice as many at the utmost), chosen by a hash of ``key``. The sample goes to one task,
+    and only the model to the driver."""
     labelled = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key.cast("string").alias("key"), text, lang)
-    drawn = sorted(sample(labelled, F.col("key"), most).collect(), key=lambda r: (r[0] or "", r[1], r[2]))
-    return fit([r[1] for r in drawn], [r[2] for r in drawn])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = [r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+        drawn.sort(key=lambda r: (r[0] or "", r[1], r[2]))
+        model = fit([r[1] for r in drawn], [r[2] for r in drawn])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    fitted = sample(labelled, F.col("key"), most).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else fit([], [])
 
 
 def classify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
