@@ -202,17 +202,26 @@ def signed(rows: DataFrame, shingle: int) -> DataFrame:
     return materialize(signatures(lines.select("lid", "lid2", _wide(F.col("low")).alias("wide")), shingle))
 
 
+def merged(classes: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """The classes (node, component) once new links join them: found from the classes, not from all links again."""
+    edges = classes.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    for new in links:
+        edges = edges.unionByName(new)
+    return materialize(connected_components(edges))
+
+
 def line_classes(texts: DataFrame, members: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """(lid, component) of every line that is linked to a different line, of the members of bands and their texts."""
-    found = materialize(similar(extreme_pairs(members), texts, threshold, shingle))
     # whole components, so that a large group of near copies is one class in the rounds
-    classes = materialize(connected_components(found))
-    left = undecided(rest(members), classes)
+    classes = materialize(connected_components(materialize(similar(extreme_pairs(members), texts, threshold, shingle))))
+    left, links = undecided(rest(members), classes), []
     for _ in range(ROUNDS):
-        found = found.unionByName(materialize(similar(extreme_pairs(left), texts, threshold, shingle)))
+        if left.isEmpty():
+            break
+        links.append(materialize(similar(extreme_pairs(left), texts, threshold, shingle)))
         left = undecided(rest(left), classes)
     if not left.isEmpty():
-        found = found.unionByName(materialize(block_links(left.where(F.col("size") <= MOST), texts, threshold, shingle)))
+        links.append(materialize(block_links(left.where(F.col("size") <= MOST), texts, threshold, shingle)))
     large = left.where(F.col("size") > MOST)
     if not large.isEmpty():
         # other hashes: a line of a large band meets those of the band that share a band of one of the new signatures too
@@ -221,11 +230,10 @@ def line_classes(texts: DataFrame, members: DataFrame, threshold: float = THRESH
             keyed = large.select("lid", "band").join(materialize(signatures(again, shingle, seed)), "lid")
             keyed = materialize(keyed.select("lid", F.transform("keys", lambda k: F.xxhash64(k, F.col("band"))).alias("keys")))
             close = collisions(keyed)
-            found = found.unionByName(materialize(similar(extreme_pairs(close), texts, threshold, shingle)))
-            classes = materialize(connected_components(found))
-            found = found.unionByName(materialize(block_links(undecided(rest(close), classes), texts, threshold, shingle)))
-            classes = materialize(connected_components(found))
-    return connected_components(found).withColumnRenamed("node", "lid")
+            links.append(materialize(similar(extreme_pairs(close), texts, threshold, shingle)))
+            classes = merged(classes, links)
+            links = [materialize(block_links(undecided(rest(close), classes), texts, threshold, shingle))]
+    return (merged(classes, links) if links else classes).withColumnRenamed("node", "lid")
 
 
 def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
