@@ -7,9 +7,11 @@ Equal lines are one node from the start, so each text is shingled once.
 The signature is MinHash by one permutation: the hash range is cut into ``BINS`` ranges, and the least hash of each is kept;
 ``ROWS`` bins make a band of the ``BANDS`` bands. Empty bins agree with empty bins, so two lines of Jaccard similarity J
 agree in a bin with probability J at least and in some band with probability 0.97 to 0.985 at J = 0.8, 0.99 at 0.85.
-Hashes that only a bin without ``BOUND`` expected smaller ones could need are left out before bins are grouped, but for
-those of a line's first ``HEAD`` shingles, which are all that a line of one thing over and over has. Lines that fill fewer than ``FULL`` bins have few shingles and nearly all of these in their bins: their bands are the three least of
-what is in the bins, hashed anew for each band. Lines that fill ``FULL`` to ``FEW`` bins have both kinds.
+Lines that fill fewer than ``FULL`` bins have few shingles and nearly all of these in their bins: their bands are the three least of
+what is in the bins, hashed anew for each band. Lines that fill ``FULL`` to ``FEW`` bins have both kinds. A band of ``ROWS`` bins of
+which fewer than ``HELD`` are filled is none: unlike lines, which agree in what they lack, would meet there.
+Lines of more than ``MANY`` spaces have their signature from the shingles that begin a word, those of fewer than ``SOME`` from all
+shingles; those between, and those whose first shingle comes again, have both signatures.
 
 Each band is settled by exact comparisons, by all shingles. Its members are compared with its least and its greatest line
 (two rows a member), and distributed union-find (``common.connected_components``) gives the components of the links. What is
@@ -29,6 +31,8 @@ whole; the columns n_lines, n_removed and removed of the input are replaced, all
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +43,11 @@ BANDS, ROWS = 8, 4
 #: A power of two: the bin is the hash's first bits.
 BINS = BANDS * ROWS
 FULL, FEW, LEAST = BINS // 2, BINS * 3 // 4, 3
-#: How many hashes of a bin may be smaller, on average, than one that is left out; for lines of more than LONG shingles, of
-#: those of LONG shingles, as long lines repeat many. The first HEAD shingles stay in any case.
-BOUND, LONG, HEAD = 3, 600, 64
+#: Wide bands have at least so many filled bins.
+HELD = 2
+#: Lines of fewer spaces than SOME have their signature from all shingles, those of more than MANY from the shingles that begin
+#: a word; those between, and those whose first shingle comes again, from both.
+SOME, MANY = 30, 42
 #: Rounds of comparisons with extremes before blocks.
 ROUNDS = 2
 #: Bands of more lines, if several components meet in them, are banded once more, by a signature of each of these seeds.
@@ -83,31 +89,48 @@ def shingle_hashes(wide: Column, shingle: int = SHINGLE) -> Column:
     return F.transform(F.array(wide), hashes)[0]
 
 
-def band_keys(bins: Column) -> Column:
-    """Keys of all bands of a line with these bins, an array that holds NULL for an empty bin."""
-    held = F.array_compact(bins)
+def band_keys(bins: list[Column], sparse: Column) -> Column:
+    """Keys of all bands of a line with these bins, NULL where they are empty. A wide band of fewer than ``HELD`` filled bins has
+    no key: lines that have next to nothing in common would meet there."""
+    held = F.array_compact(F.array(*bins))
     size = F.size(held)
-    wide = F.array(*[F.xxhash64(F.lit(b), *[bins[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
+
+    def wide(band: int) -> Column:
+        part = bins[band * ROWS : (band + 1) * ROWS]
+        return F.when(reduce(Column.__add__, [x.isNotNull().cast("int") for x in part]) >= HELD, F.xxhash64(F.lit(band), sparse, *part))
 
     def again(band: int) -> Column:
         return F.transform(held, lambda x: F.xxhash64(x, F.lit(band)))
 
-    tight = F.array(*[F.xxhash64(F.lit(-1 - b), F.slice(F.sort_array(again(b)), 1, LEAST)) for b in range(BANDS)])
-    return F.array_distinct(F.when(size < FULL, tight).when(size > FEW, wide).otherwise(F.concat(wide, tight)))
+    broad = F.array_compact(F.array(*[wide(b) for b in range(BANDS)]))
+    tight = F.array(*[F.xxhash64(F.lit(-1 - b), sparse, F.slice(F.sort_array(again(b)), 1, LEAST)) for b in range(BANDS)])
+    return F.when(size > FEW, broad).when(size < FULL, tight).otherwise(F.concat(broad, tight))
+
+
+def kinds_of(low: Column) -> Column:
+    """Which signatures a line has: from the shingles that begin a word (true), from all shingles (false), or both."""
+    spaces = F.size(F.split(low, " ", MANY + 2)) - 1
+    repeats = F.position(F.left(low, F.lit(SHINGLE)), low, F.lit(2)) > 0
+    return F.when(spaces < SOME, F.array(F.lit(False))).when((spaces > MANY) & ~repeats, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
 
 
 def signatures(lines: DataFrame, shingle: int = SHINGLE, seed: int = 0) -> DataFrame:
-    """(lid, keys) of lines (lid, lid2, wide), one row each. Runs in the stage that brings equal lines together."""
+    """(lid, keys) of lines (lid, lid2, wide; low, the text, if it is at hand), one row each. Runs in the stage that brings
+    equal lines together."""
     top = 64 - (BINS.bit_length() - 1)
-    count = _count(F.col("wide"), shingle) / 2
-    most = F.when(count > BOUND * BINS, (BOUND * BINS / F.least(count, F.lit(LONG)) * 2.0**top).cast("long")).otherwise(F.lit(2**top))
-    rows = lines.select("lid", "lid2", "wide", most.alias("most"), _count(F.col("wide"), shingle).alias("n"))
-    rows = rows.select("lid", "lid2", "wide", "most", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(2))).alias("i"))
-    hashed = rows.select("lid", "lid2", "most", "i", _shingle(F.col("wide"), F.col("i"), shingle, seed).alias("h"))
-    hashed = hashed.where((F.col("i") <= 2 * HEAD) | (F.col("h").bitwiseAND(F.lit(2**top - 1)) < F.col("most")))
-    bins = hashed.groupBy("lid", "lid2", F.shiftrightunsigned("h", top).alias("bin")).agg(F.min("h").alias("h"))
-    bins = bins.groupBy("lid", "lid2").agg(*[F.min(F.when(F.col("bin") == i, F.col("h"))).alias(f"h{i}") for i in range(BINS)])
-    return bins.select("lid", F.array(*[F.col(f"h{i}") for i in range(BINS)]).alias("bins")).select("lid", band_keys(F.col("bins")).alias("keys"))
+    low = F.col("low") if "low" in lines.columns else F.decode("wide", "UTF-16BE")
+    rows = lines.select("lid", "lid2", "wide", _count(F.col("wide"), shingle).alias("n"), F.explode(kinds_of(low)).alias("sparse"))
+    rows = rows.select("lid", "lid2", "sparse", "wide", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(2))).alias("i"))
+    begins = (F.col("i") == 1) | (F.substring("wide", F.col("i") - 2, F.lit(2)) == F.lit(b"\0 "))
+    hashed = rows.where(~F.col("sparse") | begins).select("lid", "lid2", "sparse", _shingle(F.col("wide"), F.col("i"), shingle, seed).alias("h"))
+    # the bin is the hash's first bits: those of the band, then those of the row
+    first = lambda n: F.shiftrightunsigned("h", 65 - n.bit_length())
+    hashed = hashed.select("lid", "lid2", "sparse", first(BANDS).cast("int").alias("band"), first(BINS).bitwiseAND(F.lit(ROWS - 1)).cast("int").alias("row"), "h")
+    bands = hashed.groupBy("lid", "lid2", "sparse", "band").agg(*[F.min(F.when(F.col("row") == r, F.col("h"))).alias(f"h{r}") for r in range(ROWS)])
+    at = [(b, r) for b in range(BANDS) for r in range(ROWS)]
+    bins = bands.groupBy("lid", "lid2", "sparse").agg(*[F.max(F.when(F.col("band") == b, F.col(f"h{r}"))).alias(f"h{b}_{r}") for b, r in at])
+    keys = bins.select("lid", "lid2", band_keys([F.col(f"h{b}_{r}") for b, r in at], F.col("sparse")).alias("keys"))
+    return keys.groupBy("lid", "lid2").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys")).select("lid", "keys")
 
 
 def _bloom_bits(h: Column) -> Column:
@@ -199,7 +222,7 @@ def collisions(keyed: DataFrame) -> DataFrame:
 def signed(rows: DataFrame, shingle: int) -> DataFrame:
     """(lid, keys) of all distinct lines."""
     lines = rows.groupBy("lid", "lid2").agg(F.first("low").alias("low"))
-    return materialize(signatures(lines.select("lid", "lid2", _wide(F.col("low")).alias("wide")), shingle))
+    return materialize(signatures(lines.select("lid", "lid2", "low", _wide(F.col("low")).alias("wide")), shingle))
 
 
 def merged(classes: DataFrame, links: list[DataFrame]) -> DataFrame:

@@ -234,6 +234,32 @@ def test_line_bands_find_similar_lines_of_every_length(spark, n_words):
     assert met >= 0.95 * len(rows)
 
 
+def line_keys(spark, texts):
+    table = spark.createDataFrame(list(enumerate(texts)), "lid long, low string")
+    table = table.select("lid", lines.F.col("lid").alias("lid2"), lines._wide(lines.F.col("low")).alias("wide"))
+    return [set(r["keys"]) for r in lines.signatures(table).orderBy("lid").collect()]
+
+
+def test_unlike_lines_share_no_band(spark):
+    """Lines that fill about half their bins do not meet for the bins that are empty in all of them."""
+    rng = random.Random(31)
+    texts = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randint(28, 60))) for _ in range(400)]
+    held = [k for keys in line_keys(spark, texts) for k in keys]
+    assert len(held) == len(set(held))
+
+
+def test_signatures_of_words_find_long_and_repetitive_lines(spark):
+    rng = random.Random(32)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 12))) for _ in range(5000)]
+    for n in (28, 36, 48, 90):
+        base = [[rng.choice(words) for _ in range(n)] for _ in range(150)]
+        near = [x[: len(x) // 2] + ["k" * 5] + x[len(x) // 2 + 1 :] + ["l"] * (n // 30) for x in base]
+        keys = line_keys(spark, [" ".join(x) for x in base + near])
+        assert sum(bool(a & b) for a, b in zip(keys[:150], keys[150:], strict=True)) >= 0.95 * 150
+    once = line_keys(spark, ["ab cd ef " * 5, "ab cd ef " * 200, "\u4e00\u4e8c\u4e09" * 20, "\u4e00\u4e8c\u4e09" * 900])
+    assert once[0] & once[1] and once[2] & once[3]
+
+
 def test_line_blocks_compare_members_of_one_band(spark, monkeypatch):
     texts = ["abcdefghijklmno", "abcdefghijklmnop", "qwertyuiopasdfgh", "qwertyuiopasdfghj", "unlike the others"]
     table = spark.createDataFrame(list(enumerate(texts)), "lid long, low string").select("lid", lines._wide(lines.F.col("low")).alias("wide"))
