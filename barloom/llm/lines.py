@@ -13,13 +13,12 @@ which fewer than ``HELD`` are filled is none: unlike lines, which agree in what
 Lines of more than ``MANY`` spaces have their signature from the shingles that begin a word, those of fewer than ``SOME`` from all
 shingles; those between, and those whose first shingle comes again, have both signatures.
 
-Each band is settled by exact comparisons, by all shingles. Its members are compared with its least and its greatest line
-(two rows a member), and distributed union-find (``common.connected_components``) gives the components of the links. What is
-left of bands that still hold several components goes through ``ROUNDS`` rounds of that; then the rest is compared in blocks
-(``block_links``). Bands of more than ``MOST`` lines are banded once more first, by two further signatures: there a pair is
-compared if it shares a band of one of those too, which a pair at the threshold misses with a probability of 0.001 at most.
-Every other candidate pair is decided. Only links are put out, and a hot band is neither a window nor a group of one task: counts and extremes are
-combined before the exchange and joins on the band are sort-merge joins that adaptive execution can split.
+Each band is settled by exact comparisons, by all shingles. Its members are compared with the one of most copies, and distributed
+union-find (``common.connected_components``) gives the components of the links. In bands that still hold several components
+each pair of lines of different ones is decided (``block_links``): by a bitmap of the shingles of each line, which refuses
+only pairs that cannot reach the threshold, then by the shingles themselves. Every candidate pair is decided so. Only links are put
+out, and a hot band is neither a window nor a group of one task: counts and greatest values are combined before the exchange, joins
+on the band are sort-merge joins that adaptive execution can split, and bands of more than ``MOST`` lines are cut into blocks.
 
 Before members and texts are fetched again, a blocked Bloom filter of bounded size drops those that met no other line.
 
@@ -48,11 +47,10 @@ HELD = 2
 #: Lines of fewer spaces than SOME have their signature from all shingles, those of more than MANY from the shingles that begin
 #: a word; those between, and those whose first shingle comes again, from both.
 SOME, MANY = 30, 42
-#: Rounds of comparisons with extremes before blocks.
-ROUNDS = 2
-#: Bands of more lines, if several components meet in them, are banded once more, by a signature of each of these seeds.
-MOST, AGAIN = 1024, (1, 2)
-BLOCK = 64
+#: Bands of more than MOST undecided lines are cut into blocks of about BLOCK lines.
+MOST, BLOCK = 1024, 512
+#: 64-bit words of a line's bitmap of shingles. Those of two lines are columns of one join, which is compiled up to 100 columns.
+WORDS = 40
 #: The Bloom filter has at most so many blocks of 64 bits; beyond that it only drops less.
 MOST_BLOCKS = 1 << 20
 
@@ -93,11 +91,12 @@ def band_keys(bins: list[Column], sparse: Column) -> Column:
     """Keys of all bands of a line with these bins, NULL where they are empty. A wide band of fewer than ``HELD`` filled bins has
     no key: lines that have next to nothing in common would meet there."""
     held = F.array_compact(F.array(*bins))
-    size = F.size(held)
+    filled = lambda part: reduce(Column.__add__, [x.isNotNull().cast("int") for x in part])
+    size = filled(bins)
 
     def wide(band: int) -> Column:
         part = bins[band * ROWS : (band + 1) * ROWS]
-        return F.when(reduce(Column.__add__, [x.isNotNull().cast("int") for x in part]) >= HELD, F.xxhash64(F.lit(band), sparse, *part))
+        return F.when(filled(part) >= HELD, F.xxhash64(F.lit(band), sparse, *part))
 
     def again(band: int) -> Column:
         return F.transform(held, lambda x: F.xxhash64(x, F.lit(band)))
@@ -109,28 +108,29 @@ def band_keys(bins: list[Column], sparse: Column) -> Column:
 
 def kinds_of(low: Column) -> Column:
     """Which signatures a line has: from the shingles that begin a word (true), from all shingles (false), or both."""
-    spaces = F.size(F.split(low, " ", MANY + 2)) - 1
+    more_than = lambda n: F.octet_length(F.substring_index(low, " ", n + 1)) < F.octet_length(low)
     repeats = F.position(F.left(low, F.lit(SHINGLE)), low, F.lit(2)) > 0
-    return F.when(spaces < SOME, F.array(F.lit(False))).when((spaces > MANY) & ~repeats, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
+    return F.when(~more_than(SOME - 1), F.array(F.lit(False))).when(more_than(MANY) & ~repeats, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
 
 
 def signatures(lines: DataFrame, shingle: int = SHINGLE, seed: int = 0) -> DataFrame:
-    """(lid, keys) of lines (lid, lid2, wide; low, the text, if it is at hand), one row each. Runs in the stage that brings
-    equal lines together."""
-    top = 64 - (BINS.bit_length() - 1)
+    """(lid, keys) of lines (lid, wide; low, the text, and rank if at hand), one row each, with their rank. Runs in the stage
+    that brings equal lines together."""
+    more = [c for c in ("rank",) if c in lines.columns]
+    top = [F.max(c).alias(c) for c in more]
     low = F.col("low") if "low" in lines.columns else F.decode("wide", "UTF-16BE")
-    rows = lines.select("lid", "lid2", "wide", _count(F.col("wide"), shingle).alias("n"), F.explode(kinds_of(low)).alias("sparse"))
-    rows = rows.select("lid", "lid2", "sparse", "wide", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(2))).alias("i"))
+    rows = lines.select("lid", *more, "wide", _count(F.col("wide"), shingle).alias("n"), F.explode(kinds_of(low)).alias("sparse"))
+    rows = rows.select("lid", *more, "sparse", "wide", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(2))).alias("i"))
     begins = (F.col("i") == 1) | (F.substring("wide", F.col("i") - 2, F.lit(2)) == F.lit(b"\0 "))
-    hashed = rows.where(~F.col("sparse") | begins).select("lid", "lid2", "sparse", _shingle(F.col("wide"), F.col("i"), shingle, seed).alias("h"))
+    hashed = rows.where(~F.col("sparse") | begins).select("lid", *more, "sparse", _shingle(F.col("wide"), F.col("i"), shingle, seed).alias("h"))
     # the bin is the hash's first bits: those of the band, then those of the row
     first = lambda n: F.shiftrightunsigned("h", 65 - n.bit_length())
-    hashed = hashed.select("lid", "lid2", "sparse", first(BANDS).cast("int").alias("band"), first(BINS).bitwiseAND(F.lit(ROWS - 1)).cast("int").alias("row"), "h")
-    bands = hashed.groupBy("lid", "lid2", "sparse", "band").agg(*[F.min(F.when(F.col("row") == r, F.col("h"))).alias(f"h{r}") for r in range(ROWS)])
+    hashed = hashed.select("lid", *more, "sparse", first(BANDS).cast("int").alias("band"), first(BINS).bitwiseAND(F.lit(ROWS - 1)).cast("int").alias("row"), "h")
+    bands = hashed.groupBy("lid", "sparse", "band").agg(*[F.min(F.when(F.col("row") == r, F.col("h"))).alias(f"h{r}") for r in range(ROWS)], *top)
     at = [(b, r) for b in range(BANDS) for r in range(ROWS)]
-    bins = bands.groupBy("lid", "lid2", "sparse").agg(*[F.max(F.when(F.col("band") == b, F.col(f"h{r}"))).alias(f"h{b}_{r}") for b, r in at])
-    keys = bins.select("lid", "lid2", band_keys([F.col(f"h{b}_{r}") for b, r in at], F.col("sparse")).alias("keys"))
-    return keys.groupBy("lid", "lid2").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys")).select("lid", "keys")
+    bins = bands.groupBy("lid", "sparse").agg(*[F.max(F.when(F.col("band") == b, F.col(f"h{r}"))).alias(f"h{b}_{r}") for b, r in at], *top)
+    keys = bins.select("lid", *more, band_keys([F.col(f"h{b}_{r}") for b, r in at], F.col("sparse")).alias("keys"))
+    return keys.groupBy("lid").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"), *top)
 
 
 def _bloom_bits(h: Column) -> Column:
@@ -164,65 +164,61 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int)
     return met.where(_alike(shingle_hashes(F.col("a"), shingle), F.col("hb"), threshold)).select("src", "dst")
 
 
-def undecided(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of the bands that hold several classes: band, lid, class, and the band's size and extremes (low, high)."""
-    known = members.select("band", "lid").join(classes, F.col("lid") == F.col("node"), "left").select("band", "lid", F.coalesce("component", "lid").alias("class"))
-    line = F.struct("lid", "class")
-    bands = known.groupBy("band").agg(F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("size"), F.min(line).alias("low"), F.max(line).alias("high"))
-    return materialize(known.join(bands.where("c1 < c2").select("band", "size", "low", "high"), "band"))
-
-
-def rest(members: DataFrame) -> DataFrame:
-    """What is left of bands when their extremes are decided."""
-    return members.where("lid <> low.lid and lid <> high.lid")
+def bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
+    """(lid, n, w0, w1, ...) of the texts: a bitmap that has a bit for each shingle, and how many shingles there are at most."""
+    rows = texts.select("lid", "wide", _count(F.col("wide"), shingle).alias("to"))
+    rows = rows.select("lid", "to", "wide", F.explode(F.sequence(F.lit(1), F.col("to"), F.lit(2))).alias("i"))
+    hashed = rows.select("lid", "to", _shingle(F.col("wide"), F.col("i"), shingle, 0).alias("h"))
+    place = F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(63)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    words = hashed.groupBy("lid", "to", F.pmod("h", F.lit(WORDS)).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    of_word = lambda i: F.max(F.when(F.col("word") == i, F.col("bits")))
+    return words.groupBy("lid", F.expr("(to + 1) div 2").alias("n")).agg(*[of_word(i).alias(f"w{i}") for i in range(WORDS)])
 
 
-def extreme_pairs(members: DataFrame) -> DataFrame:
-    """(src, dst): each member with its band's extremes of other classes."""
-    each = members.select("lid", "class", F.explode(F.array("low", "high")).alias("x")).where("x.lid <> lid and x.class <> class")
-    return each.select(F.least("lid", "x.lid").alias("src"), F.greatest("lid", "x.lid").alias("dst")).distinct()
+def undecided(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members (band, lid, class, size) of the bands that hold several classes, without those that all others were compared with."""
+    known = members.where("lid <> top").join(classes, F.col("lid") == F.col("node"), "left").select("band", "lid", F.coalesce("component", "lid").alias("class"))
+    bands = known.groupBy("band").agg(F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("size"))
+    return materialize(known.join(bands.where("c1 < c2").select("band", "size"), "band"))
 
 
 def block_links(members: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """The pairs (src, dst) of one band and different classes that reach the threshold; members has band, lid, class, size.
 
-    A band is cut into blocks of about ``BLOCK`` lines. A line of a band goes to its own block and those after it, as rows
-    keyed by (band, block), and is compared with the block's lines there; two lines that share several bands are compared in
-    the first of them. Texts travel, shingles are made where they meet.
+    Lines of x bits that only one of them has differ in x shingles at least, so that their similarity is (n - x) / (n + x) at
+    most, n being the shingles of both (half a bit is added for rounding). Only pairs that may reach the threshold leave the join, once for all bands they share,
+    and are compared by their shingles. A band of more than MOST lines is cut into blocks: a line goes to its own and those after it.
     """
-    cut = F.ceil(F.col("size") / BLOCK).cast("int")
-    shared = members.groupBy("lid").agg(F.collect_list("band").alias("bands"))
-    rows = members.join(texts, "lid").join(shared, "lid").withColumn("block", F.pmod(F.xxhash64("lid", F.lit(9)), cut).cast("int"))
-    rows = rows.select("band", "block", "lid", "class", "wide", "bands", cut.alias("cut"))
-    blocks = rows.groupBy("band", "block").agg(F.collect_list(F.struct("lid", "class", "bands", "wide")).alias("held"))
-    hashed = lambda o: F.struct(o["lid"].alias("lid"), o["class"].alias("class"), o["bands"].alias("bands"), shingle_hashes(o["wide"], shingle).alias("h"))
-    blocks = blocks.select("band", "block", F.transform("held", hashed).alias("others"))
-    asking = rows.select("band", F.explode(F.sequence(F.col("block"), F.col("cut") - 1)).alias("block"), F.col("lid").alias("src"), F.col("class").alias("own"), "bands", "wide")
-    met = asking.join(blocks, ["band", "block"]).select("band", "src", "own", "bands", shingle_hashes(F.col("wide"), shingle).alias("ha"), "others")
-
-    def close(o: Column) -> Column:
-        fits = F.least(F.size("ha"), F.size(o["h"])) >= threshold * F.greatest(F.size("ha"), F.size(o["h"]))
-        here = F.array_min(F.array_intersect("bands", o["bands"])) == F.col("band")
-        asked = (o["lid"] != F.col("src")) & (o["class"] != F.col("own")) & fits
-        return F.when(asked, F.when(here, _alike(F.col("ha"), o["h"], threshold)).otherwise(F.lit(False))).otherwise(F.lit(False))
-
-    return met.select("src", F.explode(F.transform(F.filter("others", close), lambda o: o["lid"])).alias("dst")).distinct()
+    of_line = members.groupBy("lid").agg(F.array_sort(F.collect_set("band")).alias("bands"))
+    lines = materialize(of_line.join(bitmaps(texts.join(of_line, "lid", "left_semi"), shingle), "lid"))
+    cut = F.when(F.col("size") > MOST, F.ceil(F.col("size") / BLOCK)).otherwise(1).cast("int")
+    words = [f"w{i}" for i in range(WORDS)]
+    rows = members.select("band", "lid", "class", cut.alias("cut")).withColumn("own", F.pmod(F.xxhash64("lid", F.lit(9)), "cut").cast("int")).join(lines, "lid")
+    rows = rows.select("band", "own", "cut", "lid", "class", "bands", "n", *[F.coalesce(w, F.lit(0).cast("long")).alias(w) for w in words])
+    held = rows.select("band", F.col("own").alias("block"), *[F.col(c).alias(f"{c}_") for c in ("lid", "class", "bands", "n", *words)])
+    asking = rows.withColumn("block", F.explode(F.sequence("own", F.col("cut") - 1)))
+    apart = reduce(Column.__add__, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_"))) for w in words])
+    most = (F.col("n") + F.col("n_")) * ((1 - threshold) / (1 + threshold)) + 0.5
+    once = ((F.col("own") < F.col("block")) | (F.col("lid") < F.col("lid_"))) & (F.col("class") != F.col("class_"))
+    first = F.array_min(F.array_intersect("bands", "bands_")) == F.col("band")
+    may = asking.join(held, ["band", "block"]).where(once & (apart <= most) & first)
+    return similar(materialize(may.select(F.col("lid").alias("src"), F.col("lid_").alias("dst"))), texts, threshold, shingle)
 
 
 def collisions(keyed: DataFrame) -> DataFrame:
-    """(band, lid, class, low, high) of the lines (lid, keys) that share a band with others, each a class of its own."""
-    each = keyed.select("lid", F.explode("keys").alias("band"))
-    bands = each.groupBy("band").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).where("low < high")
-    bands = materialize(bands)
-    met = maybe_in(each, bands, "band").join(bands, "band")
-    one = lambda c: F.struct(F.col(c).alias("lid"), F.col(c).alias("class"))
-    return materialize(met.select("band", "lid", F.col("lid").alias("class"), one("low").alias("low"), one("high").alias("high")))
+    """(band, lid, top) of the lines (lid, rank, keys) that share a band with others; top is the one of the highest rank."""
+    each = keyed.select("lid", "rank", F.explode("keys").alias("band"))
+    bands = materialize(each.groupBy("band").agg(F.count("*").alias("size"), F.max_by("lid", "rank").alias("top")).where("size > 1").select("band", "top"))
+    return materialize(maybe_in(each.drop("rank"), bands, "band").join(bands, "band").select("band", "lid", "top"))
 
 
 def signed(rows: DataFrame, shingle: int) -> DataFrame:
-    """(lid, keys) of all distinct lines."""
-    lines = rows.groupBy("lid", "lid2").agg(F.first("low").alias("low"))
-    return materialize(signatures(lines.select("lid", "lid2", "low", _wide(F.col("low")).alias("wide")), shingle))
+    """(lid, rank, keys) of all distinct lines; lines of more copies rank higher, equal ones by some of their hash, so that one line is
+    the highest in all bands that it shares with the same others."""
+    lines = rows.groupBy("lid").agg(F.first("low").alias("low"), F.count("*").alias("copies"))
+    rank = F.least("copies", F.lit(1 << 40)) * 4096 + F.col("lid").bitwiseAND(F.lit(4095))
+    return materialize(signatures(lines.select("lid", "low", rank.alias("rank"), _wide(F.col("low")).alias("wide")), shingle))
 
 
 def merged(classes: DataFrame, links: list[DataFrame]) -> DataFrame:
@@ -235,48 +231,33 @@ def merged(classes: DataFrame, links: list[DataFrame]) -> DataFrame:
 
 def line_classes(texts: DataFrame, members: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """(lid, component) of every line that is linked to a different line, of the members of bands and their texts."""
-    # whole components, so that a large group of near copies is one class in the rounds
-    classes = materialize(connected_components(materialize(similar(extreme_pairs(members), texts, threshold, shingle))))
-    left, links = undecided(rest(members), classes), []
-    for _ in range(ROUNDS):
-        if left.isEmpty():
-            break
-        links.append(materialize(similar(extreme_pairs(left), texts, threshold, shingle)))
-        left = undecided(rest(left), classes)
+    pairs = members.where("lid <> top").select(F.col("lid").alias("src"), F.col("top").alias("dst")).distinct()
+    # whole components, so that a large group of near copies is one class
+    classes = materialize(connected_components(similar(materialize(pairs), texts, threshold, shingle)))
+    left = undecided(members, classes)
     if not left.isEmpty():
-        links.append(materialize(block_links(left.where(F.col("size") <= MOST), texts, threshold, shingle)))
-    large = left.where(F.col("size") > MOST)
-    if not large.isEmpty():
-        # other hashes: a line of a large band meets those of the band that share a band of one of the new signatures too
-        again = texts.join(large.select("lid").distinct(), "lid", "left_semi").select("lid", F.col("lid").alias("lid2"), "wide")
-        for seed in AGAIN:
-            keyed = large.select("lid", "band").join(materialize(signatures(again, shingle, seed)), "lid")
-            keyed = materialize(keyed.select("lid", F.transform("keys", lambda k: F.xxhash64(k, F.col("band"))).alias("keys")))
-            close = collisions(keyed)
-            links.append(materialize(similar(extreme_pairs(close), texts, threshold, shingle)))
-            classes = merged(classes, links)
-            links = [materialize(block_links(undecided(rest(close), classes), texts, threshold, shingle))]
-    return (merged(classes, links) if links else classes).withColumnRenamed("node", "lid")
+        classes = merged(classes, [block_links(left, texts, threshold, shingle)])
+    return classes.withColumnRenamed("node", "lid")
 
 
 def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """(doc, n): every line that is not the first of its component."""
     rows = line_rows(df, key, text)
-    members = collisions(signed(rows.select("lid", "lid2", "low"), shingle))
+    members = collisions(signed(rows.select("lid", "low"), shingle))
     # the one table of all lines; texts only of those that met another one
     marked = maybe_in(rows, members.select("lid").distinct(), "lid", keep_all=True)
     rows = materialize(marked.select("doc", "n", "lid", "lid2", F.when(F.col("maybe"), F.col("low")).alias("low")))
     texts = rows.where("low is not null").groupBy("lid").agg(F.first("low").alias("low")).select("lid", _wide(F.col("low")).alias("wide"))
     classes = line_classes(materialize(texts), members, threshold, shingle)
-    rows = rows.select("doc", "n", "lid", "lid2")
     place = F.struct("doc", "n")
-    own = rows.groupBy("lid", "lid2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    own = own.join(classes, "lid", "left").withColumns(
-        {"class": F.coalesce("component", "lid"), "class2": F.when(F.col("component").isNull(), F.col("lid2")).otherwise(F.lit(0).cast("long"))}
-    )
-    of_class = own.groupBy("class", "class2").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last")
-    repeated = own.select("lid", "lid2", "class", "class2").join(of_class.select("class", "class2", "first"), ["class", "class2"]).select("lid", "lid2", "first")
-    return rows.join(repeated, ["lid", "lid2"]).where(place > F.col("first")).select("doc", "n")
+    met = rows.where("low is not null").join(classes, "lid", "left").select("doc", "n", "lid", "lid2", "component")
+    alone = rows.where("low is null").select("doc", "n", "lid", "lid2", F.lit(None).cast("long").alias("component"))
+    own = met.unionByName(alone).select("doc", "n", F.coalesce("component", "lid").alias("class"), F.when(F.col("component").isNull(), F.col("lid2")).otherwise(F.lit(0).cast("long")).alias("class2"))
+    # places are compared only in classes of several lines
+    several = materialize(own.groupBy("class", "class2").count().where("count > 1").select("class"))
+    own = materialize(maybe_in(own, several, "class"))
+    first = own.groupBy("class", "class2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    return own.join(first.drop("last"), ["class", "class2"]).where(place > F.col("first")).select("doc", "n")
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:

@@ -361,3 +361,39 @@ def test_hot_minimisers_take_another_way_to_the_same_result(spark, monkeypatch):
     assert len(substrings.hot_minimisers(docs, 20, 6, 32)) > 0
     assert sorted(map(tuple, substrings.document_digests(table).collect())) == plain
     assert substrings.document_digests(table.limit(0)).count() == 0
+
+
+def test_every_pair_of_a_large_band_is_decided(spark, monkeypatch):
+    """Bands cut into blocks lose no pair: none is left to a second signature. Two lines at the threshold itself are linked too."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(40)]
+    texts = []
+    for _ in range(90):
+        words = [word() if rng.random() < 0.06 else w for w in base]
+        texts.append(" ".join(words))
+    texts += ["a" * 8 + "".join(chr(0x4E00 + i) for i in range(n)) for n in (19, 17)] + ["".join(chr(0x5000 + i) for i in range(n)) for n in (54, 45)]
+    table = spark.createDataFrame(list(enumerate(texts)), "lid long, low string").select("lid", lines._wide(lines.F.col("low")).alias("wide"))
+    members = spark.createDataFrame([(b, i, i, len(texts)) for i in range(len(texts)) for b in (7, 8)], "band long, lid long, class long, size long")
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if jaccard(line_shingles(texts[a]), line_shingles(texts[b])) >= 0.8}
+    assert len(want) > 100 and (92, 93) in want
+    monkeypatch.setattr(lines, "MOST", 4)
+    for block in (3, 1000):
+        monkeypatch.setattr(lines, "BLOCK", block)
+        found = [tuple(sorted(map(int, r))) for r in lines.block_links(members, table, 0.8, 10).collect()]
+        assert set(found) == want and len(found) == len(want)
+
+
+def test_pairs_of_a_family_stay_few(spark, monkeypatch):
+    """A large group of lines around one: what is compared by shingles does not grow with the square of the group."""
+    rng = random.Random(42)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    base, n = [word() for _ in range(60)], 400
+    texts = [" ".join(base)] * 3 + [" ".join(word() if rng.random() < 0.09 else w for w in base) for _ in range(n)]
+    compared, similar = [], lines.similar
+    monkeypatch.setattr(lines, "similar", lambda pairs, *more: compared.append(pairs.count()) or similar(pairs, *more))
+    got = removed_lines(lines.document_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    want = brute_lines(list(enumerate(texts)))
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+    # once with the line of most copies, once what the bitmaps leave
+    assert len(compared) == 2 and sum(compared) < n * n / 10
