@@ -217,3 +217,23 @@ def test_first_fit_decreasing_takes_the_first_room():
                 assert start == at and length > 0
                 at += length
             assert at == sizes[item]
+
+
+def test_lines_of_a_family_in_the_pipeline_are_decided_in_two_comparisons(spark, monkeypatch):
+    """The second stage on lines around one: linked ones go, all others stay, whatever the size of the family."""
+    import corpus_pipeline
+    from barloom.llm import lines
+
+    rng = random.Random(51)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(50)]
+    # one other word links to the base, a word in three to nothing
+    near = [" ".join(word() if i == n % 50 else w for i, w in enumerate(base)) for n in range(60)]
+    far = [" ".join(word() if rng.random() < 0.33 else w for w in base) for _ in range(60)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([" ".join(base), *near, *far])]
+    asked, similar = [], lines.similar
+    monkeypatch.setattr(lines, "similar", lambda *a: asked.append(1) or similar(*a))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.line_dedup(spark, table, "").collect()
+    assert sorted(r["doc_id"] for r in out) == [0, *range(61, 121)] and {r["doc_id"]: r["text"] for r in out}[100] == rows[100][1]
+    assert len(asked) == 2
